@@ -28,11 +28,11 @@ from . import _flat
 from ._spark import checkpoint
 
 BITS = 256
-RADIUS = 56
+RADIUS = 52
 SHINGLE = 2
-RECALL = 0.95
+RECALL = 0.96
 #: Bits that differ between typical near copies, as a share; the number of repetitions follows from it.
-DESIGN_DISTANCE = 0.14
+DESIGN_DISTANCE = 0.16
 #: Strips are added until lists hold this many fingerprints on average at most.
 LIST_SIZE = 512
 _FIRST, _NEXT = 4, 3  # check bits of the Hamming codes: strips of 15 coordinates (11 bits of key), then of 7 (4 bits)
@@ -218,14 +218,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, distance: float = DESIGN_DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, duplicate_of): every document that goes, with the one of its group that stays."""
-    marked = checkpoint(with_fingerprints(docs, shingle).groupBy("fp").agg(F.min("doc_id").alias("id"), F.collect_set("doc_id").alias("members")))
-    roots = components(pairs(marked.select("id", "fp"), marked.count(), radius, recall, distance))
-    grouped = marked.select("id", F.explode("members").alias("doc_id")).join(roots, "id", "left")
+    marked = checkpoint(with_fingerprints(docs, shingle).distinct())
+    nodes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    roots = components(pairs(nodes, nodes.count(), radius, recall, distance))
+    grouped = marked.join(nodes, "fp").join(roots, "id", "left")
     return (
         grouped.select("doc_id", F.coalesce("root", "id").alias("duplicate_of"))
-        .where("doc_id <> duplicate_of")
         .groupBy("doc_id")
         .agg(F.min("duplicate_of").alias("duplicate_of"))
+        .where("doc_id <> duplicate_of")
     )
 
 
