@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,12 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes the rows to the folder in ``spark.checkpoint.dir``, which all executors share, and reads them from there.
-
-    A folder of its own is set only where the session names none, as in tests on one machine.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of its own is set only where the session names none, as in tests on one machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder, and reads them from there."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes the rows as Parquet below the shared folder, and reads them from there."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

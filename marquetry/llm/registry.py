@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, language_id, mixing, near_dedup, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id.op1_language_id,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_pii": pii.op9_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.OP8_SQL,
+}
