@@ -120,9 +120,12 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
 
 def _may_hold(texts: pa.Array) -> np.ndarray:
     """False for texts without any digit or @, in which no expression can match."""
-    data, ends = _flat.utf8(texts)
-    hits = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))])
-    return hits[ends[1:]] > hits[ends[:-1]]
+    out = []
+    for low, high in _flat.slices(texts):
+        data, ends = _flat.utf8(texts.slice(low, high - low))
+        hits = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))])
+        out.append(hits[ends[1:]] > hits[ends[:-1]])
+    return np.concatenate(out) if out else np.zeros(0, bool)
 
 
 def _spans(texts: pa.Array) -> pa.Array:
