@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import chunks, lengths, segmentation  # noqa: F401  (they register their queries)
+from .queries.common import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
