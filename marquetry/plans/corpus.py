@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..resources import NO_PUNCTUATION, NO_WHITESPACE
 
@@ -210,7 +211,8 @@ def pack_sentences(sentences: DataFrame, by: list[str], order: str, block: int,
         }
         return pa.table(rows)
 
-    schema = sentences.select(*by).schema.add("block_id", "long").add("input_ids", "array<int>").add("attention_mask", "array<int>").add("labels", "array<int>")
+    ints = ArrayType(IntegerType())
+    schema = sentences.select(*by).schema.add("block_id", "long").add("input_ids", ints).add("attention_mask", ints).add("labels", ints)
     return sentences.select(*dict.fromkeys([*by, order, text])).groupBy(*by).applyInArrow(run, schema)
 
 
