@@ -7,7 +7,7 @@ kernel ridge regression into a linear problem: with K the landmarks' kernel matr
 ridge regression per language (target 1 or -1) is solved in closed form.  A text's score for all languages is then one product
 of its presence vector with a matrix; batches of texts are scored by one matrix product.
 
-The classifier is fitted on at most ``PER_LANGUAGE`` labelled rows of each language, those with the least hash of text.
+The classifier is fitted on at most ``PER_LANGUAGE`` labelled rows of each language, those with the least hash of id and text.
 
 A text is rejected if its best score is under ``MIN_SCORE`` or less than ``MIN_MARGIN`` above the second: texts in languages or
 scripts that the classifier hasn't seen share few n-grams with any landmark, and all their scores are alike.
@@ -73,9 +73,12 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def has_letters(texts: pa.Array) -> np.ndarray:
-    data, ends = _flat.utf8(texts)
-    hits = np.concatenate([[0], np.cumsum(_CLASS[data] > 0)])
-    return hits[ends[1:]] > hits[ends[:-1]]
+    out = []
+    for low, high in _flat.slices(texts):
+        data, ends = _flat.utf8(texts.slice(low, high - low))
+        hits = np.concatenate([[0], np.cumsum(_CLASS[data] > 0)])
+        out.append(hits[ends[1:]] > hits[ends[:-1]])
+    return np.concatenate(out) if out else np.zeros(0, bool)
 
 
 class Model:
@@ -115,7 +118,13 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, **options) -> Model:
     """Fits on rows whose lang isn't null and whose text has a letter."""
-    rows = docs.where("lang is not null and text rlike '\\\\p{L}'").select("lang", F.lower("text").alias("text"), F.xxhash64("text").alias("hash"))
+    counts = docs.where("lang is not null").groupBy("lang").count().collect()
+    rate = F.lit(1.0)  # of rows that can be among the first: four times as many as are needed
+    for r in counts:
+        if r["count"] > 4 * per_language:
+            rate = F.when(F.col("lang") == r["lang"], F.lit(4 * per_language / r["count"])).otherwise(rate)
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    rows = rows.where(F.pmod("hash", F.lit(1 << 40)) < rate * (1 << 40)).where("text rlike '\\\\p{L}'").select("lang", F.lower("text").alias("text"), F.pmod("hash", F.lit(1 << 40)).alias("hash"))
     first = Window.partitionBy("lang").orderBy("hash", "text")
     taken = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("lang", "text", "rank").collect()
     taken.sort(key=lambda r: (r["lang"], r["rank"]))
