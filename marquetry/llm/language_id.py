@@ -1,6 +1,6 @@
 """Language identification with string kernels.
 
-Texts are lower-cased; letters stay, all else counts as one space.  The blended-spectrum presence kernel of two texts is the
+Texts are lower-cased; letters stay, all else counts as one space (beyond ASCII: U+0080 to U+00BF, U+2000 to U+2FFF and all above U+FFFF).  The blended-spectrum presence kernel of two texts is the
 number of n-grams (n = 1, 2, 3) that occur in both, divided by the root of the product of their own numbers.  N-grams of 2
 and 3 bytes are told apart by hashes into 2**13 and 2**15 places.  A Nystrom map with landmark texts turns
 kernel ridge regression into a linear problem: with K the landmarks' kernel matrix, texts become k(x, landmarks) K^(-1/2), and one
@@ -44,12 +44,22 @@ _TWO, _THREE = 13, 15
 PLACES = 256 + (1 << _TWO) + (1 << _THREE)
 
 
+def _classes(data: np.ndarray) -> np.ndarray:
+    """Each byte's class; 0 for what isn't a letter."""
+    c = _CLASS[data]
+    for lead, n in ((0xC2, 2), (0xE2, 3), (0xF0, 4)):  # signs of Latin-1, punctuation and symbols, emoji
+        at = np.flatnonzero(data == lead)
+        for k in range(n):
+            c[np.minimum(at + k, len(c) - 1)] = 0
+    return c
+
+
 def presence(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each text which n-grams it has: float32 [texts, PLACES]."""
     n = len(ends) - 1
     out = np.zeros((n, PLACES), np.float32)
     flat = out.ravel()
-    c = _CLASS[data]
+    c = _classes(data)
     doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(ends))
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] > 0) | (c[:-1] > 0) | (doc[1:] != doc[:-1])
@@ -76,7 +86,7 @@ def has_letters(texts: pa.Array) -> np.ndarray:
     out = []
     for low, high in _flat.slices(texts):
         data, ends = _flat.utf8(texts.slice(low, high - low))
-        hits = np.concatenate([[0], np.cumsum(_CLASS[data] > 0)])
+        hits = np.concatenate([[0], np.cumsum(_classes(data) > 0)])
         out.append(hits[ends[1:]] > hits[ends[:-1]])
     return np.concatenate(out) if out else np.zeros(0, bool)
 
