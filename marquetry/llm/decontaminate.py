@@ -131,28 +131,38 @@ class Index:
         at = np.minimum(np.searchsorted(self.known, shingles[some]), len(self.known) - 1)
         hit = self.known[at] == shingles[some]
         share[some[hit]] = self.share[at[hit]]
-        docs = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[some[hit]]
-        hot = np.unique(docs)
-        hot = hot[np.bincount(docs, share[some[hit]], len(starts) - 1)[hot] >= self.similarity - 1e-9]
-        for d in hot.tolist():
-            own = shingles[starts[d] : starts[d + 1]]
-            sums = np.concatenate([[0.0], np.cumsum(share[starts[d] : starts[d + 1]])])
-            n = len(own)
-            # a window's sum is at most that of the longest window with the same start
-            begin = np.arange(n)
-            begin = begin[sums[np.minimum(begin + max(self.sizes), n)] - sums[begin] >= self.similarity - 1e-9]
-            for size in self.sizes:
-                length = min(size, n)
-                at = begin[begin + length <= n]
-                at = at[sums[at + length] - sums[at] >= self.similarity - 1e-9]
-                for some_at in np.array_split(at, len(at) * length // 4_000_000 + 1) if len(at) else []:
-                    windows = own[some_at[:, None] + np.arange(length)]
-                    window, item = self._candidates(_fingerprints(windows.ravel(), np.arange(len(some_at) + 1) * length), size)
-                    sets = {w: frozenset(windows[w].tolist()) for w in np.unique(window).tolist()}
-                    for w, i in zip(window.tolist(), item.tolist(), strict=True):
-                        s = self.similarity_of(sets[w], i)
-                        if s >= self.similarity and (-s, some_at[w]) < (lambda best: (-best[0], best[1]))(out[d].get(i, (-1.0, 0))):
-                            out[d][i] = (s, int(some_at[w]))
+        if not hit.any():
+            return
+        sums = np.concatenate([[0.0], np.cumsum(share)])
+        least = self.similarity - 1e-9
+        # a window's sum is at most that of the longest window with the same start
+        ends = np.repeat(starts[1:], np.diff(starts))
+        begin = np.arange(len(shingles))
+        begin = begin[sums[np.minimum(begin + max(self.sizes), ends)] - sums[begin] >= least]
+        ends = ends[begin]
+        docs = np.searchsorted(starts, begin, "right") - 1
+        counts = np.diff(starts)[docs]
+        for size in self.sizes:
+            whole = counts < size  # a document shorter than the window is one window
+            length = np.where(whole, counts, size)
+            fits = begin + length <= ends
+            fits[fits] = sums[(begin + length)[fits]] - sums[begin[fits]] >= least
+            for part in (np.flatnonzero(fits & ~whole), *([k] for k in np.flatnonzero(fits & whole).tolist())):
+                for some_at in np.array_split(part, len(part) * size // 2_000_000 + 1) if len(part) else []:
+                    self._verify(shingles, begin[some_at], docs[some_at], starts, int(length[some_at[0]]), size, out)
+
+    def _verify(self, shingles: np.ndarray, begin: np.ndarray, docs: np.ndarray, starts: np.ndarray, length: int, size: int, out: list[dict]) -> None:
+        windows = shingles[begin[:, None] + np.arange(length)]
+        window, item = self._candidates(_fingerprints(windows.ravel(), np.arange(len(begin) + 1) * length), size)
+        sets = {w: frozenset(windows[w].tolist()) for w in np.unique(window).tolist()}
+        for w, i in zip(window.tolist(), item.tolist(), strict=True):
+            s = self.similarity_of(sets[w], i)
+            if s >= self.similarity:
+                d = int(docs[w])
+                first = int(begin[w] - starts[d])
+                best = out[d].get(i)
+                if best is None or (-s, first) < (-best[0], best[1]):
+                    out[d][i] = (s, first)
 
 
 def indexes(benchmark: DataFrame, **options) -> Iterator[Index]:
