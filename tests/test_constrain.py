@@ -51,12 +51,14 @@ def brute_greedy(probs, prior, low, high):
 
 
 UNIFORM = np.ones(2000)
-CASES = [
-    ([0.1, 0.3, 0.5, 0.7, 0.9, 0.2, 0.4, 0.6, 0.8, 1], 3, 5),
-    ([0.1, 0.1, 0.1, 0.9, 0.1, 0.1, 0.1, 0.9, 0.1, 0.9], 4, 6),
-    ([0.1, 0.1, 0.9, 0.1, 0.1, 0.1, 0.1, 0.9], 3, 5),
-    ([0.0] * 15, 5, 5),
-]
+
+
+def tenths(digits):
+    """Probabilities in tenths; x is 1."""
+    return [1.0 if d == "x" else int(d) / 10 for d in digits]
+
+
+CASES = [(tenths("135792468x"), 3, 5), (tenths("1119111919"), 4, 6), (tenths("11911119"), 3, 5), (tenths("0" * 15), 5, 5)]
 
 
 @pytest.mark.parametrize(("probs", "low", "high"), CASES)
@@ -65,13 +67,13 @@ def test_lengths_of_small_cases(probs, low, high):
 
 
 def test_impossible_minimum():
-    probs = [0.1, 0.1, 0.1, 0.1, 0.9, 0.1, 0.9]
+    probs = tenths("1111919")
     got = sizes(C.boundaries(probs, UNIFORM, 4, 5), 7)
     assert sum(got) == 7 and max(got) <= 5
 
 
 def test_sparse_prior_falls_back():
-    probs = [0.115138, 0.818739, 0.353214, 0.983067, 0.883825, 1, 0.356253]
+    probs = tenths("2839x94")
     got = sizes(C.boundaries(probs, lambda n: 0.0 if n % 3 == 1 else 1.0, 3, 5), 7)
     assert sum(got) == 7 and all(3 <= s <= 5 for s in got)
 
