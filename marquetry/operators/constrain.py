@@ -15,12 +15,14 @@ _NEAR = 19  # how far before the limit white space is looked for
 
 
 def check(min_length: int, max_length: int | None, algorithm: str) -> None:
-    if min_length < 1:
-        raise ValueError(f"min_length must be at least 1, not {min_length}")
-    if max_length is not None and max_length < 1:
-        raise ValueError(f"max_length must be at least 1, not {max_length}")
-    if max_length is not None and min_length > max_length:
-        raise ValueError(f"min_length ({min_length}) must not be greater than max_length ({max_length})")
+    least, most = min_length, max_length
+    if least < 1:
+        raise ValueError(f"min_length must be at least 1; it is {least}")
+    if most is not None:
+        if most < 1:
+            raise ValueError(f"max_length must be at least 1; it is {most}")
+        if most < least:
+            raise ValueError(f"min_length, {least}, is above max_length, {most}; it must not be")
     if algorithm not in ALGORITHMS:
         raise ValueError(f"Unknown algorithm: {algorithm}")
 

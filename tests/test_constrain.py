@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from marquetry.functions.priors import length_defaults, weights
+from marquetry.functions.priors import NAMES, length_defaults, weights
 from marquetry.operators import constrain as C
 
 
@@ -92,7 +92,7 @@ def test_more_cases():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.9, 1.0]), min_size=1, max_size=40), st.integers(1, 6), st.integers(0, 12), st.sampled_from(["uniform", "gaussian", "clipped_polynomial", "lognormal"]))
+@given(st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.9, 1.0]), min_size=1, max_size=40), st.integers(1, 6), st.integers(0, 12), st.sampled_from(NAMES))
 def test_searches_against_loops(probs, low, more, name):
     probs = np.array(probs, np.float32)
     high = low + more

@@ -33,7 +33,8 @@ def split(spark, texts, scorer=None, **options):
 
 
 def test_cuts(spark):
-    a, b = "This is a test sentence ", "This is another test sentence."
+    a = "This is a test sentence "
+    b = a.replace("a ", "another ", 1).strip() + "."
     assert split(spark, [a + b], At("a test sentence")) == [[a, b]]
     assert split(spark, [a + b + "   "], At("a test sentence"), strip_whitespace=True) == [[a.strip(), b]]
     lines = "Yes\nthis is a test sentence. " + b
