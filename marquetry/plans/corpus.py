@@ -129,6 +129,26 @@ def expand_mixed(rows: DataFrame, lang: str = "lang") -> DataFrame:
     return rows.withColumn(lang, F.explode(names))
 
 
+def groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n): the groups that occur; empty combinations don't."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def union_shuffled(parts: dict[str, DataFrame], key: list[str], seed: str = "") -> DataFrame:
+    """All rows with their source as ``dataset``, and ``place``, a hash by which they are in random order."""
+    out = None
+    for name, df in parts.items():
+        df = df.withColumn("dataset", F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out.withColumn("place", hash_order("dataset", *key, seed=seed))
+
+
+def collect_subsets(rows: DataFrame, subsets: dict[str, list[str]], by: list[str], column: str = "dataset") -> DataFrame:
+    """Rows with the names of the unions that their dataset belongs to, a row for each; datasets in no union go."""
+    pairs = rows.sparkSession.createDataFrame([(d, name) for name, members in subsets.items() for d in members], f"{column} string, subset string")
+    return rows.join(F.broadcast(pairs), column)  # as many rows as the caller listed
+
+
 def with_several(rows: DataFrame, by: list[str], at_least: int = 2) -> DataFrame:
     """Rows of groups with at least so many."""
     return rows.withColumn("__n", F.count("*").over(Window.partitionBy(*by))).where(F.col("__n") >= at_least).drop("__n")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -92,6 +90,17 @@ def at_threshold(df: DataFrame, score: str, label: str, threshold: float, by: li
     return scores(counts)
 
 
+def logit(probability: float) -> float:
+    """The threshold for logits that goes with one for probabilities."""
+    return float(np.log(probability / (1 - probability)))
+
+
+def far_apart(a: DataFrame, b: DataFrame, key: list[str], value: str, relative: float = 1e-4, absolute: float = 1e-5) -> DataFrame:
+    """(key, a, b) of rows whose values differ by more than the tolerances, or that one side lacks."""
+    both = a.select(*key, F.col(value).alias("a")).join(b.select(*key, F.col(value).alias("b")), key, "full")
+    return both.where(F.col("a").isNull() | F.col("b").isNull() | (F.abs(F.col("a") - F.col("b")) > absolute + relative * F.abs(F.col("b"))))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """struct<iou, f1> of two sets of places; 1 if both are empty."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

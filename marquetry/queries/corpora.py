@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.segment import rule_segments
 from ..plans import corpus as C
-from .common import RULE_RE, SENT_SQL, STRIP_RE, query, sentences, table
+from .common import SENT_SQL, query, sentences, table
 
 
 def _kmers(k: int):
@@ -166,3 +165,27 @@ def packed_blocks(spark, sf_dir):
     """Sentences of each language and source packed into blocks of 256 tokens (here: characters' code points)."""
     packed = C.pack_sentences(sentences(spark, sf_dir).withColumn("o", F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("sent_idx").cast("string"), 8, "0"))), ["lang", "source"], "o", 256, lambda s: [ord(c) for c in s])
     return packed.select("lang", "source", "block_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("tokens"), F.size(F.filter("labels", lambda x: x == 1)).alias("sentences"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def groups(spark, sf_dir):
+    return C.groups(table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@query("""SELECT dataset, id, md5('u:' || dataset || ':' || id) AS place FROM (SELECT 'documents' AS dataset, doc_id AS id FROM documents UNION ALL SELECT 'benchmark', item_id FROM benchmark)""")
+def union_shuffled(spark, sf_dir):
+    parts = {"documents": table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "benchmark": table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))}
+    return C.union_shuffled(parts, ["id"], seed="u").select("dataset", "id", "place")
+
+
+@query("""SELECT doc_id, source, subset FROM documents JOIN (VALUES ('src1', 'laws'), ('src2', 'laws'), ('src2', 'judgements'), ('src5', 'judgements')) s(source, subset) USING (source)""")
+def collect_subsets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return C.collect_subsets(docs, {"laws": ["src1", "src2"], "judgements": ["src2", "src5"]}, ["doc_id"], "source").select("doc_id", "source", "subset")
+
+
+@query()
+def baseline_sentences(spark, sf_dir):
+    """Sentences by the JDK's rules, as a baseline."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(F.sentences("text", F.col("lang"), F.lit(""))).alias("sentences"))

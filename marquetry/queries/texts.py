@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import align as A
-from ..operators.segment import rule_segments
 from ..plans.corpus import corrupt_training as corrupt
 from ..resources import LANGUAGE_NAMES, PUNCTUATION
 from .common import MARKS_SQL, SENT_SQL, STRIP_RE, WS, query, sentences, sql_strip, table

@@ -93,3 +93,10 @@ def test_statistics_skip_nulls(spark):
     r = E.statistics(df, "v", "n", ["g"]).first()
     assert (r["mean"], r["median"], r["std"], r["min_name"], r["max_name"]) == (2.0, 2.0, 1.0, "a", "c")
     assert E.statistics(df.where(F.lit(False)), "v", "n", ["g"]).count() == 0
+
+
+def test_tolerances(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0)], "k long, v double")
+    b = spark.createDataFrame([(1, 1.00005), (2, 1.1)], "k long, v double")
+    assert {r["k"] for r in E.far_apart(a, b, ["k"], "v").collect()} == {2, 3}
+    assert E.logit(0.5) == 0 and E.logit(0.9) == pytest.approx(2.19722, abs=1e-4)

@@ -72,6 +72,13 @@ def test_both_ways_agree(spark):
         assert r["segments"] == r["r"] and "".join(r["r"]) == r["text"]
 
 
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "x" * 1_000_000 + ". " + "y " * 200_000)], "doc_id long, text string")
+    a = df.select(F.transform(S.rule_segments(F.col("text")), lambda s: F.length(s)).alias("n")).first()["n"]
+    b = S.segment(df).select(F.transform("segments", lambda s: F.length(s)).alias("n")).first()["n"]
+    assert a == b == [1_000_002, 400_000]
+
+
 def test_cut_against_a_loop():
     rng = np.random.default_rng(1)
     for _ in range(300):
