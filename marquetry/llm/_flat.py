@@ -150,15 +150,3 @@ def bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(pieces)
     out[full] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 64).astype(np.int64), first[:-1][full], axis=0)
     return out
-
-
-def running_lanes(hashes: np.ndarray) -> np.ndarray:
-    """Running sums of the 64 bits in byte lanes, uint64 [n + 1, 8].
-
-    Differences of two rows are exact, lane by lane, for stretches of at most 255 hashes.
-    """
-    by_byte = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)
-    out = np.zeros((len(hashes) + 1, 8), np.uint64)
-    for i in range(8):
-        np.cumsum(_SPREAD[by_byte[:, i]], out=out[1:, i])
-    return out

@@ -76,6 +76,7 @@ def presence(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Presence vectors of a bounded number of texts and characters at a time."""
     for low, high in _flat.slices(texts):
         for a in range(low, high, ROWS):
             b = min(high, a + ROWS)
@@ -109,21 +110,21 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     if len(names) < 2:
         return Model([], np.zeros((PLACES, 0), np.float32))
     label = np.array([names.index(x) for x in languages])
-    p = np.concatenate([x for _, _, x in _blocks(pa.array(texts, pa.string()))])
-    norms = np.sqrt(np.maximum(p.sum(axis=1), 1))
     rank = np.zeros(len(label), np.int64)  # landmarks are taken from the languages in turn
     for k in range(len(names)):
         own = np.flatnonzero(label == k)
         rank[own] = np.arange(len(own))
     marks = np.lexsort((label, rank))[:landmarks]
-    kernel = (p @ p[marks].T / norms[:, None] / norms[marks]).astype(np.float64)
+    at_marks = np.concatenate([x for _, _, x in _blocks(pa.array([texts[i] for i in marks], pa.string()))])
+    at_marks /= np.sqrt(np.maximum(at_marks.sum(axis=1), 1))[:, None]
+    kernel = np.concatenate([(x @ at_marks.T / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]).astype(np.float64) for _, _, x in _blocks(pa.array(texts, pa.string()))])
     values, vectors = np.linalg.eigh(kernel[marks])
     root = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0) @ vectors.T
     phi = kernel @ root
     target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     balance = 1 / np.bincount(label)[label][:, None]
     weights = np.linalg.solve(phi.T @ (phi * balance) + ridge * np.eye(len(marks)), phi.T @ (target * balance))
-    return Model(names, (p[marks].T / norms[marks] @ (root @ weights)).astype(np.float32))
+    return Model(names, (at_marks.T @ (root @ weights)).astype(np.float32))
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, **options) -> Model:
