@@ -41,6 +41,57 @@ def test_check_digits():
     assert sum(P.mod97(f"DE{k:02}370400440532013000") for k in range(2, 99)) == 1
 
 
+def naive_cards(text):
+    """Every run of 13 to 19 digits with nothing word-like around it that passes Luhn, found by a loop over characters."""
+    out, i = [], 0
+    while i < len(text):
+        if not text[i].isdigit():
+            i += 1
+            continue
+        j = i
+        while j < len(text) and text[j].isdigit():
+            j += 1
+        before, after = text[i - 1 : i], text[j : j + 1]
+        alone = not (before and (before.isalnum() or before in "_.+-")) and not (after and (after.isalnum() or after == "_"))
+        if alone and 13 <= j - i <= 19 and P.luhn(text[i:j]) and len(set(text[i:j])) > 1:
+            out.append((i, j))
+        i = j
+    return out
+
+
+def naive_ipv4(text):
+    """Every substring of four numbers up to 255 joined by dots that isn't part of a longer one."""
+    out = []
+    for i in range(len(text)):
+        for j in range(i + 7, min(len(text), i + 15) + 1):
+            parts = text[i:j].split(".")
+            if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts):
+                before, after = text[i - 1 : i], text[j : j + 2]
+                if not (before and (before.isalnum() or before in "_.")) and not (after[:1].isalnum() or after[:1] == "_" or (after[:1] == "." and after[1:].isdigit())):
+                    out.append((i, j))
+    return out
+
+
+def test_against_loops_over_characters():
+    import random
+
+    rng = random.Random(0)
+    hits = 0
+    for _ in range(3000):
+        kind = rng.choice("ci")
+        if kind == "c":
+            text = "".join(rng.choice(["a", " ", "_", ".", "4", "41111111111111", "4845168114407329", "12"]) for _ in range(8))
+            want = naive_cards(text)
+            got = [(m.start(), m.end()) for m in P._CARD.finditer(text) if m.group().isdigit() and P.luhn(m.group()) and len(set(m.group())) > 1]
+        else:
+            text = "".join(rng.choice(["1", "25", "256", ".", ".", ".", " ", "a", "99"]) for _ in range(14))
+            want = naive_ipv4(text)
+            got = [(m.start(), m.end()) for m in P._IPV4.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+        assert got == want, text
+        hits += bool(want)
+    assert hits > 50
+
+
 def test_neighbours_and_overlaps():
     text = "7536784127813050 4845168114407329 tel +1 (826) 555-4081 190.137.223.204"
     assert [k for k, *_ in P.spans(text)] == ["card", "card", "phone", "ipv4"]
