@@ -6,7 +6,7 @@
    of ``(x xor z)`` on the strip is at most 1.  The centres are the words of a Hamming code, whose
    balls of radius 1 tile the strip, so that each fingerprint passes exactly one filter.  Each list is
    filtered again on the next strip until lists are small.
-3. Lists are searched by brute force: any two fingerprints of a list that differ in at most
+3. A list that is still large is filtered further by itself; then lists are searched by brute force: any two fingerprints of a list that differ in at most
    ``radius`` bits are joined.  Repetitions are as many as the target recall needs.
 4. Connected groups are labelled with their least id.
 
@@ -28,13 +28,15 @@ from . import _flat
 from ._spark import checkpoint
 
 BITS = 256
-RADIUS = 52
+RADIUS = 58
 SHINGLE = 2
 RECALL = 0.96
 #: Bits that differ between typical near copies, as a share; the number of repetitions follows from it.
-DESIGN_DISTANCE = 0.16
+DESIGN_DISTANCE = 0.18
 #: Strips are added until lists hold this many fingerprints on average at most.
 LIST_SIZE = 512
+#: A list with more fingerprints than this is cut up again before it is searched.
+LARGE_LIST = 4096
 _FIRST, _NEXT = 4, 3  # check bits of the Hamming codes: strips of 15 coordinates (11 bits of key), then of 7 (4 bits)
 _SEED = 5
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -114,11 +116,37 @@ def filter_keys(packed: np.ndarray, strips: int, repetition: int) -> np.ndarray:
 _CODES = {c: _code(c) for c in (_FIRST, _NEXT)}
 
 
-def near_edges(fps: np.ndarray, ids: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _recursed(fps: np.ndarray, ids: np.ndarray, radius: int, recall: float = 0.99, distance: float = DESIGN_DISTANCE) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges within one large list: it is filtered again by random strips of 7 coordinates, often enough for the recall."""
+    strips = 1
+    while len(ids) / 2 ** (4 * strips) > LIST_SIZE and strips < 5:
+        strips += 1
+    packed = fps.view(np.uint8).reshape(len(fps), -1)
+    a, b = [], []
+    for r in range(math.ceil(math.log(1 - recall) / math.log(1 - same_list(distance, _NEXT) ** strips))):
+        rng = np.random.default_rng([_SEED, 1, r])
+        order, flips = rng.permutation(BITS), rng.integers(0, 2, BITS).astype(np.uint8)
+        key = np.zeros(len(ids), np.int64)
+        for level in range(strips):
+            value = np.zeros(len(ids), np.int64)
+            for j, coordinate in enumerate(order[level * 7 : level * 7 + 7]):
+                value |= (packed[:, coordinate >> 3] >> (7 - (coordinate & 7)) & 1 ^ flips[coordinate]).astype(np.int64) << j
+            key = (key << 4) | _CODES[_NEXT][value]
+        sort = np.argsort(key, kind="stable")
+        key = key[sort]
+        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        x, y = near_edges(fps[sort], ids[sort], edges, radius, recurse=False)
+        a.append(x)
+        b.append(y)
+    return a, b
+
+
+def near_edges(fps: np.ndarray, ids: np.ndarray, starts: np.ndarray, radius: int, recurse: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """For lists that follow each other (starts: n + 1 indices), pairs that join all fingerprints within the radius.
 
     Short lists are compared pair by pair, all lists at once.  In a longer one each fingerprint that is reached
     is compared with those not reached yet, which finds the same groups without the pairs inside a dense group.
+    A list of more than LARGE_LIST is filtered further first.
     """
     a, b = [], []
     sizes = np.diff(starts)
@@ -132,6 +160,11 @@ def near_edges(fps: np.ndarray, ids: np.ndarray, starts: np.ndarray, radius: int
         a.append(ids[at[close]])
         b.append(ids[at[close] + step])
     for k in np.flatnonzero(sizes > 64):
+        if recurse and sizes[k] > LARGE_LIST:
+            x, y = _recursed(np.ascontiguousarray(fps[starts[k] : starts[k + 1]]), ids[starts[k] : starts[k + 1]], radius)
+            a += x
+            b += y
+            continue
         rest = np.arange(starts[k], starts[k + 1])
         queue: list[int] = []
         while len(rest):

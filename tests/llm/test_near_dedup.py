@@ -58,6 +58,22 @@ def test_large_lists_are_searched_whole():
     assert reached == {7, *range(200, 280)}
 
 
+def test_a_very_large_list_is_filtered_again(monkeypatch):
+    monkeypatch.setattr(N, "LARGE_LIST", 500)
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**63, (6000, 4)).astype(np.uint64)
+    pairs = []
+    for k in range(0, 600, 2):  # copies that differ in an eighth of the bits
+        flip = rng.permutation(256)[:32]
+        bits = np.unpackbits(fps[k].view(np.uint8))
+        bits[flip] ^= 1
+        fps[k + 1] = np.packbits(bits).view(np.uint64)
+        pairs.append((k, k + 1))
+    a, b = N.near_edges(fps, np.arange(6000), np.array([0, 6000]), N.RADIUS)
+    found = set(zip(a.tolist(), b.tolist()))
+    assert found <= set(pairs) and len(found) >= 0.95 * len(pairs)
+
+
 def test_fingerprints_follow_words():
     import pyarrow as pa
 
