@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from ..resources import NO_PUNCTUATION, NO_WHITESPACE
+from .running import running_total
 
 
 def hash_order(*columns: str, seed: str = "") -> Column:
@@ -69,8 +70,9 @@ def split_off(rows: DataFrame, key: list[str], per_thousand: int, seed: str = ""
 
 def half_split(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Adds split: train for the first half (rounded down) of each group, else test."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn("split", F.when(F.row_number().over(w.orderBy(*order)) <= F.floor(F.count("*").over(w) / 2), "train").otherwise("test"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    ranked = running_total(rows, by, order, F.lit(1), "__rank").join(sizes, by)
+    return ranked.withColumn("split", F.when(F.col("__rank") <= F.floor(F.col("__n") / 2), "train").otherwise("test")).drop("__rank", "__n")
 
 
 def first_rows(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
@@ -91,8 +93,7 @@ def thin_unpunctuated(rows: DataFrame, flag: str, target: float, key: list[str],
 
 def interleave(rows: DataFrame, by: str, order: list[str], restart: bool = False) -> DataFrame:
     """Adds turn: sources take turns, in the order of their names; with restart, exhausted ones begin anew until the longest ends."""
-    w = Window.partitionBy(by).orderBy(*order)
-    ranked = rows.withColumn("turn", F.row_number().over(w).cast("long"))
+    ranked = running_total(rows, [by], order, F.lit(1).cast("long"), "turn")
     if not restart:
         return ranked
     sizes = rows.groupBy(by).agg(F.count("*").alias("__n"))
@@ -155,9 +156,10 @@ def with_several(rows: DataFrame, by: list[str], at_least: int = 2) -> DataFrame
 
 
 def char_budget(rows: DataFrame, by: list[str], order: list[str], budget: int, text: str = "text") -> DataFrame:
-    """Rows until the budget is reached, the one that reaches it included."""
-    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("__before", before).where(F.col("__before") < budget).drop("__before")
+    """Rows until the budget is reached, the one that reaches it included; only lengths are summed."""
+    n = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    total = running_total(rows.select(*by, *order, n.alias("__n")), by, order, F.col("__n"), "__total")
+    return rows.join(total.where(F.col("__total") - F.col("__n") < budget).select(*by, *order), [*by, *order], "left_semi")
 
 
 def missing(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
@@ -185,9 +187,10 @@ def token_blocks(rows: DataFrame, by: list[str], order: list[str], block: int, t
 
     A rest shorter than a block goes.  Only lengths are summed; texts stay where they are.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.length(text).cast("long")
-    placed = rows.select(*by, *order, n.alias("n"), (F.sum(n).over(w) - n).alias("begin")).withColumn("total", F.max(F.col("begin") + F.col("n")).over(Window.partitionBy(*by)))
+    n = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    placed = running_total(rows.select(*by, *order, n.alias("n")), by, order, F.col("n"), "after").withColumn("begin", F.col("after") - F.col("n"))
+    totals = rows.groupBy(*by).agg(F.sum(n).alias("total"))
+    placed = placed.join(totals, by)
     first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("n") - 1) / block)
     blocks = placed.where("n > 0").withColumn("block", F.explode(F.sequence(first, last))).where((F.col("block") + 1) * block <= F.col("total"))
     start = F.greatest(F.col("block") * block - F.col("begin"), F.lit(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.segment import rule_segments
+from ..operators.segment import rule_segments, strip_column
 from ..plans import evaluate as E
 from ..plans.corpus import length_statistics
 from ..functions import text as T
@@ -27,9 +27,8 @@ _PRF_SQL = f"WITH {_GP_SQL}, {_COUNT_SQL.format(g='gold', p='pred')}"
 def _gold_and_predicted(spark, sf_dir):
     sent = sentences(spark, sf_dir)
     gold = E.gold_boundaries(sent, ["doc_id", "lang"])
-    whole = sent.groupBy("doc_id", "lang").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "sentence"))).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: x["sentence"]), " ")
-    segs = whole.select("doc_id", "lang", F.posexplode(rule_segments(text)).alias("seg_idx", "segment"))
+    text = F.array_join(strip_column(rule_segments(F.col("text"))), " ")  # what the sentences make, without moving any text
+    segs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(rule_segments(text)).alias("seg_idx", "segment"))
     return gold, E.predicted_boundaries(segs, ["doc_id", "lang"])
 
 

@@ -18,8 +18,9 @@ def _exploded(df, segments: Column, *columns: str, index: str = "seg_idx", value
 @query(f"WITH {CUTS_SQL} SELECT lang, count(DISTINCT doc_id) AS docs, count(*) AS segments, round(avg(length(segment)), 6) AS avg_length FROM cuts GROUP BY lang")
 def seg_rule_count(spark, sf_dir):
     segs = S.rule_segments(F.col("text"))
-    per_doc = table(spark, sf_dir, "documents").select("lang", F.size(segs).alias("n"), F.length("text").alias("c")).where("n > 0")
-    return per_doc.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("segments"), F.round(F.sum("c") / F.sum("n"), 6).alias("avg_length"))
+    per_doc = table(spark, sf_dir, "documents").select("lang", F.size(segs).alias("n"), F.length("text").alias("c"))
+    sums = per_doc.groupBy("lang").agg(F.count_if(F.col("n") > 0).alias("docs"), F.sum("n").alias("segments"), F.sum("c").alias("c"))
+    return sums.where("segments > 0").select("lang", "docs", "segments", F.round(F.col("c") / F.col("segments"), 6).alias("avg_length"))
 
 
 @query(f"WITH {CUTS_SQL} SELECT doc_id, seg_idx, segment FROM cuts")
