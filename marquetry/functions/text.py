@@ -185,12 +185,24 @@ def hash_codes(text: Column, hashes: int = 8, buckets: int = 8192) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.transform(primes, lambda p: F.pmod((F.ascii(c) + 1) * p, F.lit(buckets)).cast("int")))
 
 
+_LABELS = np.zeros(max(map(ord, PUNCTUATION)) + 2, np.int32)
+_LABELS[[10, *map(ord, PUNCTUATION)]] = np.arange(1, len(PUNCTUATION) + 2)
+
+
+def _next_labels(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts.to_pylist():
+        if t is not None:
+            cp = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            t = np.zeros(len(cp), np.int32)
+            t[:-1] = _LABELS[np.minimum(cp[1:], len(_LABELS) - 1)]
+        out.append(t)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def next_labels(text: Column) -> Column:
     """Each character's label is the class of the next: 1 for a line break, 2 + k for the kth mark, else 0; the last has 0."""
-    pairs = [x for i, c in enumerate(["\n", *PUNCTUATION]) for x in (F.lit(c), F.lit(i + 1))]
-    classes = F.create_map(*pairs)
-    chars = F.split(text, "")
-    return F.transform(F.concat(F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), F.array(F.lit(""))), lambda c: F.coalesce(F.try_element_at(classes, c), F.lit(0)))
+    return F.arrow_udf(_next_labels, "array<int>")(text)
 
 
 def all_of(conditions: list[Column]) -> Column:
