@@ -18,6 +18,11 @@ WS = f"[{WS_CLASS}]"
 NOT_WS = f"[^{WS_CLASS}]"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is evaluated once; inside other lambdas an expression would be evaluated for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
@@ -147,27 +152,19 @@ def is_refusal(alignment: Column, gap: str = "@") -> Column:
     return alignment.rlike(f"^(?:{re.escape(gap)})+\\z")
 
 
-def equal_split_chars(text: Column, k: Column) -> Column:
-    """k parts of as equal a number of characters as can be: part i begins at floor(i n / k)."""
-    n = F.length(text)
+def _bounds(i: Column, n: Column, k: Column) -> tuple[Column, Column]:
+    start = F.floor(i * n / k).cast("int")
+    return start + 1, F.floor((i + 1) * n / k).cast("int") - start
 
-    def part(i: Column) -> Column:
-        a, b = F.floor(i * n / k).cast("int"), F.floor((i + 1) * n / k).cast("int")
-        return F.substring(text, a + 1, b - a)
 
-    return F.transform(F.sequence(F.lit(0), k - 1), part)
+def equal_split_chars(text: Column, k: Column) -> Column:
+    """k parts of as equal a number of characters as can be: part i begins at floor(i n / k)."""
+    return let(F.length(text), lambda n: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substring(text, *_bounds(i, n, k))))
 
 
 def equal_split_words(text: Column, k: Column) -> Column:
     """The same by words."""
-    words = F.split(text, " ")
-    n = F.size(words)
-
-    def part(i: Column) -> Column:
-        a, b = F.floor(i * n / k).cast("int"), F.floor((i + 1) * n / k).cast("int")
-        return F.array_join(F.slice(words, a + 1, b - a), " ")
-
-    return F.transform(F.sequence(F.lit(0), k - 1), part)
+    return let(F.split(text, " "), lambda w: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.array_join(F.slice(w, *_bounds(i, F.size(w), k)), " ")))
 
 
 def code_points(text: Column) -> Column:

@@ -7,6 +7,8 @@ import math
 import numpy as np
 from pyspark.sql import Column, functions as F
 
+from ..functions.text import let
+
 
 def check(block: int, stride: int) -> None:
     if not 0 < stride <= block:
@@ -20,13 +22,17 @@ def window_count(n: Column, block: int, stride: int) -> Column:
 def window_spans(n: Column, block: int, stride: int) -> Column:
     """array<struct<start, end>>: windows of a block every stride characters, the last flush with the end."""
     check(block, stride)
-    last = F.greatest(n - block, F.lit(0)).cast("int")
 
-    def span(k: Column) -> Column:
-        start = F.least(k * stride, last)
-        return F.struct(start.alias("start"), F.least(start + block, n).cast("int").alias("end"))
+    def spans(size: Column) -> Column:
+        last = F.greatest(size - block, F.lit(0)).cast("int")
+
+        def span(k: Column) -> Column:
+            start = F.least(k * stride, last)
+            return F.struct(start.alias("start"), F.least(start + block, size).cast("int").alias("end"))
+
+        return F.transform(F.sequence(F.lit(0), window_count(size, block, stride) - 1), span)
 
-    return F.transform(F.sequence(F.lit(0), window_count(n, block, stride) - 1), span)
+    return let(n, spans)
 
 
 def windows(n: int, block: int, stride: int) -> list[tuple[int, int]]:

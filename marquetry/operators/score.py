@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import PRIMES
+from ..functions.text import PRIMES, let
 
 SPACES = frozenset(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SENTENCE_ENDS = ".!?…。！？"
@@ -149,8 +149,9 @@ def predict_proba(df: DataFrame, scorer: Scorer | None = None, text: str = "text
 def token_probabilities(n_chars: Column, ends: Column, logits: Column) -> Column:
     """A token's sigmoid at its last character, 0 elsewhere; tokens that end at 0 are dropped."""
     at = F.map_from_entries(F.filter(F.arrays_zip(ends.alias("e"), logits.alias("x")), lambda t: t["e"] > 0))
-    p = lambda i: F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.try_element_at(at, i))), F.lit(0.0)).cast("float")
-    return F.when(n_chars > 0, F.transform(F.sequence(F.lit(1), n_chars), p)).otherwise(F.array().cast("array<float>"))
+    p = lambda x: F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.exp(-x)), F.lit(0.0)).cast("float")
+    found = let(at, lambda m: F.transform(F.sequence(F.lit(1), n_chars), lambda i: p(F.try_element_at(m, i))))
+    return F.when(n_chars > 0, found).otherwise(F.array().cast("array<float>"))
 
 
 def linear_probability(x: Column, coefficients: list[float], intercept: float) -> Column:

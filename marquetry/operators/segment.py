@@ -76,9 +76,11 @@ def split_lines(segments: list[str]) -> list[str]:
 
 
 def split_lines_column(segments: Column) -> Column:
-    last = F.size(segments) - 1
-    lines = F.transform(segments, lambda s, i: F.split(F.when((i < last) & s.endswith("\n"), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s), "\n"))
-    return F.flatten(lines)
+    def lines(all_segments: Column) -> Column:
+        last = F.size(all_segments) - 1
+        return F.transform(all_segments, lambda s, i: F.split(F.when((i < last) & s.endswith("\n"), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s), "\n"))
+
+    return F.flatten(T.let(segments, lines))
 
 
 def strip_column(segments: Column) -> Column:
