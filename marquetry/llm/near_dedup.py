@@ -7,7 +7,7 @@
    balls of radius 1 tile the strip, so that each fingerprint passes exactly one filter.  Each list is
    filtered again on the next strip until lists are small.
 3. A list that is still large is filtered further by itself; then lists are searched by brute force: any two fingerprints of a list that differ in at most
-   ``radius`` bits are joined.  Repetitions are as many as the target recall needs.
+   ``radius`` bits are joined.  Repetitions are as many as the target recall needs for pairs at the radius.
 4. Connected groups are labelled with their least id.
 
 Cases: a null text, and a text without any word, has no fingerprint and is in no group.  Rows with a null ``doc_id``
@@ -31,8 +31,8 @@ BITS = 256
 RADIUS = 58
 SHINGLE = 2
 RECALL = 0.96
-#: Bits that differ between typical near copies, as a share; the number of repetitions follows from it.
-DESIGN_DISTANCE = 0.18
+#: Bits that differ between the furthest pairs that count, as a share; the number of repetitions follows from it.
+DESIGN_DISTANCE = RADIUS / BITS
 #: Strips are added until lists hold this many fingerprints on average at most.
 LIST_SIZE = 512
 #: A list with more fingerprints than this is cut up again before it is searched.
@@ -77,13 +77,21 @@ def _code(checks: int) -> np.ndarray:
     return np.unique(word, return_inverse=True)[1]
 
 
-def same_list(delta: float, checks: int) -> float:
-    """Chance that two vectors share their code word if each of a strip's bits differs with chance ``delta``."""
-    n = 2**checks - 1
-    q = 1 - delta
-    at_centre = q**n + n * delta * q ** (n - 1)
-    beside = q**n + delta * q ** (n - 1) + (n - 1) * delta**2 * q ** (n - 2)
-    return (at_centre + n * beside) / (n + 1)
+def same_list(differing: int, checks: list[int]) -> float:
+    """Chance that two vectors that differ in so many of all bits share their code word on each of the strips.
+
+    Strips are drawn without replacement.  Two words of a strip of n bits that differ in none of them have one code word, those that
+    differ in one or in two bits have it with 2 / (n + 1), others never.
+    """
+    ways = np.ones(1)
+    for n in (2**c - 1 for c in checks):
+        ways = np.convolve(ways, [1, 2 * n / (n + 1), n * (n - 1) / (n + 1)])
+    rest = BITS - sum(2**c - 1 for c in checks)
+    return sum(float(w) * math.comb(rest, differing - k) / math.comb(BITS, differing) for k, w in enumerate(ways) if k <= differing)
+
+
+def _repetitions(recall: float, chance: float) -> int:
+    return math.ceil(math.log(1 - recall) / math.log(1 - chance)) if chance < 1 else 1
 
 
 def plan(n_nodes: int, recall: float = RECALL, distance: float = DESIGN_DISTANCE, list_size: int = LIST_SIZE) -> tuple[int, int]:
@@ -91,8 +99,7 @@ def plan(n_nodes: int, recall: float = RECALL, distance: float = DESIGN_DISTANCE
     strips = 2
     while n_nodes / 2 ** (11 + 4 * (strips - 1)) > list_size and strips < 6:
         strips += 1
-    chance = same_list(distance, _FIRST) * same_list(distance, _NEXT) ** (strips - 1)
-    return strips, math.ceil(math.log(1 - recall) / math.log(1 - chance))
+    return strips, _repetitions(recall, same_list(round(distance * BITS), [_FIRST] + [_NEXT] * (strips - 1)))
 
 
 def filter_keys(packed: np.ndarray, strips: int, repetition: int) -> np.ndarray:
@@ -116,15 +123,18 @@ def filter_keys(packed: np.ndarray, strips: int, repetition: int) -> np.ndarray:
 _CODES = {c: _code(c) for c in (_FIRST, _NEXT)}
 
 
-def _recursed(fps: np.ndarray, ids: np.ndarray, radius: int, recall: float = 0.99, distance: float = DESIGN_DISTANCE) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges within one large list: it is filtered again by random strips of 7 coordinates, often enough for the recall."""
+def _recursed(fps: np.ndarray, ids: np.ndarray, radius: int, key_of_list: int, recall: float = 0.99) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges within one large list: it is filtered again by random strips of 7 coordinates, often enough for the recall of pairs at the radius.
+
+    The strips differ between lists and repetitions (both are in the list's key), so that a pair missed in one can be found in another.
+    """
     strips = 1
     while len(ids) / 2 ** (4 * strips) > LIST_SIZE and strips < 5:
         strips += 1
     packed = fps.view(np.uint8).reshape(len(fps), -1)
     a, b = [], []
-    for r in range(math.ceil(math.log(1 - recall) / math.log(1 - same_list(distance, _NEXT) ** strips))):
-        rng = np.random.default_rng([_SEED, 1, r])
+    for r in range(_repetitions(recall, same_list(radius, [_NEXT] * strips))):
+        rng = np.random.default_rng([_SEED, 1, r, key_of_list])
         order, flips = rng.permutation(BITS), rng.integers(0, 2, BITS).astype(np.uint8)
         key = np.zeros(len(ids), np.int64)
         for level in range(strips):
@@ -141,12 +151,12 @@ def _recursed(fps: np.ndarray, ids: np.ndarray, radius: int, recall: float = 0.9
     return a, b
 
 
-def near_edges(fps: np.ndarray, ids: np.ndarray, starts: np.ndarray, radius: int, recurse: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def near_edges(fps: np.ndarray, ids: np.ndarray, starts: np.ndarray, radius: int, recurse: bool = True, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For lists that follow each other (starts: n + 1 indices), pairs that join all fingerprints within the radius.
 
     Short lists are compared pair by pair, all lists at once.  In a longer one each fingerprint that is reached
     is compared with those not reached yet, which finds the same groups without the pairs inside a dense group.
-    A list of more than LARGE_LIST is filtered further first.
+    A list of more than LARGE_LIST is filtered further first, by strips that its key (``keys``: each fingerprint's) chooses.
     """
     a, b = [], []
     sizes = np.diff(starts)
@@ -161,7 +171,7 @@ def near_edges(fps: np.ndarray, ids: np.ndarray, starts: np.ndarray, radius: int
         b.append(ids[at[close] + step])
     for k in np.flatnonzero(sizes > 64):
         if recurse and sizes[k] > LARGE_LIST:
-            x, y = _recursed(np.ascontiguousarray(fps[starts[k] : starts[k + 1]]), ids[starts[k] : starts[k + 1]], radius)
+            x, y = _recursed(np.ascontiguousarray(fps[starts[k] : starts[k + 1]]), ids[starts[k] : starts[k + 1]], radius, 0 if keys is None else int(keys[starts[k]]))
             a += x
             b += y
             continue
@@ -183,9 +193,9 @@ def near_edges(fps: np.ndarray, ids: np.ndarray, starts: np.ndarray, radius: int
     return np.minimum(x, y), np.maximum(x, y)
 
 
-def pairs(nodes: DataFrame, n_nodes: int, radius: int = RADIUS, recall: float = RECALL, distance: float = DESIGN_DISTANCE) -> DataFrame:
+def pairs(nodes: DataFrame, n_nodes: int, radius: int = RADIUS, recall: float = RECALL, distance: float | None = None) -> DataFrame:
     """(a, b), a < b: edges that connect the fingerprints (id, fp) within the radius."""
-    strips, repetitions = plan(n_nodes, recall, distance)
+    strips, repetitions = plan(n_nodes, recall, radius / BITS if distance is None else distance)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,7 +210,7 @@ def pairs(nodes: DataFrame, n_nodes: int, radius: int = RADIUS, recall: float =
 
         def found(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-            edges = np.unique(np.stack(near_edges(fps, ids, starts, radius), axis=1), axis=0)
+            edges = np.unique(np.stack(near_edges(fps, ids, starts, radius, keys=keys), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -249,7 +259,7 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("a").alias("id"), F.col("a").alias("root"))).distinct()
 
 
-def duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, distance: float = DESIGN_DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+def duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, distance: float | None = None, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, duplicate_of): every document that goes, with the one of its group that stays."""
     marked = checkpoint(with_fingerprints(docs, shingle).distinct())
     nodes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("id")))

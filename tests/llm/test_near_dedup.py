@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from marquetry.llm import near_dedup as N
 
@@ -74,6 +75,39 @@ def test_a_very_large_list_is_filtered_again(monkeypatch):
     assert found <= set(pairs) and len(found) >= 0.95 * len(pairs)
 
 
+def pairs_at_the_radius(rng, n):
+    """2 n random fingerprints (bytes), of which n follow each other at RADIUS bits from the first n."""
+    bits = rng.integers(0, 2, (n, N.BITS)).astype(np.uint8)
+    flips = np.zeros((n, N.BITS), np.uint8)
+    for k in range(n):
+        flips[k, rng.permutation(N.BITS)[: N.RADIUS]] = 1
+    return np.packbits(bits, axis=1), np.packbits(bits ^ flips, axis=1)
+
+
+@pytest.mark.parametrize("strips", [2, 3, 4])
+def test_recall_at_the_radius(strips):
+    a, b = pairs_at_the_radius(np.random.default_rng(strips), 400)
+    planned, repetitions = N.plan(N.LIST_SIZE << (11 + 4 * (strips - 1)))
+    assert planned == strips
+    found = np.zeros(400, bool)
+    for r in range(repetitions):
+        found |= N.filter_keys(a, strips, r) == N.filter_keys(b, strips, r)
+    assert found.mean() >= 0.94
+
+
+def test_recall_at_the_radius_in_a_large_list(monkeypatch):
+    monkeypatch.setattr(N, "LARGE_LIST", 500)
+    rng = np.random.default_rng(6)
+    a, b = pairs_at_the_radius(rng, 500)
+    fps = np.concatenate([a.view(np.uint64), b.view(np.uint64), rng.integers(0, 2**63, (8000, 4)).astype(np.uint64)])
+    missed = []
+    for key in (3, 4):
+        x, y = N.near_edges(fps, np.arange(9000), np.array([0, 9000]), N.RADIUS, keys=np.full(9000, key))
+        missed.append(set(range(500)) - {int(i) for i, j in zip(x, y) if j == i + 500})
+        assert len(missed[-1]) <= 0.03 * 500
+    assert missed[0] != missed[1]
+
+
 def test_fingerprints_follow_words():
     import pyarrow as pa
 
