@@ -4,15 +4,17 @@ Candidates are maximal runs of at least ``MIN_LENGTH`` letters, digits and ``+/_
 model, with add-``SMOOTHING`` smoothing, for each family of random strings (hexadecimal, base 32, letters and digits, base 64) and one
 for ordinary identifiers and words; all are trained from labelled samples.  A candidate's ratio is its greatest
 log-likelihood under a family minus the one under the ordinary model; it is a secret if the ratio is at least ``MIN_RATIO``, and
-at least ``MIN_PER_CHAR`` per character.
+at least ``MIN_PER_CHAR`` per character.  In a run that doesn't pass whole, names and paths may be joined to a secret: of its stretches
+from one of ``+/_-=`` to another, the one that passes by the greatest margin is a secret, and what is left on both sides is searched again.
 
-Cases: null and empty texts have no secrets.  Texts are scanned whole; a run of any length is one candidate.  Rows stand for
+Cases: null and empty texts have no secrets.  Texts are scanned whole; a run of any length is one candidate, in time linear in it.  Rows stand for
 themselves: repeated rows give repeated findings, and a null ``doc_id`` is carried along.  Offsets are code points, the end
 exclusive; the string itself isn't returned.  Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ _ALPHABET = _LOWER + _UPPER + _DIGITS + "+/_-="
 _INDEX = np.full(256, -1, np.int64)
 _INDEX[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 _INSIDE = _INDEX >= 0
+_JOINER = np.isin(np.arange(256), [ord(c) for c in "+/_-="])
 FAMILIES = {
     "hex": _DIGITS + "abcdef",
     "upper_hex": _DIGITS + "ABCDEF",
@@ -136,6 +139,49 @@ class Model:
         totals = np.stack([np.add.reduceat(r[before, own], starts) for r in self.ratios])
         return totals.max(axis=0), totals.argmax(axis=0)
 
+    def stretch(self, run: np.ndarray, min_length: int, min_ratio: float, min_per_char: float) -> tuple[int, int, float, int] | None:
+        """(start, end, ratio, family) of the stretch between joiners of a run of bytes that passes by the greatest margin per family, or None."""
+        n, own, joiner = len(run), _INDEX[run], _JOINER[run]
+        may_start = np.concatenate([[True], joiner[:-1]])
+        may_end = np.concatenate([[False], joiner[1:], [True]])
+        at = np.arange(n)
+        # from this length on, a ratio that is enough per character is enough in all
+        enough = max(min_length, math.ceil(min_ratio / min_per_char) if min_per_char > 0 else min_length)
+        best = None
+        for family, ratios in enumerate(self.ratios):
+            # a stretch's margin is upto[end] + opening[start]
+            sums = np.concatenate([[0.0], np.cumsum(np.concatenate([[0.0], ratios[own[:-1], own[1:]]]))])
+            upto = sums - min_per_char * np.arange(n + 1)
+            opening = np.where(may_start, ratios[len(_ALPHABET), own] - sums[1:] + min_per_char * at, -np.inf)
+            found = []
+            if n >= enough:
+                first = np.maximum.accumulate(opening[: n - enough + 1])
+                margin = np.where(may_end[enough:], upto[enough:] + first, -np.inf)
+                end = int(margin.argmax())
+                found.append((float(margin[end]), int(opening[: end + 1].argmax()), end + enough))
+            for length in range(min_length, min(enough, n + 1)):
+                margin = np.where(may_end[length:], upto[length:] + opening[: n - length + 1], -np.inf)
+                start = int(margin.argmax())
+                found.append((float(margin[start]), start, start + length))
+            for margin, start, end in found:
+                ratio = margin + min_per_char * (end - start)
+                if margin >= 0 and ratio >= min_ratio and (best is None or margin > best[0]):
+                    best = (margin, start, end, ratio, family)
+        return best and best[1:]
+
+    def stretches(self, run: np.ndarray, *limits) -> Iterator[tuple[int, int, float, int]]:
+        """All of a run's stretches that pass, in order and without overlaps."""
+        todo, found = [(0, len(run))], []
+        while todo:
+            low, high = todo.pop()
+            if high - low < limits[0] or not (best := self.stretch(run[low:high], *limits)):
+                continue
+            start, end = low + best[0], low + best[1]
+            found.append((start, end, *best[2:]))
+            # the joiner beside a stretch is no part of what is left
+            todo += [(low, start - 1), (end + 1, high)]
+        return iter(sorted(found))
+
     def scan(self, texts: pa.Array, min_length: int = MIN_LENGTH, min_ratio: float = MIN_RATIO, min_per_char: float = MIN_PER_CHAR) -> list[tuple[int, int, int, str, float]]:
         """(text's place, start, end, family, ratio) of each secret."""
         out = []
@@ -152,10 +198,16 @@ class Model:
             if len(begin) == 0:
                 continue
             ratio, family = self.score(data, begin, length)
-            for k in np.flatnonzero((ratio >= min_ratio) & (ratio >= min_per_char * length)).tolist():
-                doc = int(np.searchsorted(ends, begin[k], "right")) - 1
-                start = int(np.count_nonzero((data[ends[doc] : begin[k]] & 0xC0) != 0x80))
-                out.append((low + doc, start, start + int(length[k]), self.families[family[k]], round(float(ratio[k]), 4)))
+            passed = (ratio >= min_ratio) & (ratio >= min_per_char * length)
+            joiners = np.concatenate([[0], np.cumsum(_JOINER[data])])
+            parts = ~passed & (joiners[begin + length] > joiners[begin])
+            for k in np.flatnonzero(passed | parts).tolist():
+                a = int(begin[k])
+                doc = int(np.searchsorted(ends, a, "right")) - 1
+                found = [(0, int(length[k]), ratio[k], family[k])] if passed[k] else self.stretches(data[a : a + length[k]], min_length, min_ratio, min_per_char)
+                for x, y, r, f in found:
+                    start = int(np.count_nonzero((data[ends[doc] : a + x] & 0xC0) != 0x80))
+                    out.append((low + doc, start, start + y - x, self.families[f], round(float(r), 4)))
         return out
 
 
