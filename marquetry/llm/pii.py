@@ -34,7 +34,23 @@ _CARD = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", re.ASCII)
 _IPV4 = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", re.ASCII)
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
-_PHONE = re.compile(r"(?<![\w+(.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\w|[.-]\d)|(?<![\w+(.])\+\d{7,15}(?!\w)", re.ASCII)
+# with a country code; or an area code in brackets, a trunk digit, or neither, before groups of any length, none of which begins an address or a card
+_PHONE = re.compile(
+    r"(?<![\w+.])(?:(?:\(\+\d{1,4}\)[ .-]?|\+(?:\d{1,4}[ .-]?(?=\())?)(?:\(\d{1,5}\)[ .-]?)?\d{1,15}(?:[ .-]\d(?!\d))?|(?:\d{1,4}[ .-])?\(\d{1,5}\)[ .-]?\d{2,14}|(?:[01][ -])?\d{2,15}(?:/\d{3,12})?)"
+    r"(?:[ .-](?!\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d)\d{2,12}){0,6}(?!\w|[.-]\d)",
+    re.ASCII,
+)
+_GROUP = re.compile(r"[ .-]\d+$", re.ASCII)
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 _WORDS = {
     "email": r"e-?mail|contact|correo|courriel|mailto|kontakt",
@@ -63,6 +79,35 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _iban(s: str) -> str | None:
+    """The beginning of a proposal that is an IBAN: of its country's length, else all of it, else, for other countries, of fewer groups."""
+    ends = [i for i in range(15, len(s)) if s[i] == " "] + [len(s)]
+    length = _IBAN_LENGTHS.get(s[:2])
+    exact = [e for e in ends if len(s[:e].replace(" ", "")) == length]
+    rest = ends[:-1][::-1] if length is None else []
+    return next((s[:e] for e in [*exact, len(s), *rest] if mod97(s[:e])), None)
+
+
+def _phone(s: str) -> str | None:
+    """The beginning of a proposal, up to a space or its end, that has at most 15 digits; None if it has fewer than 7."""
+    if _CARD.fullmatch(s):
+        return None if len(_digits(s)) > 15 else s
+    after = " "
+    while (len(_digits(s)) > 15 or after != " ") and (last := _GROUP.search(s)):
+        s, after = s[: last.start()], last.group()[0]
+    return s if 7 <= len(_digits(s)) <= 15 and after == " " else None
+
+
+def _pieces(expression: re.Pattern, accept, text: str):
+    """(start, end) of what accept() takes of each match; the search goes on at its end."""
+    at = 0
+    while m := expression.search(text, at):
+        s = accept(m.group())
+        at = m.start() + len(s) if s else m.end()
+        if s:
+            yield m.start(), at
+
+
 def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
@@ -86,19 +131,18 @@ def _proposals(text: str):
         digits = _digits(m.group())
         if luhn(digits) and len(set(digits)) > 1:
             yield "card", m.start(), m.end(), 0.8
-    for m in _IBAN.finditer(text):
-        if mod97(m.group()):
-            yield "iban", m.start(), m.end(), 0.9
+    for start, end in _pieces(_IBAN, _iban, text):
+        yield "iban", start, end, 0.9
     for m in _IPV4.finditer(text):
         if all(int(x) <= 255 for x in m.group().split(".")):
             yield "ipv4", m.start(), m.end(), 0.6
     for m in _SSN.finditer(text):
         if _ssn(m.group()):
             yield "ssn", m.start(), m.end(), 0.6
-    for m in _PHONE.finditer(text):
-        s = m.group()
-        if 7 <= len(_digits(s)) <= 15:
-            yield "phone", m.start(), m.end(), 0.7 if "+" in s or "(" in s else 0.3
+    for start, end in _pieces(_PHONE, _phone, text):
+        s = text[start:end]
+        # one group behind an area code says little by itself
+        yield "phone", start, end, 0.7 if "+" in s or re.search(r"\).*\d[ .-]\d", s) else 0.3
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:

@@ -31,6 +31,37 @@ def test_not_found(text):
     assert P.spans(text) == []
 
 
+@pytest.mark.parametrize(
+    "number",
+    [
+        "+49 30 1234567", "+49 (0)30 1234567", "(+49) 30 1234567", "+44 7911 123456", "+44 20 7946 0958", "+34 612345678", "+1 5551234567", "+1-800-555-1234", "1 (555) 123-4567", "+33 6 12 34 56 78", "+39 06 12345678",
+        "+81 3-1234-5678", "+86 138 0013 8000", "+55 11 91234-5678", "+7 (495) 123-45-67", "+46 8 123 456 78", "+45 12345678", "+353 1 234 5678", "+61 2 9876 5432", "+91 98765 43210", "+442079460958",
+    ],
+)
+def test_phones_whatever_the_context(number):
+    text = f"so {number} is"
+    assert [(k, text[a:b]) for k, a, b, _ in P.spans(text)] == [("phone", number)]
+
+
+@pytest.mark.parametrize("number", ["(555) 1234567", "5551234567", "07911 123456", "612345678", "01 23 45 67 89", "030/1234567", "0171-12345678", "1-800-5551234", "(030) 1234567", "098765 43210"])
+def test_phones_by_context(number):
+    for text, want in ((f"phone {number}, yes", [("phone", number)]), (f"so {number}, yes", [])):
+        assert [(k, text[a:b]) for k, a, b, _ in P.spans(text)] == want
+
+
+def test_neighbouring_numbers():
+    text = "tel 5551234567 12345678901 or +49 30 1234567 +44 7911 123456"
+    assert [text[a:b] for _, a, b, _ in P.spans(text)] == ["5551234567", "12345678901", "+49 30 1234567", "+44 7911 123456"]
+    assert P.spans("call 4845 1681 1440 7321 now") == []
+    assert [k for k, *_ in P.spans("tel 5551234 10.10.10.10 +1 5551234567 4111 1111 1111 1111")] == ["phone", "ipv4", "phone", "card"]
+
+
+@pytest.mark.parametrize("after", [" EUR", " IBAN", " BANK EUR", " NL91 ABNA 0417 1643 00", " TOTAL", ""])
+def test_iban_before_upper_case_words(after):
+    text = "to BE68 5390 0754 7034" + after
+    assert [text[a:b] for k, a, b, _ in P.spans(text) if k == "iban"] == ["BE68 5390 0754 7034"] + ["NL91 ABNA 0417 1643 00"] * ("NL91" in after)
+
+
 def test_check_digits():
     def slow_luhn(s):
         digits = [int(c) for c in s][::-1]
