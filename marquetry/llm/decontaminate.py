@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming lookup, exact weighted-shingle verification.
 
 1. Texts are lower-cased words (runs of letters and digits); shingles are word pairs.  A shingle weighs
-   ``log(1 + items / items that hold it)``, one that no item holds as much as ``log(1 + items)``.
+   ``log(1 + items / items that hold it)``, one that no item holds as much as ``log(1 + items)``.  Items of the whole
+   benchmark count, however many passes search it.
 2. For each item size (its number of words) a window of that size slides over every word of every document; a document
    with fewer words is one window.  Each window has a 64-bit SimHash of its shingles.
 3. Fingerprints within ``RADIUS`` bits agree in one of 4 blocks of 16 bits up to ``RADIUS // 4`` bits.  The index
@@ -56,9 +57,13 @@ def _shingled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Items of a benchmark, ready for search."""
+    """Items of a benchmark, ready for search.
 
-    def __init__(self, ids: list[int], texts: list[str | None], similarity: float = SIMILARITY, radius: int = RADIUS, min_words: int = MIN_WORDS):
+    ``counts``: if these are only some of the items, the number of all, and sorted shingles with the number of items that hold them; a shingle
+    that isn't there is held by one item at most.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str | None], similarity: float = SIMILARITY, radius: int = RADIUS, min_words: int = MIN_WORDS, counts: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.similarity, self.radius = similarity, radius
         shingles, starts, words = _shingled(pa.array([t or "" for t in texts], pa.string()))
         use = np.flatnonzero(words >= min_words)
@@ -66,8 +71,11 @@ class Index:
         each = [shingles[starts[i] : starts[i + 1]] for i in use]
         sets = [np.unique(x) for x in each]
         keys, holders = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
-        self.unknown = float(np.log1p(len(sets)))
-        self.weight = dict(zip(keys.tolist(), np.log1p(len(sets) / holders).tolist(), strict=True)) if sets else {}
+        n, shared, times = counts or (len(sets), keys, holders)
+        self.unknown = float(np.log1p(n))
+        # a shingle of one item weighs as much as an unknown one
+        self.shared, self.shared_weight = shared[times > 1], np.log1p(n / times[times > 1])
+        self.weight = dict(zip(keys.tolist(), self.weights(keys), strict=True))
         self.sets = [frozenset(x.tolist()) for x in sets]
         self.totals = [sum(self.weight[s] for s in sorted(x)) for x in self.sets]
         share: dict[int, float] = {}
@@ -93,6 +101,14 @@ class Index:
                 blocks.append((near[order], np.repeat(np.arange(len(items)), len(around))[order]))
             self.sizes[size] = (fps, items, blocks)
 
+    def weights(self, shingles: np.ndarray) -> list[float]:
+        """Weight of each shingle."""
+        out = np.full(len(shingles), self.unknown)
+        if len(self.shared):
+            at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+            out = np.where(self.shared[at] == shingles, self.shared_weight[at], out)
+        return out.tolist()
+
     def _candidates(self, fps: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs whose fingerprints are within the radius."""
         own, items, blocks = self.sizes[size]
@@ -112,7 +128,7 @@ class Index:
     def similarity_of(self, window: frozenset, item: int) -> float:
         """Weighted Jaccard similarity."""
         both = sum(self.weight[s] for s in sorted(window & self.sets[item]))
-        mine = sum(self.weight.get(s, self.unknown) for s in sorted(window))
+        mine = sum(self.weights(np.array(sorted(window), np.uint64)))
         return both / (mine + self.totals[item] - both)
 
     def search(self, texts: pa.Array) -> list[dict[int, tuple[float, int]]]:
@@ -168,11 +184,38 @@ class Index:
 def indexes(benchmark: DataFrame, **options) -> Iterator[Index]:
     """Indexes that together hold the benchmark (item_id, text), each of a bounded number of items.
 
-    Weights count the items of an index.
+    Weights count the items of the whole benchmark; besides its own items an index holds the shingles that several items share.
     """
-    rows = benchmark.where("text is not null").select(F.col("item_id"), F.lower("text").alias("text")).orderBy("item_id", "text").toLocalIterator()
-    while part := list(itertools.islice(rows, ITEMS_PER_PASS)):
-        yield Index([r[0] for r in part], [r[1] for r in part], **options)
+    items = benchmark.where("text is not null").select(F.col("item_id"), F.lower("text").alias("text"))
+    rows = items.orderBy("item_id", "text").toLocalIterator()
+    part, counts = list(itertools.islice(rows, ITEMS_PER_PASS)), None
+    while part:
+        following = list(itertools.islice(rows, ITEMS_PER_PASS))
+        if following and counts is None:
+            counts = _counts(items, options.get("min_words", MIN_WORDS))
+        yield Index([r[0] for r in part], [r[1] for r in part], counts=counts, **options)
+        part = following
+
+
+def _counts(items: DataFrame, min_words: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of the items that are searched, and the shingles that several of them hold, sorted, with the number of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, high in _flat.slices(b.column(0)):
+                shingles, starts, words = _shingled(b.column(0).slice(low, high - low))
+                use = np.flatnonzero(words >= min_words)
+                sets = [np.unique(shingles[starts[i] : starts[i + 1]]) for i in use]
+                own = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                # a row without a shingle stands for the items
+                yield pa.RecordBatch.from_arrays([pa.array([None, *own.tolist()], pa.int64()), pa.array([len(use)] + [1] * len(own), pa.int64())], ["shingle", "n"])
+
+    found = items.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("shingle is null or n > 1").toArrow()
+    n = found["n"].to_numpy()
+    total = found["shingle"].is_null().to_numpy()
+    shingles = found["shingle"].fill_null(0).to_numpy().view(np.uint64)[~total]
+    order = np.argsort(shingles)
+    return int(n[total].sum()), shingles[order], n[~total][order]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

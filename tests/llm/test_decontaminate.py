@@ -96,3 +96,24 @@ def test_a_benchmark_in_several_parts(spark, monkeypatch):
     d = spark.createDataFrame([(k, "so " + t + " it is") for k, t in items] + [(9, "nothing")], "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in D.matches(d, b).collect()} == {(0, 0), (1, 1), (2, 2)}
     assert [r["doc_id"] for r in D.decontaminate(d, b).collect()] == [9]
+
+
+def test_passes_do_not_change_results(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    phrase = "in which of the following cases would one say that".split()
+    items, docs = [], []
+    for k in range(40):
+        own = [*phrase, *rng.choice(WORDS, 12).tolist()]
+        items.append((k, " ".join(own)))
+        for edits in range(1, 8):  # similarities around the threshold
+            words = list(own)
+            for i in rng.permutation(len(words))[:edits]:
+                words[i] = "edited"
+            docs.append((len(docs), " ".join([*rng.choice(WORDS, 30), *words, *rng.choice(WORDS, 30)])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, D.matches(d, b).collect()))
+    clean = sorted(r["doc_id"] for r in D.decontaminate(d, b).collect())
+    monkeypatch.setattr(D, "ITEMS_PER_PASS", 15)
+    assert sorted(map(tuple, D.matches(d, b).collect())) == want and 20 < len(want) < len(docs)
+    assert sorted(r["doc_id"] for r in D.decontaminate(d, b).collect()) == clean
