@@ -2,70 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..folders import discard, fresh, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir.  Where that is unset, a folder of this machine is used if all of Spark runs here, as in tests; else this fails."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-#: Paths of the tables that written() made and that are still there, with their sessions.
-_written: dict[str, SparkSession] = {}
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes the rows as Parquet below the shared folder, and reads them from there; goes with discard(), or at the end of the program."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    _written[path] = df.sparkSession
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
+__all__ = ["discard", "fresh", "table", "written"]
 
 
-def _delete(path: str) -> None:
-    spark = _written.pop(path, None)
-    if spark is not None and spark.sparkContext._jsc is not None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that written() made; nothing may read them any more."""
-    for t in tables:
-        _delete(t._written_at)
-
-
-@atexit.register
-def _discard_all() -> None:
-    for path in list(_written):
-        _delete(path)
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """These names, made longer until no column of df has them."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,8 +2,8 @@
 
 Documents of a source are shuffled by ``md5(seed:doc_id)``.  A document's virtual finish time is the source's tokens up to
 and with it, divided by the source's weight.  All documents are sorted by finish time, and those stay whose running total of
-tokens is within the budget.  Both running totals are two-level: rows are range-partitioned, each partition's sum is
-carried to the partitions after it, and within a partition a window adds up.  A hot source is thus spread over many tasks.
+tokens is within the budget.  Texts are read once, to count tokens; both running totals are over rows of numbers, in range partitions
+each of whose sum is carried to those after it.  A hot source is thus spread over many tasks.
 
 Cases: a null source is a source of its own.  Sources without a listed weight have ``DEFAULT_WEIGHT``; a source whose weight
 is 0 or less gives nothing.  A token is a run of characters that aren't space, tab or line break; a null text has none.
@@ -13,9 +13,10 @@ finish time go by shuffle key, source, id and tokens.  An empty table gives an e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ._spark import checkpoint, table
+from ..plans.running import running_total
+from ._spark import fresh, table, written
 
 WEIGHTS = {"src0": 2.0, "src1": 4.0, "src2": 3.0, "src3": 0.5}
 DEFAULT_WEIGHT = 1.0
@@ -27,20 +28,6 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\r\\n]+")), F.lit(0)).cast("long")
 
 
-def _running(df: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Adds the running total of value within the groups by, in the given order."""
-    ranged = checkpoint(df.repartitionByRange(*by, *order)).withColumn("__part", F.spark_partition_id())
-    group = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    sums = ranged.groupBy("__part", *by).agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__{c}") for c in by], F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    on = F.col("__part") == F.col("__p")
-    for g in group:
-        on = on & g
-    within = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.join(sums, on).withColumn(out, F.col("__before") + F.sum(value).over(within)).select(*df.columns, out)
-
-
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -55,21 +42,24 @@ def mix(
     return _mixed(docs, {}, weights, default_weight, budget_share, seed)
 
 
-def _mixed(docs: DataFrame, carry: dict[str, Column], weights, default_weight: float, budget_share: float, seed: str) -> DataFrame:
-    weights = WEIGHTS if weights is None else weights
+def _weight(weights: dict[str, float] | None, default_weight: float) -> Column:
     weight = F.lit(float(default_weight))
-    for name, w in weights.items():
+    for name, w in (WEIGHTS if weights is None else weights).items():
         weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
+    return weight
+
+
+def _mixed(docs: DataFrame, carry: dict[str, Column], weights, default_weight: float, budget_share: float, seed: str) -> DataFrame:
     rows = docs.select(
         F.col("doc_id"), F.col("source"), token_count(F.col("text")).alias("tokens"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
-        weight.alias("weight"), *[c.alias(n) for n, c in carry.items()],
+        _weight(weights, default_weight).alias("weight"), *[c.alias(n) for n, c in carry.items()],
     ).where("weight > 0")
     extra = list(carry)
     order = ["key", "doc_id", "tokens", *extra]
-    queued = _running(rows, ["source"], order, "tokens", "queued").withColumn("finish", F.col("queued") / F.col("weight"))
-    total = _running(queued.drop("queued", "weight"), [], ["finish", "key", "source", "doc_id", "tokens", *extra], "tokens", "total")
-    total = checkpoint(total)
+    queued = running_total(rows, ["source"], order, F.col("tokens"), "queued").withColumn("finish", F.col("queued") / F.col("weight"))
+    total = running_total(queued.drop("queued", "weight"), [], ["finish", "key", "source", "doc_id", "tokens", *extra], F.col("tokens"), "total")
+    total = written(total)
     budget = (total.agg(F.sum("tokens")).first()[0] or 0) * budget_share
     return total.where(F.col("total") <= F.lit(int(budget))).select("doc_id", "source", "tokens", "finish", "total", *extra)
 
@@ -82,15 +72,19 @@ def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, de
     docs = docs.drop("mix_tokens", "mix_finish", "mix_total")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     row_hash = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c for c, (_, kind) in zip(columns, docs.dtypes, strict=True)])
+    own, own_id, row, id_ = fresh(docs, "own_hash", "own_id", "mixed_hash", "mixed_id")
     plan = _mixed(docs, {"row": row_hash}, weights, default_weight, budget_share, seed)
-    plan = plan.groupBy("doc_id", "row").agg(F.collect_list(F.struct("tokens", "finish", "total")).alias("places"))
-    plan = plan.select(F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row"), F.array_sort("places").alias("__places"))
-    kept = docs.withColumn("__hash", row_hash).join(plan.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__hash") == F.col("__row")))
-    first = F.col("__places")[0]
-    once = kept.where(F.size("__places") == 1).select(*columns, first["tokens"].alias("mix_tokens"), first["finish"].alias("mix_finish"), first["total"].alias("mix_total"))
-    many = kept.where(F.size("__places") > 1).dropDuplicates(["__doc_id", "__row"]).select(*columns, F.explode("__places").alias("__place"))
-    many = many.select(*columns, F.col("__place.tokens").alias("mix_tokens"), F.col("__place.finish").alias("mix_finish"), F.col("__place.total").alias("mix_total"))
-    return once.unionByName(many)
+    plan = plan.select(F.col("row").alias(row), F.hash("doc_id").alias(id_), F.col("tokens").alias("mix_tokens"), F.col("finish").alias("mix_finish"), F.col("total").alias("mix_total"))
+    docs = docs.withColumns({own: row_hash, own_id: F.hash("doc_id")})
+    same = (F.col(own) == F.col(row)) & (F.col(own_id) == F.col(id_))
+    out = [*columns, "mix_tokens", "mix_finish", "mix_total"]
+    again = plan.groupBy(row, id_).count().where("count > 1").drop("count")
+    if again.isEmpty():
+        return docs.join(plan.hint("shuffle_hash"), same).select(out)
+    # of equal rows, which can be many, one is joined with the places of all
+    once = docs.join(plan.join(again, [row, id_], "left_anti").hint("shuffle_hash"), same).select(out)
+    many = docs.join(again.hint("shuffle_hash"), same, "left_semi").dropDuplicates([own, own_id])
+    return once.unionByName(many.join(plan.join(again, [row, id_], "left_semi"), same).select(out))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def odd(spark):
         (None, None, None, None),
     ]
     df = spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None) for r in rows], SCHEMA)
-    for name in ("score", "kept", "margin", "key", "finish", "total", "tokens", "id", "fp", "block", "rank", "start", "end", "row", "quality", "mix_total", "chars", "hash", "word", "m", "root", "a", "b"):
+    for name in ("score", "kept", "margin", "key", "finish", "total", "tokens", "id", "fp", "block", "rank", "start", "end", "row", "quality", "mix_total", "chars", "hash", "word", "m", "root", "a", "b", "h", "n", "kept_id", "kept_h", "own_id", "own_h", "gone_id", "gone_h", "own_hash", "mixed_id", "mixed_hash", "mixed_places", "group", "part", "amount", "queued", "weight", "places", "result", "__id", "__r", "__n", "__text", "__quality", "__words", "__lines", "__hash", "__row", "__places", "__doc_id", "__gone", "__part", "__place"):
         df = df.withColumn(name, F.lit("clash"))
     return df.withColumn("m2", F.create_map(F.lit("k"), F.lit(1)))
 

@@ -59,22 +59,6 @@ def test_large_lists_are_searched_whole():
     assert reached == {7, *range(200, 280)}
 
 
-def test_a_very_large_list_is_filtered_again(monkeypatch):
-    monkeypatch.setattr(N, "LARGE_LIST", 500)
-    rng = np.random.default_rng(4)
-    fps = rng.integers(0, 2**63, (6000, 4)).astype(np.uint64)
-    pairs = []
-    for k in range(0, 600, 2):  # copies that differ in an eighth of the bits
-        flip = rng.permutation(256)[:32]
-        bits = np.unpackbits(fps[k].view(np.uint8))
-        bits[flip] ^= 1
-        fps[k + 1] = np.packbits(bits).view(np.uint64)
-        pairs.append((k, k + 1))
-    a, b = N.near_edges(fps, np.arange(6000), np.array([0, 6000]), N.RADIUS)
-    found = set(zip(a.tolist(), b.tolist()))
-    assert found <= set(pairs) and len(found) >= 0.95 * len(pairs)
-
-
 def pairs_at_the_radius(rng, n):
     """2 n random fingerprints (bytes), of which n follow each other at RADIUS bits from the first n."""
     bits = rng.integers(0, 2, (n, N.BITS)).astype(np.uint8)
@@ -84,28 +68,44 @@ def pairs_at_the_radius(rng, n):
     return np.packbits(bits, axis=1), np.packbits(bits ^ flips, axis=1)
 
 
-@pytest.mark.parametrize("strips", [2, 3, 4])
-def test_recall_at_the_radius(strips):
+@pytest.mark.parametrize("nodes, strips", [(1000, 1), (N.LIST_SIZE << 11, 1), (N.LIST_SIZE << 12, 2), (N.LIST_SIZE << 14, 4), (N.LIST_SIZE << 15, 2), (N.LIST_SIZE << 17, 4)])
+def test_recall_at_the_radius(nodes, strips):
     a, b = pairs_at_the_radius(np.random.default_rng(strips), 400)
-    planned, repetitions = N.plan(N.LIST_SIZE << (11 + 4 * (strips - 1)))
-    assert planned == strips
+    checks, repetitions = N.plan(nodes)
+    assert len(checks) == strips and nodes / 2 ** sum(2**c - 1 - c for c in checks) <= N.LIST_SIZE
     found = np.zeros(400, bool)
     for r in range(repetitions):
-        found |= N.filter_keys(a, strips, r) == N.filter_keys(b, strips, r)
+        found |= N.filter_keys(a, checks, r) == N.filter_keys(b, checks, r)
     assert found.mean() >= 0.94
 
 
-def test_recall_at_the_radius_in_a_large_list(monkeypatch):
-    monkeypatch.setattr(N, "LARGE_LIST", 500)
+def test_plan_has_room_for_keys():
+    checks, repetitions = N.plan(10**15)
+    assert sum(2**c - 1 - c for c in checks) + repetitions.bit_length() < 63
+
+
+@pytest.mark.parametrize("large", [3, 40, 1000])
+def test_large_lists_are_searched_in_blocks(spark, large):
     rng = np.random.default_rng(6)
-    a, b = pairs_at_the_radius(rng, 500)
-    fps = np.concatenate([a.view(np.uint64), b.view(np.uint64), rng.integers(0, 2**63, (8000, 4)).astype(np.uint64)])
-    missed = []
-    for key in (3, 4):
-        x, y = N.near_edges(fps, np.arange(9000), np.array([0, 9000]), N.RADIUS, keys=np.full(9000, key))
-        missed.append(set(range(500)) - {int(i) for i, j in zip(x, y) if j == i + 500})
-        assert len(missed[-1]) <= 0.03 * 500
-    assert missed[0] != missed[1]
+    near = np.repeat(rng.integers(0, 2, (30, N.BITS)).astype(np.uint8), 6, axis=0)
+    for row in near:
+        row[rng.permutation(N.BITS)[:25]] ^= 1
+    bits = np.concatenate([near, rng.integers(0, 2, (20, N.BITS)).astype(np.uint8)])
+    fps = np.packbits(bits, axis=1)
+    distance = np.bitwise_count(fps[:, None] ^ fps).sum(axis=2, dtype=int)
+    nodes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(fps)], "id long, fp binary")
+    lists = nodes.selectExpr("cast(id % 2 as long) as key", "id", "fp").union(nodes.selectExpr("7L", "id", "fp"))
+    found = N.written(N._searched(lists, 58, large))
+    hot = found.where("key is not null").select("key", "id", "fp")
+    assert (hot.count() > 0) == (large < 1000)
+    edges = found.where("key is null").select("id", "other").union(N._searched(N._in_blocks(hot, large), 58, None).select("id", "other"))
+    roots = {r["id"]: r["root"] for r in N.components(edges.selectExpr("id as a", "other as b").distinct()).collect()}
+    want = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in np.flatnonzero(distance[i] <= 58):
+            old, new = max(want[i], want[j]), min(want[i], want[j])
+            want = [new if w == old else w for w in want]
+    assert [roots.get(i, i) for i in range(len(fps))] == want
 
 
 def test_fingerprints_follow_words():
@@ -116,15 +116,27 @@ def test_fingerprints_follow_words():
 
 
 def test_odd_rows(odd, empty):
-    assert N.duplicates(odd).collect() == []
+    # two rows of document 1 are equal
+    assert [tuple(r) for r in N.duplicates(odd).collect()] == [(1, 1)]
     left = N.drop_duplicates(odd)
-    assert left.columns == odd.columns and left.count() == odd.count()
+    assert left.columns == odd.columns and left.count() == odd.count() - 1 and left.where("doc_id = 1").count() == 1
+    assert left.where("doc_id is null").count() == 2
     assert N.duplicates(empty).collect() == [] and N.drop_duplicates(empty).collect() == []
 
 
 def test_equal_texts(spark):
     df = spark.createDataFrame([(i, "a few equal words here") for i in (9, 4, 7, 4)], "doc_id long, text string")
-    assert {(r["doc_id"], r["duplicate_of"]) for r in N.duplicates(df).collect()} == {(7, 4), (9, 4)}
+    assert {(r["doc_id"], r["duplicate_of"]) for r in N.duplicates(df).collect()} == {(4, 4), (7, 4), (9, 4)}
+    assert [r["doc_id"] for r in N.drop_duplicates(df).collect()] == [4]
+
+
+def test_an_id_with_several_texts(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in ("apple", "pear", "plum"))
+    rows = [(1, one, "a"), (1, two, "b"), (2, one, "c"), (1, one, "d"), (3, three, "e"), (3, three, "e"), (3, three, "e"), (4, one + " more", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_id string")
+    left = [(r["doc_id"], r["text"]) for r in N.drop_duplicates(df).collect()]
+    assert sorted(left) == sorted([(1, one), (1, two), (3, three)])
+    assert {(r["doc_id"], r["duplicate_of"]) for r in N.duplicates(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 1)}
 
 
 def test_words_match_a_regular_expression():
