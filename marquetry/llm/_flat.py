@@ -3,7 +3,7 @@
 A batch of texts is handled as one byte array with document offsets, so that per-character and
 per-word work runs in a few vectorised passes instead of Python loops.  Texts are expected in
 lower case (``lower()`` runs in the JVM); words are maximal runs of ASCII letters, ASCII digits
-and bytes above 0x7F.
+and bytes above 0x7F, but each character of a script without spaces is a word.
 """
 
 from __future__ import annotations
@@ -71,6 +71,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def _unspaced(data: np.ndarray, cut: np.ndarray) -> None:
+    """Marks where characters of scripts without spaces begin and end: Han, kana, Thai, Lao, Burmese and Khmer."""
+    at = np.flatnonzero(data >= 0xE0)
+    lead, then = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    three = (lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xE0) & (then >= 0xB8) & (then <= 0xBB) | (lead == 0xE1) & ((then >= 0x80) & (then <= 0x82) | (then >= 0x9E) & (then <= 0x9F))
+    four = (lead == 0xF0) & (then >= 0xA0) & (then <= 0xAF)
+    for size, begin in ((3, at[three]), (4, at[four])):
+        cut[begin] = True
+        cut[(begin + size)[begin + size < len(data)]] = True
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and for each document where its words begin (n + 1 indices)."""
     n = len(data)
@@ -80,9 +91,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = False
-    begin = np.flatnonzero(inside & ~before)
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:]
+    if data.max() >= 0xE0:
+        cut = np.zeros(n, bool)
+        _unspaced(data, cut)
+        before &= ~cut
+        after[:-1] &= ~cut[1:]
+    begin = np.flatnonzero(inside & ~before)
     last = offsets[1:] - 1
     after[last[last >= 0]] = False
     end = np.flatnonzero(inside & ~after) + 1

@@ -148,3 +148,16 @@ def test_words_match_a_regular_expression():
     hashes, first = _flat.words(*_flat.utf8(pa.array(texts)))
     assert np.diff(first).tolist() == [len(re.findall(r"\w+", t)) for t in texts]
     assert len(set(hashes.tolist())) == 6
+
+
+def test_characters_of_scripts_without_spaces_are_words():
+    import pyarrow as pa
+
+    from marquetry.llm import _flat
+
+    def n(*texts):
+        return np.diff(_flat.words(*_flat.utf8(pa.array(texts)))[1]).tolist()
+
+    assert n("今天天气", "ab今c", "ไทย", "နေ", "𠀀𠀁", "한국 말", "日", "naïve 今", "日本") == [4, 3, 3, 2, 2, 2, 1, 2, 2]
+    a, b = (_flat.words(*_flat.utf8(pa.array([t])))[0].tolist() for t in ("今 天", "今天"))
+    assert a == b
