@@ -7,9 +7,11 @@ value reaches ``THRESHOLD`` standard deviations of the smoothed sequence are con
 line breaks between block elements and white space collapsed.
 
 Cases: null and empty pages, and pages without visible text, give an empty text; if no path has punctuation, text length alone
-counts.  Scripts, styles, comments, templates and the head are left out.  Tags that are never closed end with their parent; end tags without a
-start are ignored.  Pages are read whole, however long.  Rows stand for themselves; a null ``page_id`` is carried along.  Only
-``page_id`` and ``html`` are read.
+counts.  Comments, the head, and what is in ``script style noscript template textarea svg iframe`` are left out.  Tags that are never closed end with
+their parent; end tags without a start are ignored.  A tag that the page's end cuts off is left out with what follows it; if it is a quote
+that is never closed which reaches the end, quotes aren't heeded in tags from there on.  Pages are read whole, in time and memory linear in their length,
+however deep elements are nested.  Rows stand for themselves: repeated rows give repeated results, and a null ``page_id`` is
+carried along.  Paths whose value is just the threshold count.  An empty table gives an empty result.  Only ``page_id`` and ``html`` are read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from ._spark import table
 SIGMA = 1.0
 THRESHOLD = 0.6
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_OPEN = re.compile(r"<(?:[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*))")
+_REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "noscript", "template", "textarea", "svg", "iframe")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -36,68 +40,89 @@ _BLOCK = frozenset(
 )
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _SPACE = re.compile(r"\s+")
-#: An element of the key closes an open one of the value, if no other block is between.
+#: An element of the key closes an open one of the value, all of which are blocks, if that is the nearest open block.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _CLOSES |= {t: ("p",) for t in _BLOCK - {"br", "option", "td", "th", "tr", "li", "dd", "dt", "body", "head", "html", "title"}}
 
 
-def nodes(page: str) -> list[tuple[str, str, bool]]:
-    """(path, text, whether a block begins before it) of each text node with visible text, in order."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[str] = []
-    fresh, at, end = True, 0, len(page)
+def nodes(page: str) -> list[tuple[int, str, bool]]:
+    """(path, text, whether a block begins before it) of each text node with visible text, in order; paths are numbered."""
+    out: list[tuple[int, str, bool]] = []
+    #: open elements: tag, number of the path, place of the nearest block at or above it
+    stack: list[tuple[str, int, int]] = [("", 0, -1)]
+    paths: dict[tuple[int, str], int] = {}
+    opened: dict[str, int] = {}
+    fresh, quotes, at, end = True, True, 0, len(page)
 
     def text(raw: str) -> None:
         nonlocal fresh
-        if "head" in stack:
+        if opened.get("head"):
             return
         clean = _SPACE.sub(" ", _html.unescape(raw))
         if clean.strip():
-            out.append(("/".join(stack), clean, fresh))
+            out.append((stack[-1][1], clean, fresh))
             fresh = False
-        elif clean and out and not fresh:
-            out[-1] = (out[-1][0], out[-1][1].rstrip(" ") + " ", out[-1][2])
+        elif clean and out and not fresh and not out[-1][1].endswith(" "):
+            out[-1] = (out[-1][0], out[-1][1] + " ", out[-1][2])
+
+    def close(depth: int) -> None:
+        """Ends the elements from this depth on."""
+        while len(stack) > depth:
+            opened[stack.pop()[0]] -= 1
+
+    def begin(tag: str) -> None:
+        path = paths.setdefault((stack[-1][1], tag), len(paths) + 1)
+        stack.append((tag, path, len(stack) if tag in _BLOCK else stack[-1][2]))
+        opened[tag] = opened.get(tag, 0) + 1
 
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
             text(page[at:])
             break
         if m.start() > at:
             text(page[at : m.start()])
-        at = m.end()
-        if m.group(0).startswith("<![CDATA["):
-            text(_html.escape(m.group(0)[9:].removesuffix("]]>")))
         if m.group(2) is None:
+            m = _COMMENT.match(page, m.start())
+            at = m.end()
+            if m.group().startswith("<![CDATA["):
+                text(_html.escape(m.group()[9:].removesuffix("]]>")))
             continue
-        tag = m.group(2).lower()
+        rest = _REST.match(page, m.end()) if quotes else None
+        if rest is None:
+            at = page.find(">", m.end()) + 1
+            if not at:
+                break
+            quotes = False
+        else:
+            at = rest.end()
+        tag, whole = m.group(2).lower(), page[at - 2] == "/"
         fresh = fresh or tag in _BLOCK
         if m.group(1):
-            if tag in stack:
-                while stack.pop() != tag:
-                    pass
-        elif tag in _RAW and not m.group(3).endswith("/"):
-            close = _RAW[tag].search(page, at)
-            at = end if close is None else close.start()
-            stack.append(tag)
-        elif tag not in _VOID and not m.group(3).endswith("/"):
-            if tag == "body" and "head" in stack:
-                del stack[stack.index("head") :]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] in _CLOSES.get(tag, ()):
-                    del stack[k:]
-                    break
-                if stack[k] in _BLOCK:
-                    break
-            stack.append(tag)
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
+        elif tag in _RAW and not whole:
+            stop = _RAW[tag].search(page, at)
+            at = end if stop is None else stop.start()
+            begin(tag)
+        elif tag not in _VOID and not whole:
+            if tag == "body" and opened.get("head"):
+                while opened["head"]:
+                    close(len(stack) - 1)
+            block = stack[-1][2]
+            if block > 0 and stack[block][0] in _CLOSES.get(tag, ()):
+                close(block)
+            begin(tag)
     return out
 
 
-def path_scores(found: list[tuple[str, str, bool]], sigma: float = SIGMA) -> tuple[dict[str, float], float]:
+def path_scores(found: list[tuple[int, str, bool]], sigma: float = SIGMA) -> tuple[dict[int, float], float]:
     """Each path's smoothed value, and the standard deviation of the smoothed sequence."""
-    length: dict[str, int] = {}
-    marks: dict[str, int] = {}
-    count: dict[str, int] = {}
+    length: dict[int, int] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, int] = {}
     for path, text, _ in found:
         length[path] = length.get(path, 0) + len(text.strip())
         marks[path] = marks.get(path, 0) + len(_PUNCTUATION.findall(text))
@@ -109,7 +134,7 @@ def path_scores(found: list[tuple[str, str, bool]], sigma: float = SIGMA) -> tup
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     weight = np.convolve(np.ones(len(values)), kernel)[reach:-reach]
     smooth = np.convolve(values, kernel)[reach:-reach] / weight
-    total: dict[str, float] = {}
+    total: dict[int, float] = {}
     for (p, _, _), v in zip(found, smooth.tolist(), strict=True):
         total[p] = total.get(p, 0.0) + v
     return {p: v / count[p] for p, v in total.items()}, float(smooth.std())

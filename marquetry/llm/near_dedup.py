@@ -124,18 +124,31 @@ def filter_keys(packed: np.ndarray, checks: list[int], repetition: int) -> np.nd
 _CODES = {c: _code(c) for c in (_FIRST, *_NEXT.values())}
 
 
+def _joined(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels, each the least place of its group, after the groups of i and j have become one."""
+    while True:
+        a, b = labels[i], labels[j]
+        apart = a != b
+        if not apart.any():
+            return labels
+        a, b, i, j = a[apart], b[apart], i[apart], j[apart]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+
+
 def near_edges(fps: np.ndarray, ids: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For lists that follow each other (starts: n + 1 indices), pairs that join all fingerprints within the radius.
+    """For lists that follow each other (starts: n + 1 indices), edges that join all fingerprints within the radius.
 
-    Short lists are compared pair by pair, all lists at once.  In a longer one each fingerprint that is reached
-    is compared with those not reached yet, which finds the same groups without the pairs inside a dense group.
+    All pairs of a list are compared.  Short lists are compared all at once, and their pairs are the edges; of a longer
+    one each group's members are joined with its first, as pairs inside a dense group can be many.
     """
     a, b = [], []
     sizes = np.diff(starts)
     half = fps.shape[1] // 2
-    short = np.repeat(sizes <= 32, sizes)
+    short = np.repeat(sizes <= 24, sizes)
     list_of = np.repeat(np.arange(len(sizes)), sizes)
-    for step in range(1, int(min(32, sizes.max(initial=0)))):
+    for step in range(1, int(min(24, sizes.max(initial=0)))):
         at = np.flatnonzero(short[:-step] & (list_of[:-step] == list_of[step:]))
         if len(at) == 0:
             break
@@ -144,29 +157,22 @@ def near_edges(fps: np.ndarray, ids: np.ndarray, starts: np.ndarray, radius: int
         close = np.bitwise_count(fps[at] ^ fps[at + step]).sum(axis=1, dtype=np.int64) <= radius
         a.append(ids[at[close]])
         b.append(ids[at[close] + step])
-    for k in np.flatnonzero(sizes > 32):
-        rest, own = np.ascontiguousarray(fps[starts[k] : starts[k + 1]].T), ids[starts[k] : starts[k + 1]]
-        queue: list[tuple[np.ndarray, int]] = []
-        while len(own):
-            if not queue:
-                queue = [(rest[:, 0], int(own[0]))]
-                rest, own = rest[:, 1:], own[1:]
-            x, i = queue.pop()
-            differ = np.bitwise_count(rest[0] ^ x[0])
-            for word in range(1, half):
-                differ += np.bitwise_count(rest[word] ^ x[word])
-            maybe = np.flatnonzero(differ <= radius)
-            if len(maybe) == 0:
-                continue
-            maybe = maybe[np.bitwise_count(rest[:, maybe] ^ x[:, None]).sum(axis=0, dtype=np.int64) <= radius]
-            if len(maybe) == 0:
-                continue
-            a.append(np.full(len(maybe), i))
-            b.append(own[maybe])
-            queue += [(rest[:, m].copy(), int(own[m])) for m in maybe]
-            stay = np.ones(len(own), bool)
-            stay[maybe] = False
-            rest, own = rest[:, stay], own[stay]
+    for k in np.flatnonzero(sizes > 24):
+        own, n = fps[starts[k] : starts[k + 1]], int(sizes[k])
+        words = np.ascontiguousarray(own[:, :half].T)
+        labels, rows = np.arange(n), max(1, (1 << 17) // n)
+        for low in range(0, n, rows):
+            differ = np.bitwise_count(words[0, low : low + rows, None] ^ words[0, low:])
+            for word in words[1:]:
+                differ += np.bitwise_count(word[low : low + rows, None] ^ word[low:])
+            i, j = np.divmod(np.flatnonzero(differ.ravel() <= radius), n - low)
+            later = i < j
+            i, j = i[later] + low, j[later] + low
+            close = np.bitwise_count(own[i] ^ own[j]).sum(axis=1, dtype=np.int64) <= radius
+            labels = _joined(labels, i[close], j[close])
+        member = np.flatnonzero(labels != np.arange(n))
+        a.append(ids[starts[k] + labels[member]])
+        b.append(ids[starts[k] + member])
     if not a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y = np.concatenate(a), np.concatenate(b)
