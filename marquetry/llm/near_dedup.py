@@ -145,31 +145,46 @@ def near_edges(fps: np.ndarray, ids: np.ndarray, starts: np.ndarray, radius: int
     """
     a, b = [], []
     sizes = np.diff(starts)
-    half = fps.shape[1] // 2
+    most = fps.shape[1] - 1  # nearly all pairs differ in more bits than the radius in all words but the last
     short = np.repeat(sizes <= 24, sizes)
     list_of = np.repeat(np.arange(len(sizes)), sizes)
     for step in range(1, int(min(24, sizes.max(initial=0)))):
         at = np.flatnonzero(short[:-step] & (list_of[:-step] == list_of[step:]))
         if len(at) == 0:
             break
-        # most pairs differ in more bits than that in their first half already
-        at = at[np.bitwise_count(fps[at, :half] ^ fps[at + step, :half]).sum(axis=1, dtype=np.int64) <= radius]
+        at = at[np.bitwise_count(fps[at, :most] ^ fps[at + step, :most]).sum(axis=1, dtype=np.int64) <= radius]
         close = np.bitwise_count(fps[at] ^ fps[at + step]).sum(axis=1, dtype=np.int64) <= radius
         a.append(ids[at[close]])
         b.append(ids[at[close] + step])
     for k in np.flatnonzero(sizes > 24):
         own, n = fps[starts[k] : starts[k + 1]], int(sizes[k])
-        words = np.ascontiguousarray(own[:, :half].T)
-        labels, rows = np.arange(n), max(1, (1 << 17) // n)
+        words = np.ascontiguousarray(own[:, :most].T)
+        labels, rows, big = np.arange(n), max(1, (1 << 17) // n), None
         for low in range(0, n, rows):
-            differ = np.bitwise_count(words[0, low : low + rows, None] ^ words[0, low:])
-            for word in words[1:]:
-                differ += np.bitwise_count(word[low : low + rows, None] ^ word[low:])
-            i, j = np.divmod(np.flatnonzero(differ.ravel() <= radius), n - low)
-            later = i < j
-            i, j = i[later] + low, j[later] + low
-            close = np.bitwise_count(own[i] ^ own[j]).sum(axis=1, dtype=np.int64) <= radius
-            labels = _joined(labels, i[close], j[close])
+            tile, later = np.arange(low, min(low + rows, n)), np.arange(low, n)
+            if big is None:
+                parts = [(tile, later, words[:, low:])]
+            else:  # a large group's members needn't be compared with each other
+                inside, outside = labels[tile] == big, later[labels[low:] != big]
+                parts = [(tile[~inside], later, words[:, low:]), (tile[inside], outside, words[:, outside])]
+            for own_rows, others, theirs in parts:
+                if len(own_rows) == 0 or len(others) == 0:
+                    continue
+                mine = words[:, own_rows]
+                differ = np.bitwise_count(mine[0, :, None] ^ theirs[0])
+                for x, y in zip(mine[1:], theirs[1:]):
+                    differ += np.bitwise_count(x[:, None] ^ y)
+                i, j = np.divmod(np.flatnonzero(differ.ravel() <= radius), len(others))
+                i, j = own_rows[i], others[j]
+                apart = (i < j) & (labels[i] != labels[j])
+                i, j = i[apart], j[apart]
+                if len(i) == 0:
+                    continue
+                close = np.bitwise_count(own[i] ^ own[j]).sum(axis=1, dtype=np.int64) <= radius
+                labels = _joined(labels, i[close], j[close])
+                if n > 1024:
+                    members = np.bincount(labels)
+                    big = int(members.argmax()) if members.max() > n // 8 else None
         member = np.flatnonzero(labels != np.arange(n))
         a.append(ids[starts[k] + labels[member]])
         b.append(ids[starts[k] + member])
