@@ -1,4 +1,6 @@
 import os
+import random
+import time
 
 import pytest
 
@@ -33,3 +35,23 @@ def test_odd_rows(spark, odd, empty):
     assert C.summary(C.histogram(empty)).collect() == []
     assert [tuple(r) for r in C.truncated_totals(C.histogram(empty), [5]).collect()] == [(5, 0, 0)]
     assert [tuple(r) for r in C.quantiles(C.histogram(empty), [0.5]).collect()] == [(0.5, None)]
+
+
+def test_long_runs_change_nothing():
+    encoding, rng = C.encoder(C.VOCABULARY), random.Random(1)
+    parts = ["a", " b", "  ", "x" * 3, "\n", ".", " " * 1500, "\t" * 1200 + " ", "\n" * 1100, "1", "\x1c" * 1300, "\u3000" * 1050, " " * C.LONG_RUN]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(12))
+        assert C.length(encoding, text) == len(encoding.encode_ordinary(text))
+
+
+@pytest.mark.parametrize("text", [" " * 10_000_000, "a" + "\n" * 5_000_000 + "b", "x" * 3_000_000, "." * 3_000_000, "ab " * 1_000_000])
+def test_very_long_texts(text):
+    began = time.process_time()
+    assert C.length(C.encoder(C.VOCABULARY), text) > 0
+    assert time.process_time() - began < 30
+
+
+def test_quantiles_compare_whole_numbers(spark):
+    hist = spark.createDataFrame([(1, 10**10 - 1), (2, 1), (3, 10**10)], "length long, docs long")
+    assert {r["share"]: r["length"] for r in C.quantiles(hist, [0.5, 0.5 - 1e-9, 1.0, 0.0]).collect()} == {0.5: 2, 0.5 - 1e-9: 1, 1.0: 3, 0.0: 1}
