@@ -5,7 +5,7 @@ digits).  A span whose validator fails is dropped.  A word of the kind's context
 the score by ``RAISE``; a word that speaks against it (``version``, ``isbn``...) lowers it by as much.  Spans with a score
 of at least ``MIN_SCORE`` count; of overlapping ones the higher score, then the longer, then the earlier stays.
 
-Cases: null and empty texts have no spans, and redaction leaves them as they are.  Texts are read whole, however long.
+Cases: null and empty texts have no spans, and redaction leaves them as they are; an empty table stays empty.  Texts are read whole, however long.
 Each row stands for itself, so that repeated rows give repeated spans and a null ``doc_id`` is carried along.  Columns
 besides ``text`` (and ``n_chars``, which redaction recounts) aren't touched.  Offsets are code points, the end exclusive.
 """
@@ -13,6 +13,7 @@ besides ``text`` (and ``n_chars``, which redaction recounts) aren't touched.  Of
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -155,11 +156,15 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
         if score >= MIN_SCORE:
             found.append((kind, start, end, score))
     found.sort(key=lambda x: (-x[3], x[1] - x[2], x[1]))
-    kept: list[tuple[str, int, int, float]] = []
+    # spans kept so far, apart and in order: only neighbours can overlap
+    starts: list[int] = []
+    kept: dict[int, tuple[str, int, int, float]] = {}
     for x in found:
-        if all(x[2] <= k[1] or x[1] >= k[2] for k in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[1])
+        at = bisect_left(starts, x[1])
+        if (at == 0 or kept[starts[at - 1]][2] <= x[1]) and (at == len(starts) or starts[at] >= x[2]):
+            starts.insert(at, x[1])
+            kept[x[1]] = x
+    return [kept[a] for a in starts]
 
 
 def _may_hold(texts: pa.Array) -> np.ndarray:
@@ -184,8 +189,12 @@ def _redacted(texts: pa.Array) -> pa.Array:
     out = []
     for t, here in zip(texts, look, strict=True):
         text = t.as_py()
-        for kind, start, end, _ in reversed(spans(text) if here else []):
-            text = f"{text[:start]}[{kind.upper()}]{text[end:]}"
+        if here and (found := spans(text)):
+            parts, at = [], 0
+            for kind, start, end, _ in found:
+                parts += [text[at:start], f"[{kind.upper()}]"]
+                at = end
+            text = "".join([*parts, text[at:]])
         out.append(text)
     return pa.array(out, pa.string())
 

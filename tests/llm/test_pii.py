@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from marquetry.llm import pii as P
@@ -145,3 +146,27 @@ def test_planted(spark, sf_dir):
     want = {(i, m) for i, t in text.items() for m in re.findall(r"\+1 \(\d{3}\) 555-\d{4}|[a-z]+\.\d\d@mail\d\.example\.com|(?<!\d)\d{16}(?!\d)", t) if not m.isdigit() or P.luhn(m)}
     assert {(i, m) for i, m in want if "@" not in m} <= got
     assert {i for i, m in want if "@" in m} <= {i for i, m in got if "@" in m}
+
+
+def test_overlaps_against_all_pairs(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        found = [("email", a, a + rng.randint(1, 12), round(rng.choice([0.5, 0.6, 0.9]), 4)) for a in (rng.randint(0, 80) for _ in range(25))]
+        monkeypatch.setattr(P, "_proposals", lambda text, found=found: iter(found))
+        want = []
+        for x in sorted(found, key=lambda x: (-x[3], x[1] - x[2], x[1])):
+            if all(x[2] <= k[1] or x[1] >= k[2] for k in want):
+                want.append(x)
+        assert P.spans(" " * 100) == sorted(want, key=lambda x: x[1])
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    text = " ".join(f"user{i}@mail.example.com" for i in range(100_000))
+    began = time.process_time()
+    assert len(P.spans(text)) == 100_000
+    assert P._redacted(pa.array([text]))[0].as_py() == " ".join(["[EMAIL]"] * 100_000)
+    assert time.process_time() - began < 60
