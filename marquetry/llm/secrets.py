@@ -4,10 +4,12 @@ Candidates are maximal runs of at least ``MIN_LENGTH`` letters, digits and ``+/_
 model, with add-``SMOOTHING`` smoothing, for each family of random strings (hexadecimal, base 32, letters and digits, base 64) and one
 for ordinary identifiers and words; all are trained from labelled samples.  A candidate's ratio is its greatest
 log-likelihood under a family minus the one under the ordinary model; it is a secret if the ratio is at least ``MIN_RATIO``, and
-at least ``MIN_PER_CHAR`` per character.  In a run that doesn't pass whole, names and paths may be joined to a secret: of its stretches
-from one of ``+/_-=`` to another, the one that passes by the greatest margin is a secret, and what is left on both sides is searched again.
+at least ``MIN_PER_CHAR`` per character.  Names and paths may be joined to a secret by one of ``+/_-=``, so that in a run that has some, not the run but
+its stretches from one of these to another are candidates: the one that passes by the greatest margin is a secret, and what is left on
+both sides is searched again.  Shorter strings than ``MIN_LENGTH`` aren't candidates, as their ratios say too little.
 
-Cases: null and empty texts have no secrets.  Texts are scanned whole; a run of any length is one candidate, in time linear in it.  Rows stand for
+Cases: null and empty texts have no secrets, and an empty table has none.  Texts are scanned whole; a run of any length is one candidate, in time
+linear in it for each secret found.  Of families with the same ratio the first counts, of stretches with the same margin the one that ends first.  Rows stand for
 themselves: repeated rows give repeated findings, and a null ``doc_id`` is carried along.  Offsets are code points, the end
 exclusive; the string itself isn't returned.  Only ``doc_id`` and ``text`` are read.
 """
@@ -200,11 +202,11 @@ class Model:
             ratio, family = self.score(data, begin, length)
             passed = (ratio >= min_ratio) & (ratio >= min_per_char * length)
             joiners = np.concatenate([[0], np.cumsum(_JOINER[data])])
-            parts = ~passed & (joiners[begin + length] > joiners[begin])
+            parts = joiners[begin + length] > joiners[begin]
             for k in np.flatnonzero(passed | parts).tolist():
                 a = int(begin[k])
                 doc = int(np.searchsorted(ends, a, "right")) - 1
-                found = [(0, int(length[k]), ratio[k], family[k])] if passed[k] else self.stretches(data[a : a + length[k]], min_length, min_ratio, min_per_char)
+                found = self.stretches(data[a : a + length[k]], min_length, min_ratio, min_per_char) if parts[k] else [(0, int(length[k]), ratio[k], family[k])]
                 for x, y, r, f in found:
                     start = int(np.count_nonzero((data[ends[doc] : a + x] & 0xC0) != 0x80))
                     out.append((low + doc, start, start + y - x, self.families[f], round(float(r), 4)))

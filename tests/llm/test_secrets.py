@@ -20,8 +20,8 @@ def test_against_a_loop_over_characters():
     model = S.train()
     text = "naïve key=9f86d081884c7d659a2feaa0c55ad015a3bf4f1b and getUserAccountByName, donaudampfschifffahrtsgesellschaft"
     found = model.scan(pa.array([None, text, "", text]))
-    assert [(k, text[a:b]) for k, a, b, *_ in found] == [(k, "key=9f86d081884c7d659a2feaa0c55ad015a3bf4f1b") for k in (1, 3)]
-    s = "key=9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    assert [(k, text[a:b]) for k, a, b, *_ in found] == [(k, "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b") for k in (1, 3)]
+    s = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     best = max(sum(r[S._INDEX[ord(p)] if p else len(S._ALPHABET), S._INDEX[ord(c)]] for p, c in zip([None, *s], s)) for r in model.ratios)
     assert math.isclose(found[0][4], best, abs_tol=1e-3)
 
@@ -31,7 +31,7 @@ def test_secrets_joined_to_names():
     random = [t for t, label in S.samples(150, seed=78) if label != S.ORDINARY and len(t) <= 24]
     for name in ("DATABASE_PASSWORD=", "client_secret=", "aws_secret_access_key=", "/services/hooks/webhook/incoming/"):
         texts = [name + t for t in random]
-        hit = {k for k, a, b, *_ in model.scan(pa.array(texts)) if b == len(texts[k])}
+        hit = {k for k, a, b, *_ in model.scan(pa.array(texts)) if b == len(texts[k]) and abs(a - len(name)) <= 4}
         assert len(hit) >= 0.95 * len(random), name
     a, b = "9f86d081884c7d65", "Zk3vQ9xT1bW7pLr5"
     text = f"é /services/hooks/webhook/incoming/{a}/configuration/environment/password_directory/{b}/settings/default"
