@@ -7,7 +7,8 @@ kernel ridge regression into a linear problem: with K the landmarks' kernel matr
 ridge regression per language (target 1 or -1) is solved in closed form.  A text's score for all languages is then one product
 of its presence vector with a matrix; batches of texts are scored by one matrix product.
 
-The classifier is fitted on at most ``PER_LANGUAGE`` labelled rows of each language, those with the least hash of id and text.
+The classifier is fitted on at most ``PER_LANGUAGE`` labelled rows of each language, those with the least hash of id and text.  The driver gets
+their presence vectors as bits, 5 KB each, not their texts.  There are ``LANDMARKS`` landmarks, or ``LEAST_LANDMARKS`` for each language if that is more.
 
 A text is rejected if its best score is under ``MIN_SCORE`` or less than ``MIN_MARGIN`` above the second: texts in languages or
 scripts that the classifier hasn't seen share few n-grams with any landmark, and all their scores are alike.
@@ -15,7 +16,7 @@ scripts that the classifier hasn't seen share few n-grams with any landmark, and
 Cases: a text without any letter (null and empty ones among them) has no language (null), score and margin 0, and is
 rejected.  Texts are read whole.  Rows that repeat are classified each for themselves, a null
 ``doc_id`` is carried along, and equal scores go to the language first in the alphabet.  Without at least two labelled languages
-nothing can be told: every text with a letter is kept with a null language.  Further columns aren't read, or stay in accepted().
+nothing can be told: every text with a letter is kept with a null language.  An empty table stays empty.  Further columns aren't read, or stay in accepted().
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from ._spark import table
 
 PER_LANGUAGE = 400
 LANDMARKS = 160
+LEAST_LANDMARKS = 8
 RIDGE = 1e-2
 MIN_SCORE = -0.3
 MIN_MARGIN = 0.03
@@ -105,26 +107,45 @@ class Model:
         return out
 
 
-def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+def _packed(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Presence vectors as bits: uint8 [texts, PLACES / 8]."""
+    for _, _, p in _blocks(texts):
+        yield np.packbits(p > 0, axis=1)
+
+
+def fit(texts: list[str], languages: list[str], **options) -> Model:
+    return fit_presence(np.concatenate([*_packed(pa.array(texts, pa.string())), np.zeros((0, PLACES // 8), np.uint8)]), languages, **options)
+
+
+def fit_presence(packed: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Fits on presence vectors as bits; of each language the first ones are landmarks."""
     names = sorted(set(languages))
     if len(names) < 2:
         return Model([], np.zeros((PLACES, 0), np.float32))
-    label = np.array([names.index(x) for x in languages])
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        p = np.unpackbits(x, axis=1).astype(np.float32)
+        return p / np.sqrt(np.maximum(p.sum(axis=1), 1))[:, None]
+
+    label = np.searchsorted(names, languages)
     rank = np.zeros(len(label), np.int64)  # landmarks are taken from the languages in turn
     for k in range(len(names)):
         own = np.flatnonzero(label == k)
         rank[own] = np.arange(len(own))
-    marks = np.lexsort((label, rank))[:landmarks]
-    at_marks = np.concatenate([x for _, _, x in _blocks(pa.array([texts[i] for i in marks], pa.string()))])
-    at_marks /= np.sqrt(np.maximum(at_marks.sum(axis=1), 1))[:, None]
-    kernel = np.concatenate([(x @ at_marks.T / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]).astype(np.float64) for _, _, x in _blocks(pa.array(texts, pa.string()))])
+    marks = np.lexsort((label, rank))[: max(landmarks, LEAST_LANDMARKS * len(names))]
+    kernel = np.empty((len(label), len(marks)))
+    for m in range(0, len(marks), 512):
+        at_marks = unit(packed[marks[m : m + 512]])
+        for a in range(0, len(label), 512):
+            kernel[a : a + 512, m : m + 512] = unit(packed[a : a + 512]) @ at_marks.T
     values, vectors = np.linalg.eigh(kernel[marks])
     root = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0) @ vectors.T
     phi = kernel @ root
     target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     balance = 1 / np.bincount(label)[label][:, None]
-    weights = np.linalg.solve(phi.T @ (phi * balance) + ridge * np.eye(len(marks)), phi.T @ (target * balance))
-    return Model(names, (at_marks.T @ (root @ weights)).astype(np.float32))
+    weights = root @ np.linalg.solve(phi.T @ (phi * balance) + ridge * np.eye(len(marks)), phi.T @ (target * balance))
+    matrix = sum(unit(packed[marks[m : m + 512]]).T @ weights[m : m + 512] for m in range(0, len(marks), 512))
+    return Model(names, matrix.astype(np.float32))
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, **options) -> Model:
@@ -137,9 +158,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, **options) -> Model
     rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
     rows = rows.where(F.pmod("hash", F.lit(1 << 40)) < rate * (1 << 40)).where("text rlike '\\\\p{L}'").select("lang", F.lower("text").alias("text"), F.pmod("hash", F.lit(1 << 40)).alias("hash"))
     first = Window.partitionBy("lang").orderBy("hash", "text")
-    taken = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("lang", "text", "rank").collect()
-    taken.sort(key=lambda r: (r["lang"], r["rank"]))
-    return fit([r["text"] for r in taken], [r["lang"] for r in taken], **options)
+    taken = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("lang", "rank", "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [row.tobytes() for block in _packed(b.column(2)) for row in block]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["lang", "rank", "bits"])
+
+    got = taken.mapInArrow(pack, "lang string, rank int, bits binary").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    packed = np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8).reshape(-1, PLACES // 8)
+    return fit_presence(packed, got["lang"].to_pylist(), **options)
 
 
 _RESULT = "struct<lang:string,score:double,margin:double,kept:boolean>"
@@ -166,7 +194,8 @@ def _classify(model: Model, min_score: float, min_margin: float):
 def identify(docs: DataFrame, model: Model | None = None, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN) -> DataFrame:
     """(doc_id, lang, score, margin, kept) for every row."""
     model = model or train(docs)
-    return docs.select("doc_id", _classify(model, min_score, min_margin).alias("__r")).select("doc_id", "__r.lang", "__r.score", "__r.margin", "__r.kept")
+    rows = docs.select("doc_id", _classify(model, min_score, min_margin).alias("r"))
+    return rows.select("doc_id", "r.lang", "r.score", "r.margin", "r.kept")
 
 
 def accepted(docs: DataFrame, model: Model | None = None, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN) -> DataFrame:

@@ -52,3 +52,22 @@ def test_a_script_never_seen_is_rejected(spark, sf_dir):
     model = L.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     df = spark.createDataFrame([(1, "今天天气很好我们去公园散步然后回家吃饭")], "doc_id long, text string")
     assert not L.identify(df, model).first()["kept"]
+
+
+def test_every_language_has_landmarks():
+    rng = np.random.default_rng(2)
+    texts, langs = [], []
+    for k in range(170):  # a language of syllables of its own
+        syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(12)]
+        texts += [" ".join(rng.choice(syllables, 40)) for _ in range(10)]
+        langs += [f"l{k:03}"] * 10
+    m = L.fit(texts[::2], langs[::2])
+    found = [m.languages[i] for i in m.scores(pa.array(texts[1::2])).argmax(axis=1)]
+    assert np.mean([a == b for a, b in zip(found, langs[1::2])]) > 0.98
+
+
+def test_training_texts_stay_on_workers(spark):
+    rows = [(i, ("the cat sat on the mat " if i % 2 else "le chat est sur la table ") * 20_000, "en" if i % 2 else "fr") for i in range(6)]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "fr"]
+    assert model.scores(pa.array(["the cat", "le chat"])).argmax(axis=1).tolist() == [0, 1]
