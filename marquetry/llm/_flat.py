@@ -20,7 +20,8 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_BYTE_HASH = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)[_FOLD]
+_CASED_HASH = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE_HASH = _CASED_HASH[_FOLD]
 _P = _U(0x9E3779B97F4A7C15)
 _P_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A byte's bits, each in a byte lane of its own.
@@ -109,6 +110,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix((sums[end] - sums[begin]) * down[begin]), np.searchsorted(begin, offsets)
 
 
+def spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each stretch of bytes; capital letters count as such."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CASED_HASH[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * down[begin])
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of k words within a document, and where each document's runs begin (n + 1 indices).
 

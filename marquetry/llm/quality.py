@@ -1,21 +1,23 @@
 """Quality classifier: a sparse ensemble of rules over text statistics.
 
-Statistics of each text are Spark expressions.  On a bounded sample of labelled rows small regression trees are boosted; each
+Statistics of each text are counted in one pass over its bytes, a batch of texts at a time.  On a bounded sample of labelled rows small regression trees are boosted; each
 path from a root to an inner node or leaf is a rule, a conjunction of comparisons of statistics with thresholds.  A logistic
 model over the rules is fitted with an L1 penalty, so that few rules keep a weight, and these are compiled into one Spark column
-expression.  All rows are scored in the JVM.
+expression, which scores the rows in the JVM.  A word is a run of characters that aren't space, tab or line break.
 
 Cases: a null text, or one without any character that isn't white space, has quality 0 and isn't kept.  Without labelled rows of both
 qualities nothing can be learnt: quality is null and texts are kept.  Labels that are null, or belong to no document, are ignored; of labels that repeat a
 ``doc_id`` the greatest quality counts, and of rows that repeat one, all are used.  Each row is scored for itself, whole,
-and a null ``doc_id`` is carried along.  Further columns aren't read.
+and a null ``doc_id`` is carried along.  A quality of just ``MIN_QUALITY`` is kept.  An empty table gives an empty result.  Further columns aren't read.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import _flat
 from ._spark import table
 
 SAMPLE = 8000
@@ -29,27 +31,51 @@ _CUTS = 24
 STATISTICS = ["chars", "word_length", "distinct_words", "upper", "digits", "stops", "symbols", "exclaims", "distinct_lines", "words_per_line"]
 
 
-def _share(text: Column, chars: str, n: Column) -> Column:
-    return 1 - F.length(F.translate(text, chars, "")) / n
+_BLANK = np.isin(np.arange(256), [ord(c) for c in " \t\r\n"])
+#: Kinds of characters that are counted, by byte.
+_KINDS = {name: np.isin(np.arange(256), [ord(c) for c in chars]) for name, chars in (("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digits", "0123456789"), ("stops", ".,;:?"), ("symbols", "#$%&*@|<>{}[]=~^_\\/+"), ("exclaims", "!"))}
 
 
-def with_statistics(rows: DataFrame) -> DataFrame:
-    """Adds STATISTICS of ``__text`` to the rows."""
-    t = F.col("__text")
-    rows = rows.withColumns({"__n": F.greatest(F.length(t), F.lit(1)), "__words": F.split(F.trim(F.regexp_replace(t, "[\\t\\r\\n]", " ")), " +"), "__lines": F.split(t, "\n")})
-    n, words, lines = F.col("__n"), F.size("__words"), F.size("__lines")
-    return rows.withColumns({
-        "chars": F.log1p(n.cast("double")),
-        "word_length": n / words,
-        "distinct_words": F.size(F.array_distinct("__words")) / words,
-        "upper": _share(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", n),
-        "digits": _share(t, "0123456789", n),
-        "stops": _share(t, ".,;:?", n),
-        "symbols": _share(t, "#$%&*@|<>{}[]=~^_\\/+", n),
-        "exclaims": _share(t, "!", n),
-        "distinct_lines": F.size(F.array_distinct("__lines")) / lines,
-        "words_per_line": words / lines,
-    })
+def _of_slice(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Statistics of each text: float64 [texts, STATISTICS]."""
+
+    def per_text(places: np.ndarray) -> np.ndarray:
+        return np.diff(np.searchsorted(places, ends))
+
+    first, last = ends[:-1], ends[1:]
+    chars = np.maximum(np.diff(ends) - per_text(np.flatnonzero((data & 0xC0) == 0x80)), 1)
+    inside = np.concatenate([~_BLANK[data], [False]])
+    joined = inside[:-1] & inside[1:]  # with the next byte
+    joined[last[(last > 0) & (last < len(data))] - 1] = False
+    begin = np.flatnonzero(inside[:-1] & ~np.concatenate([[False], joined])[: len(data)])
+    end = np.flatnonzero(inside[:-1] & ~joined) + 1
+    starts = np.searchsorted(begin, ends)
+    words = np.maximum(np.diff(starts), 1)
+    distinct_words = np.maximum(np.diff(_flat.distinct(_flat.spans(data, begin, end), starts)[1]), 1)
+    breaks = np.flatnonzero(data == 10)
+    # a text has a line more than it has line breaks
+    line_begin = np.sort(np.concatenate([first, breaks + 1]), kind="stable")
+    line_end = np.sort(np.concatenate([last, breaks]), kind="stable")
+    lines = per_text(breaks) + 1
+    line_starts = np.concatenate([[0], np.cumsum(lines)])
+    distinct_lines = np.diff(_flat.distinct(_flat.spans(data, line_begin, line_end), line_starts)[1])
+    shares = [per_text(np.flatnonzero(kind[data])) / chars for kind in _KINDS.values()]
+    return np.column_stack([np.log1p(chars), chars / words, distinct_words / words, *shares, distinct_lines / lines, words / lines])
+
+
+def _of_texts(texts: pa.Array) -> np.ndarray:
+    found = [_of_slice(*_flat.utf8(texts.slice(low, high - low))) for low, high in _flat.slices(texts)]
+    return np.concatenate(found) if found else np.zeros((0, len(STATISTICS)))
+
+
+def statistics(text: Column) -> Column:
+    """A struct of STATISTICS."""
+
+    @F.arrow_udf("struct<" + ",".join(f"{name}:double" for name in STATISTICS) + ">")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in _of_texts(texts).T], STATISTICS)
+
+    return of(F.coalesce(text, F.lit("")))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above, threshold), all of which hold
@@ -105,15 +131,16 @@ class Model:
     def __init__(self, rules: list[tuple[Rule, float]], intercept: float | None):
         self.rules, self.intercept = rules, intercept
 
-    def column(self) -> Column:
+    def column(self, s: str = "s") -> Column:
+        """Quality by the struct of statistics s."""
         if self.intercept is None:
             return F.lit(None).cast("double")
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
             condition = F.lit(True)
             for j, above, c in rule:
-                s = F.col(STATISTICS[j])
-                condition = condition & (s > c if above else s <= c)
+                x = F.col(f"{s}.{STATISTICS[j]}")
+                condition = condition & (x > c if above else x <= c)
             total = total + F.when(condition, F.lit(weight)).otherwise(F.lit(0.0))
         return F.round(1 / (1 + F.exp(-total)), 6)
 
@@ -155,19 +182,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
 
     The labels taken are broadcast, as their number is bounded.
     """
-    chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__quality"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.where("text is not null and text rlike '[^ \\\\t\\\\r\\\\n]'").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    got = with_statistics(rows.select("__id", "__quality", F.col("text").alias("__text"))).select("__id", "__quality", *STATISTICS).collect()
+    chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+    rows = docs.where(~_blank(F.col("text"))).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    got = rows.select("label_id", "label", statistics(F.col("text")).alias("s")).select("label_id", "label", "s.*").collect()
     got.sort()
     return fit(np.array([r[2:] for r in got], float).reshape(len(got), len(STATISTICS)), np.array([r[1] for r in got], np.int64), **options)
 
 
+def _blank(text: Column) -> Column:
+    return ~F.coalesce(text.rlike("[^ \\t\\r\\n]"), F.lit(False))
+
+
 def score(docs: DataFrame, model: Model, min_quality: float = MIN_QUALITY) -> DataFrame:
     """(doc_id, quality, kept) for every row."""
-    rows = with_statistics(docs.select("doc_id", F.col("text").alias("__text")))
-    blank = ~F.coalesce(F.col("__text").rlike("[^ \\t\\r\\n]"), F.lit(False))
-    rows = rows.select("doc_id", F.when(blank, F.lit(0.0)).otherwise(model.column()).alias("quality"))
+    rows = docs.select("doc_id", _blank(F.col("text")).alias("blank"), statistics(F.col("text")).alias("s"))
+    rows = rows.select("doc_id", F.when(F.col("blank"), F.lit(0.0)).otherwise(model.column()).alias("quality"))
     return rows.withColumn("kept", F.coalesce(F.col("quality") >= min_quality, F.lit(True)))
 
 
