@@ -47,13 +47,59 @@ def test_stages(spark, folder):
     assert all(pii.spans(r["text"]) == [] for r in docs.select("text").collect())
 
 
-def test_run_gives_the_last_stages_rows(spark, folder):
-    out, _ = folder
-    docs = spark.read.parquet(f"{out}/documents.parquet")
-    for _, stage in C.STAGES:
-        docs = C.written(stage(spark, docs, out))
-    want = sorted((r["mix_total"], str(r["doc_id"])) for r in docs.collect())
-    assert sorted((r["mix_total"], str(r["doc_id"])) for r in C.run(spark, out).collect()) == want
+def brute_kept(rows, items):
+    """Ids of planted rows (id, text) that the first three stages keep, by definition: letters there, no earlier copy, no item."""
+    import re
+
+    kept, seen = set(), []
+    pairs = lambda t: set(zip(w := re.findall(r"\w+", t.lower()), w[1:]))
+    for i, t in rows:
+        own = pairs(t or "")
+        if not re.search(r"[A-Za-z]", t or "") or any(len(own & o) / (len(own) * len(o)) ** 0.5 > 0.9 for o in seen if own and o):
+            continue
+        seen.append(own)
+        if not any(len(own & pairs(x)) >= 0.9 * len(pairs(x)) for x in items):
+            kept.add(i)
+    return kept
+
+
+def test_run_against_brute_force(spark, tmp_path, sf_dir):
+    """A small table of rows whose fate is plain, with repeats, an id with two texts, a long text and clashing columns."""
+    rng = np.random.default_rng(1)
+    words = [f"{a}{b}{c}" for a in "bcdfghklmnprst" for b in ("a", "er", "in", "olu") for c in ("k", "sta", "m", "t", "rn", "ve", "l", "d", "nge", "ss")]
+    make = lambda n: " ".join(rng.choice(words, n))
+    items = [make(25) for _ in range(3)]
+    texts = [make(120) for _ in range(12)]
+    rows = list(enumerate(texts)) + [(20, texts[3]), (21, texts[4] + " extra"), (22, make(60) + " " + items[1] + " " + make(60)), (23, "12 34 !"), (24, None), (25, ""), (26, make(6_000))]
+    want = brute_kept(rows, items)
+    assert want == {*range(12), 26}
+    rows += [rows[0], rows[0], (5, make(130))]
+    names = ["gone_id", "own_h", "kept", "h", "n", "mixed_hash", "own_hash", "__row", "__hash", "mix_total", "group", "part", "tokens", "r"]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or ""), *["x"] * len(names)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = C.run(spark, str(tmp_path)).collect()
+    left = docs
+    for _, stage in C.STAGES[:-1]:
+        left = C.written(stage(spark, left, str(tmp_path)))
+        assert left.columns == docs.columns
+    ids = sorted(r["doc_id"] for r in left.collect())
+    assert ids == sorted([*want, 5])
+    # the last stage's running totals, by a loop over all that is left
+    by = {}
+    for r in left.collect():
+        by.setdefault(r["source"], []).append(r)
+    import hashlib
+
+    key = lambda r: hashlib.md5(f"{C.mixing.SEED}:{r['doc_id']}".encode()).hexdigest()
+    n = lambda r: len((r["text"] or "").split())
+    total, mixed = 0, []
+    for r in sorted(by["src0"], key=lambda r: (key(r), r["doc_id"], n(r))):
+        total += n(r)
+        mixed.append((r["doc_id"], total))
+    budget = int(total * C.mixing.BUDGET_SHARE)
+    assert sorted((r["doc_id"], int(r["mix_total"])) for r in got) == sorted(x for x in mixed if x[1] <= budget)
+    assert all(r["gone_id"] == "x" and r["tokens"] == "x" for r in got)
 
 
 def test_mixing_budget(spark, folder):
