@@ -6,10 +6,10 @@ from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from .operators.score import RuleScorer, Scorer, predict_proba, probabilities, sigmoid
-from .operators.segment import RULE_THRESHOLD, Options, segment, style_threshold
+from .operators.score import RuleScorer, Scorer, predict_proba, probabilities
+from .operators.segment import RULE_THRESHOLD, Options, Style, segment, style_threshold
 
 
 class Segmenter:
@@ -25,17 +25,12 @@ class Segmenter:
     def get_threshold(self, lang: str, style: str, return_punctuation_threshold: bool = False) -> float:
         return style_threshold(self.mixtures, lang, style, return_punctuation_threshold)
 
-    def _styled(self, probs: np.ndarray, lang: str | None, style: str | None) -> np.ndarray:
-        """Sentence probabilities of a style from the logit of the boundary probability."""
+    def _style(self, style: str | None, lang: str | None) -> Style | None:
         if style is None:
-            return probs
-        self.get_threshold(lang or self.language, style)
-        classifier = self.mixtures[lang or self.language][style][0]
-        if classifier is None:
-            return probs
-        with np.errstate(divide="ignore"):
-            logits = np.log(probs.astype(np.float64)) - np.log1p(-probs.astype(np.float64))
-        return sigmoid(np.clip(logits, -60, 60) * classifier[0][0] + classifier[1])
+            return None
+        if (lang or self.language) is None:
+            raise ValueError("a style needs a language")
+        return Style(self.mixtures, style)
 
     def _batches(self, texts: Iterable[str], size: int, remove_spaces: bool) -> Iterator[tuple[str, np.ndarray]]:
         rows = iter(texts)
@@ -45,9 +40,11 @@ class Segmenter:
     def predict_proba(self, text_or_texts, lang_code: str | None = None, style: str | None = None, outer_batch_size: int = 1000, remove_whitespace_before_inference: bool = False, return_paragraph_probabilities: bool = False):
         """A vector for one text, else an iterator of vectors; with paragraph probabilities pairs of vectors."""
 
+        chosen, lang = self._style(style, lang_code), lang_code or self.language
+
         def each(texts):
             for _, p in self._batches(texts, outer_batch_size, remove_whitespace_before_inference):
-                own = self._styled(p, lang_code, style)
+                own = chosen.probabilities(p, lang) if chosen else p
                 yield (own, p) if return_paragraph_probabilities else own
 
         return next(each([text_or_texts])) if isinstance(text_or_texts, str) else each(text_or_texts)
@@ -59,22 +56,27 @@ class Segmenter:
             options |= {"threshold": threshold, "explicit_threshold": True}
         else:
             options["threshold"] = self.get_threshold(lang_code or self.language, style, True) if style else self.threshold
-        chosen = Options(paragraphs=do_paragraph_segmentation, **options)
+        chosen, own = Options(paragraphs=do_paragraph_segmentation, **options), self._style(style, lang_code)
         lang = lang_code or self.language
 
         def each(texts):
             for text, p in self._batches(texts, outer_batch_size, remove_whitespace_before_inference):
-                found = chosen.split(text, self._styled(p, lang, style), lang)
+                found = chosen.split(text, own.probabilities(p, lang) if own else p, lang, p)
                 yield found if do_paragraph_segmentation else found[0]
 
         return next(each([text_or_texts])) if isinstance(text_or_texts, str) else each(text_or_texts)
 
-    def split_frame(self, df: DataFrame, text: str = "text", **options) -> DataFrame:
-        """The same on a column; see operators.segment.segment()."""
-        options.setdefault("threshold", self.threshold)
-        if options.get("max_length") is not None or options.get("min_length", 1) > 1:
-            options.pop("threshold")
-        return segment(df, self.scorer, text, **options)
+    def split_frame(self, df: DataFrame, text: str = "text", lang_code: str | None = None, style: str | None = None, lang: str | None = None, out: str = "segments", **options) -> DataFrame:
+        """The same on a column, with the segmenter's language, or that of the column lang; see operators.segment.segment()."""
+        if style is None and "threshold" not in options and options.get("max_length") is None and options.get("min_length", 1) <= 1:
+            options["threshold"] = self.threshold
+        own = Style(self.mixtures, style) if lang and style else self._style(style, lang_code)
+        return segment(df, self.scorer, text, self._lang(lang_code, lang), out, own, **options)
+
+    def predict_frame(self, df: DataFrame, text: str = "text", lang_code: str | None = None, style: str | None = None, lang: str | None = None, out: str = "probs", return_paragraph_probabilities: bool = False, **options) -> DataFrame:
+        """Adds array<float>, or struct<sentence, newline> of both kinds of probabilities."""
+        own = Style(self.mixtures, style) if lang and style else self._style(style, lang_code)
+        return predict_proba(df, self.scorer, text, self._lang(lang_code, lang), out, style=own, both=return_paragraph_probabilities, **options)
 
-    def predict_frame(self, df: DataFrame, text: str = "text", **options) -> DataFrame:
-        return predict_proba(df, self.scorer, text, **options)
+    def _lang(self, lang_code: str | None, column: str | None):
+        return F.col(column) if column else F.lit(lang_code or self.language).cast("string")

@@ -14,7 +14,7 @@ NAMES = ("uniform", "gaussian", "clipped_polynomial", "lognormal")
 
 def check_prior(name: str) -> None:
     if name not in NAMES:
-        raise ValueError(f"Unknown prior: {name}; there are {', '.join(NAMES)}")
+        raise ValueError(f"Unknown prior_type: {name}; there are {', '.join(NAMES)}")
 
 
 def length_defaults(lang: str | None, target_length: float | None = None, spread: float | None = None) -> tuple[float, float]:

@@ -15,16 +15,13 @@ _NEAR = 19  # how far before the limit white space is looked for
 
 
 def check(min_length: int, max_length: int | None, algorithm: str) -> None:
-    least, most = min_length, max_length
-    if least < 1:
-        raise ValueError(f"min_length must be at least 1; it is {least}")
-    if most is not None:
-        if most < 1:
-            raise ValueError(f"max_length must be at least 1; it is {most}")
-        if most < least:
-            raise ValueError(f"min_length, {least}, is above max_length, {most}; it must not be")
+    if max_length is not None and min_length > max_length:
+        raise ValueError(f"min_length ({min_length}) cannot be greater than max_length ({max_length})")
+    for name, length in (("min_length", min_length), ("max_length", max_length)):
+        if length is not None and length < 1:
+            raise ValueError(f"{name} must be >= 1, got {length}")
     if algorithm not in ALGORITHMS:
-        raise ValueError(f"Unknown algorithm: {algorithm}")
+        raise ValueError(f"Unknown algorithm: {algorithm}; there are {', '.join(ALGORITHMS)}")
 
 
 @lru_cache(64)
@@ -98,27 +95,43 @@ def viterbi(probs: np.ndarray, prior: np.ndarray, low: int, high: int) -> list[i
 
 
 def greedy(probs: np.ndarray, prior: np.ndarray, low: int, high: int) -> list[int]:
-    """From left to right the end with the greatest probability times prior; of equal ones the nearest."""
+    """From left to right the end with the greatest probability times prior; of equal ones the nearest.
+
+    Only places with a probability above 0, and the end of the text, are looked at; where none is in reach, all ends are equal.
+    """
     n, ends, at = len(probs), [], 0
+    live = np.flatnonzero(probs[: max(0, n - 1)] > 0) + 1
+    weight = probs[live - 1].astype(np.float64)
+    first = np.searchsorted(live, live + low).tolist()
+    last = np.searchsorted(live, live + high, "right").tolist()
+    here = -1  # the place among the live ones at which a segment begins
     while at < n:
-        reach = np.arange(at + low, min(at + high, n) + 1)
-        end = n
-        if len(reach):
-            values = prior[reach - at] * np.where(reach < n, probs[np.minimum(reach, n) - 1].astype(np.float64), 1.0)
-            end = int(reach[values.argmax()])
-        if end == n:
+        end, best = at + low, 0.0  # the nearest, if all are 0
+        if here >= 0:
+            a, b = first[here], last[here]
+        else:
+            a, b = int(np.searchsorted(live, at + low)), int(np.searchsorted(live, at + high, "right"))
+        chosen = -1
+        if b > a:
+            values = prior[live[a:b] - at] * weight[a:b]
+            k = int(values.argmax())
+            if values[k] > 0:
+                end, best, chosen = int(live[a + k]), float(values[k]), a + k
+        if low <= n - at <= high and prior[n - at] > best:
+            end = n
+        if end >= n:
             if n - at < low and ends and n - (ends[-2] if len(ends) > 1 else 0) <= high:
                 ends.pop()
             break
         ends.append(end)
-        at = end
+        at, here = end, chosen
     return ends
 
 
 def boundaries(probs: np.ndarray, prior: np.ndarray | Callable[[int], float], min_length: int = 1, max_length: int | None = None, algorithm: str = "viterbi") -> list[int]:
     """1-based ends of segments, n excluded.  prior: weights of the lengths from 0, or a function of the length."""
     if algorithm not in ALGORITHMS:
-        raise ValueError(f"Unknown algorithm: {algorithm}")
+        raise ValueError(f"Unknown algorithm: {algorithm}; there are {', '.join(ALGORITHMS)}")
     probs = np.asarray(probs)
     n = len(probs)
     high = n if max_length is None else max_length

@@ -24,7 +24,10 @@ _IS_SPACE[[ord(c) for c in SPACES]] = True
 
 class Scorer(Protocol):
     def scores(self, texts: list[str], langs: list[str | None] | None = None) -> list[np.ndarray]:
-        """For each text a float32 vector as long as the text."""
+        """For each text a float32 vector as long as the text.
+
+        A scorer can also have ``flat(cp, starts)``: the same for the code points of texts that follow each other, begun at starts.
+        """
 
 
 def points(text: str) -> np.ndarray:
@@ -39,17 +42,22 @@ def spaces(cp: np.ndarray) -> np.ndarray:
 class RuleScorer:
     """0.9 for a line break, 0.4 for a closing mark before white space or the end, else 0."""
 
-    _ends = np.array([ord(c) for c in SENTENCE_ENDS], np.uint32)
+    _table = np.zeros(0x10000, np.uint8)  # 1 for a closing mark, 2 for a line break
+    _table[[ord(c) for c in SENTENCE_ENDS]] = 1
+    _table[10] = 2
+
+    def flat(self, cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        kind = np.where(cp < 0x10000, self._table[np.minimum(cp, 0xFFFF)], 0)
+        p = np.zeros(len(cp), np.float32)
+        p[kind == 2] = NEWLINE_P
+        at = np.flatnonzero(kind == 1)
+        last = np.zeros(len(cp) + 1, bool)
+        last[starts] = True  # the next code point begins another text
+        p[at[last[at + 1] | spaces(cp[np.minimum(at + 1, len(cp) - 1)])]] = END_P
+        return p
 
     def scores(self, texts: list[str], langs: list[str | None] | None = None) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            cp = points(text)
-            after = np.ones(len(cp), bool)
-            after[:-1] = spaces(cp[1:])
-            p = np.where(np.isin(cp, self._ends) & after, np.float32(END_P), np.float32(0))
-            out.append(np.where(cp == 10, np.float32(NEWLINE_P), p))
-        return out
+        return [self.flat(cp, np.array([0, len(cp)])) for cp in map(points, texts)]
 
 
 class HashedLinearScorer:
@@ -134,16 +142,37 @@ def probabilities(scorer: Scorer, texts: list[str | None], langs: list[str | Non
     return out
 
 
-def predict_proba(df: DataFrame, scorer: Scorer | None = None, text: str = "text", lang: str | None = None, out: str = "probs", remove_spaces: bool = False) -> DataFrame:
-    """Adds array<float>, a probability for each character."""
+def predict_proba(df: DataFrame, scorer: Scorer | None = None, text: str = "text", lang: str | Column | None = None, out: str = "probs", remove_spaces: bool = False, style=None, both: bool = False) -> DataFrame:
+    """Adds array<float>, a probability for each character.
+
+    style: see segment.Style; its sentence probabilities.  both: struct<sentence, newline>, of which newline holds the scorer's own.
+    """
+    from . import flat
+
     scorer = scorer or RuleScorer()
+    kind = pa.list_(pa.float32())
+
+    def newline(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        return pa.array(probabilities(scorer, texts.to_pylist(), langs.to_pylist(), True), kind) if remove_spaces else flat.probability_lists(scorer, texts, langs)
+
+    def sentence(own: pa.Array, langs: pa.Array) -> pa.Array:
+        if style is None:
+            return own
+        return pa.array([None if p is None else style.probabilities(np.array(p, np.float32), x) for p, x in zip(own.to_pylist(), langs.to_pylist(), strict=True)], kind)
+
+    if both:
+
+        @F.arrow_udf("struct<sentence:array<float>,newline:array<float>>")
+        def probs(texts: pa.Array, langs: pa.Array) -> pa.Array:
+            own = newline(texts, langs)
+            return pa.StructArray.from_arrays([sentence(own, langs), own], ["sentence", "newline"])
+    else:
 
-    @F.arrow_udf("array<float>")
-    def probs(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        found = probabilities(scorer, texts.to_pylist(), langs.to_pylist(), remove_spaces)
-        return pa.array(found, pa.list_(pa.float32()))
+        @F.arrow_udf("array<float>")
+        def probs(texts: pa.Array, langs: pa.Array) -> pa.Array:
+            return sentence(newline(texts, langs), langs)
 
-    return df.withColumn(out, probs(text, F.col(lang) if lang else F.lit(None).cast("string")))
+    return df.withColumn(out, probs(text, F.lit(None).cast("string") if lang is None else F.col(lang) if isinstance(lang, str) else lang))
 
 
 def token_probabilities(n_chars: Column, ends: Column, logits: Column) -> Column:
@@ -164,14 +193,13 @@ def linear_probability(x: Column, coefficients: list[float], intercept: float) -
 def train_linear_scorer(docs: DataFrame, text: str = "text", buckets: int = 4096, reach: int = 3, max_rows: int = 200_000, rate: float = 0.02) -> HashedLinearScorer:
     """Learns where line breaks are from the text itself: each position's label is whether a line break follows, and line breaks are hidden.
 
-    Fitted by Spark ML on a sample of positions: all before line breaks and, of the others, the given rate by hash of place; max_rows bounds both.
+    Fitted on a sample of positions: all before line breaks and, of the others, the given rate by hash of place.  Positions that look alike are
+    counted together; of more than max_rows different ones those with the least hashes are used, whatever the partitions.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
 
     def rows(batches):
         for b in batches:
-            labels, indices = [], []
+            labels, indices, keys = [], [], []
             for t in b.column(0).to_pylist():
                 cp = points(t or "")
                 follows = np.zeros(len(cp), bool)
@@ -185,16 +213,38 @@ def train_linear_scorer(docs: DataFrame, text: str = "text", buckets: int = 4096
                 x = context_buckets(cp, buckets, reach)[take]
                 labels += follows[take].astype(float).tolist()
                 indices += x.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.float64()), pa.array(indices, pa.list_(pa.int64()))], ["label", "at"])
-
-    @F.udf(VectorUDT())
-    def vector(at):
-        count: dict[int, float] = {}
-        for k in at:
-            count[k] = count.get(k, 0.0) + 1.0
-        return SparseVector(buckets, count)
-
-    sample = docs.select(text).mapInArrow(rows, "label double, at array<long>").limit(max_rows)
-    n = max(1, sample.count())
-    model = LogisticRegression(maxIter=50, regParam=1 / n, elasticNetParam=0.0, standardization=False).fit(sample.select("label", vector("at").alias("features")))
-    return HashedLinearScorer(np.array(model.coefficients.toArray()), float(model.intercept), buckets, reach)
+                keys += (_mixed(x) >> np.uint64(1)).astype(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.float64()), pa.array(indices, pa.list_(pa.int64())), pa.array(keys, pa.int64())], ["label", "at", "hash"])
+
+    counted = docs.select(text).mapInArrow(rows, "label double, at array<long>, hash long").groupBy("label", "at", "hash").agg(F.count("*").cast("double").alias("n"))
+    # places that look alike are one row with a weight; of different ones those with the least hashes count
+    sample = counted.orderBy("hash", "label", "at").limit(max_rows)
+    total = max(1, int(sample.agg(F.sum("n")).first()[0] or 0))
+    got = sample.select("label", "n", "at").toArrow()
+    x = np.array(got["at"].combine_chunks().flatten()).reshape(len(got), 2 * reach + 1)
+    weights, intercept = _logistic(x, got["label"].to_numpy(), got["n"].to_numpy() / total, buckets, 1 / total)
+    return HashedLinearScorer(weights, intercept, buckets, reach)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of each row of whole numbers."""
+    h = np.zeros(len(x), np.uint64)
+    for c in x.T:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, buckets: int, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on rows that name the places of their ones, by accelerated gradient steps; the intercept isn't penalised."""
+    width = x.shape[1]
+    rate = 4 / (2 * width + 1)
+    w = v = np.zeros(buckets + 1)
+    t = 1.0
+    for _ in range(steps):
+        z = v[x].sum(axis=1) + v[-1]
+        r = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        gradient = np.append(np.bincount(x.ravel(), np.repeat(r, width), buckets) + l2 * v[:-1], r.sum())
+        new, t_new = v - rate * gradient, (1 + np.sqrt(1 + 4 * t * t)) / 2
+        v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+    return w[:-1], float(w[-1])

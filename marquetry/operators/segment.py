@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.priors import check_prior
-from . import constrain
-from .score import SENTENCE_ENDS, SPACES, RuleScorer, Scorer, points, probabilities, spaces
+from . import constrain, flat
+from .score import SENTENCE_ENDS, SPACES, RuleScorer, Scorer, points, probabilities, sigmoid, spaces
 
 PARAGRAPH_THRESHOLD = 0.5
 _STRIP = "".join(sorted(SPACES))
@@ -109,7 +110,7 @@ class Options:
         constrain.check(min_length, max_length, algorithm)
         check_prior(prior_type)
         self.threshold, self.paragraph_threshold, self.strip, self.paragraphs = threshold, paragraph_threshold, strip_whitespace, paragraphs
-        self.lines, self.remove_spaces = split_on_input_newlines, remove_spaces
+        self.lines, self.remove_spaces, self.explicit = split_on_input_newlines, remove_spaces, explicit_threshold
         self.min_length, self.max_length, self.prior, self.prior_kwargs, self.algorithm = min_length, max_length, prior_type, dict(prior_kwargs or {}), algorithm
         self.constrained = max_length is not None or min_length > 1
         if self.constrained and explicit_threshold:
@@ -117,6 +118,11 @@ class Options:
         if self.constrained and self.lines and not paragraphs:
             warnings.warn("line breaks of the input don't split when lengths are constrained", stacklevel=3)
 
+    def with_threshold(self, threshold: float) -> Options:
+        other = copy(self)
+        other.threshold = threshold
+        return other
+
     def sentences(self, text: str, probs: np.ndarray, lang: str | None, lines: bool) -> list[str]:
         if self.constrained:
             return constrain.segments(text, probs, self.min_length, self.max_length, self.prior, self.prior_kwargs, self.algorithm, self.strip, lang)
@@ -124,39 +130,85 @@ class Options:
         parts = [s for s in map(strip, parts) if s] if self.strip else parts
         return split_lines(parts) if lines and self.lines else parts
 
-    def split(self, text: str, probs: np.ndarray, lang: str | None) -> list[list[str]]:
-        """Sentences of each paragraph; all in one if paragraphs aren't asked for."""
+    def split(self, text: str, probs: np.ndarray, lang: str | None, newline: np.ndarray | None = None) -> list[list[str]]:
+        """Sentences of each paragraph; all in one if paragraphs aren't asked for.  newline: probabilities of paragraphs, if others than of sentences."""
         if not self.paragraphs:
             return [self.sentences(text, probs, lang, True)]
         out = []
-        for a, b in cut(points(text), np.flatnonzero(probs > self.paragraph_threshold)):
+        for a, b in cut(points(text), np.flatnonzero((probs if newline is None else newline) > self.paragraph_threshold)):
             out.append(self.sentences(text[a:b], probs[a:b], lang, False))
         return out
 
+    @property
+    def plain(self) -> bool:
+        """Whether segments only depend on the threshold."""
+        return not (self.constrained or self.paragraphs or self.remove_spaces)
+
+
+class Style:
+    """Sentence probabilities of a style: a classifier (coefficients, intercept) over the logit of the scorer's, by language.
+
+    mixtures: language -> style -> (classifier, features, punctuation's threshold, newline's threshold).
+    """
+
+    def __init__(self, mixtures: dict, name: str):
+        self.mixtures, self.name = mixtures, name
+
+    def threshold(self, lang: str | None) -> float:
+        return style_threshold(self.mixtures, lang, self.name, True)
 
-def _udf(scorer: Scorer, options: Options) -> Callable:
-    @F.arrow_udf("array<array<string>>")
-    def split(texts: pa.Array, langs: pa.Array) -> pa.Array:
+    def probabilities(self, probs: np.ndarray, lang: str | None) -> np.ndarray:
+        style_threshold(self.mixtures, lang, self.name)
+        classifier = self.mixtures[lang][self.name][0]
+        if classifier is None:
+            return probs
+        with np.errstate(divide="ignore"):
+            logits = np.log(probs.astype(np.float64)) - np.log1p(-probs.astype(np.float64))
+        return sigmoid(np.clip(logits, -60, 60) * classifier[0][0] + classifier[1])
+
+
+def _udf(scorer: Scorer, options: Options, style: Style | None) -> Callable:
+    def each(texts: pa.Array, langs: pa.Array) -> list:
         found, own = texts.to_pylist(), langs.to_pylist()
         out = []
         for k in range(0, len(found), 256):  # vectors of a few hundred texts at a time
             part = found[k : k + 256]
             probs = probabilities(scorer, part, own[k : k + 256], options.remove_spaces)
-            out += [None if t is None else options.split(t, p, x) for t, p, x in zip(part, probs, own[k : k + 256], strict=True)]
-        return pa.array(out, pa.list_(pa.list_(pa.string())))
+            for t, p, x in zip(part, probs, own[k : k + 256], strict=True):
+                if t is None:
+                    out.append(None)
+                elif style is None:
+                    out.append(options.split(t, p, x))
+                else:
+                    out.append((options if options.explicit else options.with_threshold(style.threshold(x))).split(t, style.probabilities(p, x), x, p))
+        return out
+
+    if options.paragraphs:
+
+        @F.arrow_udf("array<array<string>>")
+        def split(texts: pa.Array, langs: pa.Array) -> pa.Array:
+            return pa.array(each(texts, langs), pa.list_(pa.list_(pa.string())))
+    else:
+
+        @F.arrow_udf("array<string>")
+        def split(texts: pa.Array, langs: pa.Array) -> pa.Array:
+            if options.plain and style is None:
+                return flat.segments(scorer, texts, langs, options.threshold, options.strip, options.lines)
+            return pa.array([x if x is None else x[0] for x in each(texts, langs)], pa.list_(pa.string()))
 
     return split
 
 
-def segment(df: DataFrame, scorer: Scorer | None = None, text: str = "text", lang: str | None = None, out: str = "segments", **options) -> DataFrame:
+def segment(df: DataFrame, scorer: Scorer | None = None, text: str = "text", lang: str | Column | None = None, out: str = "segments", style: Style | None = None, **options) -> DataFrame:
     """Adds array<string>, or array<array<string>> with paragraphs=True.
 
     Options: threshold, paragraph_threshold, strip_whitespace, paragraphs, split_on_input_newlines, remove_spaces, min_length, max_length,
-    prior_type, prior_kwargs, algorithm.  lang names a column from which priors take lengths.  Null gives null, an empty text [].
+    prior_type, prior_kwargs, algorithm.  lang: a column, from which priors take lengths and styles their classifiers.  With a style, its
+    threshold is used unless one is given, and paragraphs are cut by the scorer's own probabilities.  Null gives null, an empty text [].
     """
     chosen = Options(**options, explicit_threshold="threshold" in options)
-    split = _udf(scorer or RuleScorer(), chosen)(text, F.col(lang) if lang else F.lit(None).cast("string"))
-    return df.withColumn(out, split if chosen.paragraphs else split[0])
+    of = F.lit(None).cast("string") if lang is None else F.col(lang) if isinstance(lang, str) else lang
+    return df.withColumn(out, _udf(scorer or RuleScorer(), chosen, style)(text, of))
 
 
 def reconstruct(original: str, parts: list[str]) -> list[str]:

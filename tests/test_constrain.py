@@ -124,11 +124,11 @@ def test_enforcement():
     assert C.enforce("aaaa. b", [5], 3, 10) == ["aaaa. b"]
 
 
-@pytest.mark.parametrize(("args", "message"), [((0, 5, "viterbi"), "min_length"), ((6, 5, "viterbi"), "min_length"), ((1, 0, "viterbi"), "max_length"), ((1, 5, "best"), "Unknown algorithm")])
+@pytest.mark.parametrize(("args", "message"), [((0, 5, "viterbi"), "min_length must be >= 1"), ((6, 5, "viterbi"), "min_length.*cannot be greater than max_length"), ((-1, 0, "viterbi"), "min_length must be >= 1"), ((-2, -1, "viterbi"), ">= 1"), ((1, 5, "best"), "Unknown algorithm")])
 def test_wrong_arguments(args, message):
     with pytest.raises(ValueError, match=message):
         C.check(*args)
-    with pytest.raises(ValueError, match="Unknown prior"):
+    with pytest.raises(ValueError, match="Unknown prior_type"):
         weights("flat", 5)
 
 

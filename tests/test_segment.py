@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from marquetry.operators import segment as S
+from marquetry.operators import flat, segment as S
 from marquetry.operators.align import needleman_wunsch, project
 from marquetry.operators.chunk import check, effective_block, hat, overlap_average, windows
 from marquetry.operators.score import RuleScorer, points, probabilities, sigmoid, spaces
@@ -148,3 +150,29 @@ def test_alignment():
         assert x.replace("@", "") == a and y.replace("@", "") == b and len(x) == len(y)
     assert project("ab@c", "a||c") == ("abc", "a|c")
     assert project("ab|c", "abxc", separator="") == ("ab|c", "abc")
+
+
+class Cycled:
+    """Any scorer: probabilities from a cycle of numbers."""
+
+    def scores(self, texts, langs=None):
+        return [np.array([(7 * i + len(t)) % 5 / 5 for i in range(len(t))], np.float32) for t in texts]
+
+
+TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aé今🙂.!\n \u3000\u00a0。", max_size=30)), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS, st.booleans(), st.booleans(), st.sampled_from([-0.001, 0.0, 0.25, 0.5, 0.9, 1.0]), st.sampled_from([RuleScorer(), Cycled()]), st.integers(1, 40))
+def test_batches_are_cut_like_single_texts(texts, strip, lines, threshold, scorer, size):
+    column, langs = pa.array(texts, pa.string()), pa.nulls(len(texts), pa.string())
+    options = S.Options(threshold=threshold, strip_whitespace=strip, split_on_input_newlines=lines)
+    probs = probabilities(scorer, texts)
+    want = [None if t is None else options.split(t, p, None)[0] for t, p in zip(texts, probs)]
+    old, flat.SLICE_BYTES = flat.SLICE_BYTES, size
+    try:
+        assert flat.segments(scorer, column, langs, threshold, strip, lines).to_pylist() == want
+        got = flat.probability_lists(scorer, column, langs).to_pylist()
+    finally:
+        flat.SLICE_BYTES = old
+    assert [p if p is None else [np.float32(x) for x in p] for p in got] == [p if p is None else p.tolist() for p in probs]
