@@ -235,7 +235,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return h
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, buckets: int, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, buckets: int, l2: float, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on rows that name the places of their ones, by accelerated gradient steps; the intercept isn't penalised."""
     width = x.shape[1]
     rate = 4 / (2 * width + 1)
@@ -245,6 +245,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, buckets: int, l2:
         z = v[x].sum(axis=1) + v[-1]
         r = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gradient = np.append(np.bincount(x.ravel(), np.repeat(r, width), buckets) + l2 * v[:-1], r.sum())
+        if np.abs(gradient).max() < 1e-7:
+            break
         new, t_new = v - rate * gradient, (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
     return w[:-1], float(w[-1])

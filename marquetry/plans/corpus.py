@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ..folders import fresh
+from ..functions.text import all_of
 from ..resources import NO_PUNCTUATION, NO_WHITESPACE
 from .running import running_total
 
@@ -30,11 +32,20 @@ def kmers(sentences: DataFrame, by: list[str], k: int, order: str = "sent_idx",
     return groups.where(F.size("s") == k).select(*by, "kmer_idx", joined.alias("text")).where(F.length("text") > longer_than)
 
 
+def _with(rows: DataFrame, by: list[str], **values: Column) -> DataFrame:
+    """Adds aggregates of each row's group.  Groups are aggregated before they are shuffled, and joined: no task holds a group's rows."""
+    sums = rows.groupBy(*by).agg(*[v.alias(n) for n, v in values.items()])
+    keys = fresh(rows, *[f"by_{c}" for c in by])
+    sums = sums.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], *values)
+    on = all_of([F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)])
+    return rows.join(sums, on).drop(*keys)
+
+
 def sample_kmers(rows: DataFrame, key: list[str], share: float, at_most: int, by: list[str], seed: str = "42") -> DataFrame:
-    """round(n share) rows of each group, at most so many."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("__rank", F.row_number().over(w.orderBy(hash_order(*key, seed=seed)))).withColumn("__n", F.count("*").over(w))
-    return ranked.where(F.col("__rank") <= F.least(F.round(F.col("__n") * share), F.lit(at_most))).drop("__rank", "__n")
+    """round(n share) rows of each group, at most so many, in the order of their hashes."""
+    place, rank, n = fresh(rows, "place", "rank", "n")
+    ranked = running_total(rows.withColumn(place, hash_order(*key, seed=seed)), by, [place, *key], F.lit(1), rank)
+    return _with(ranked, by, **{n: F.count("*")}).where(F.col(rank) <= F.least(F.round(F.col(n) * share), F.lit(at_most))).select(*rows.columns)
 
 
 def windows_of(sentences: DataFrame, by: list[str], k: int, order: str = "sent_idx", text: str = "sentence", pad: bool = True) -> DataFrame:
@@ -70,9 +81,9 @@ def split_off(rows: DataFrame, key: list[str], per_thousand: int, seed: str = ""
 
 def half_split(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Adds split: train for the first half (rounded down) of each group, else test."""
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"))
-    ranked = running_total(rows, by, order, F.lit(1), "__rank").join(sizes, by)
-    return ranked.withColumn("split", F.when(F.col("__rank") <= F.floor(F.col("__n") / 2), "train").otherwise("test")).drop("__rank", "__n")
+    rank, n = fresh(rows, "rank", "n")
+    ranked = _with(running_total(rows, by, order, F.lit(1), rank), by, **{n: F.count("*")})
+    return ranked.select(*rows.columns, F.when(F.col(rank) <= F.floor(F.col(n) / 2), "train").otherwise("test").alias("split"))
 
 
 def first_rows(rows: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
@@ -81,14 +92,12 @@ def first_rows(rows: DataFrame, by: list[str], order: list[str], n: int) -> Data
 
 def thin_unpunctuated(rows: DataFrame, flag: str, target: float, key: list[str], lang: str = "lang", seed: str = "") -> DataFrame:
     """Drops rows without final punctuation until they are a share of at most target; languages without punctuation are left alone."""
-    w = Window.partitionBy(lang)
-    bare = ~F.col(flag)
-    n_bare = F.count_if(bare).over(w)
-    n_rest = F.count("*").over(w) - n_bare
-    keep = F.floor(n_rest * target / (1 - target))
-    rank = F.row_number().over(Window.partitionBy(lang, flag).orderBy(hash_order(*key, seed=seed), *key))
-    out = rows.withColumns({"__keep": keep, "__rank": rank})
-    return out.where(F.col(lang).isin(*NO_PUNCTUATION) | F.col(flag) | (F.col("__rank") <= F.col("__keep"))).drop("__keep", "__rank")
+    place, rank, rest = fresh(rows, "place", "rank", "rest")
+    counted = _with(rows, [lang], **{rest: F.count_if(F.col(flag))})
+    always = F.col(flag) | F.col(lang).isin(*NO_PUNCTUATION)
+    ranked = running_total(counted.where(~always).withColumn(place, hash_order(*key, seed=seed)), [lang], [place, *key], F.lit(1), rank)
+    kept = ranked.where(F.col(rank) <= F.floor(F.col(rest) * target / (1 - target))).select(*rows.columns)
+    return rows.where(always).unionByName(kept)
 
 
 def interleave(rows: DataFrame, by: str, order: list[str], restart: bool = False) -> DataFrame:
@@ -96,18 +105,18 @@ def interleave(rows: DataFrame, by: str, order: list[str], restart: bool = False
     ranked = running_total(rows, [by], order, F.lit(1).cast("long"), "turn")
     if not restart:
         return ranked
-    sizes = rows.groupBy(by).agg(F.count("*").alias("__n"))
-    longest = sizes.agg(F.max("__n").alias("__longest"))
-    ranked = ranked.join(sizes, by).crossJoin(F.broadcast(longest))  # one row
-    copies = F.floor((F.col("__longest") - F.col("turn")) / F.col("__n"))
-    return ranked.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), copies))).withColumn("turn", F.col("turn") + F.col("__copy") * F.col("__n")).drop("__copy", "__n", "__longest")
+    n, copy = fresh(ranked, "n", "copy")
+    longest = rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    ranked = _with(ranked, [by], **{n: F.count("*")})
+    copies = F.sequence(F.lit(0).cast("long"), F.floor((F.lit(longest) - F.col("turn")) / F.col(n)))
+    return ranked.withColumn(copy, F.explode(copies)).withColumn("turn", F.col("turn") + F.col(copy) * F.col(n)).drop(copy, n)
 
 
 def upsample(rows: DataFrame, by: list[str], goal: int) -> DataFrame:
     """Groups of fewer rows than the goal are repeated goal // n + 1 times; adds copy."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    times = F.when(n < goal, F.floor(F.lit(goal) / n) + 1).otherwise(F.lit(1)).cast("int")
-    return rows.withColumn("__times", times).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times")
+    (n,) = fresh(rows, "n")
+    times = F.when(F.col(n) < goal, F.floor(F.lit(goal) / F.col(n)) + 1).otherwise(F.lit(1)).cast("int")
+    return _with(rows, by, **{n: F.count("*")}).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop(n)
 
 
 def oversample_unspaced(rows: DataFrame, times: int, lang: str = "lang") -> DataFrame:
@@ -118,9 +127,10 @@ def oversample_unspaced(rows: DataFrame, times: int, lang: str = "lang") -> Data
 
 def prefer(rows: DataFrame, by: list[str], column: str, order: list[str]) -> DataFrame:
     """Rows of the first source, in the given order of preference, that a group has."""
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col(column)), F.lit(0))
-    rank = F.when(rank == 0, F.lit(len(order) + 1)).otherwise(rank)
-    return rows.withColumn("__rank", rank).withColumn("__best", F.min("__rank").over(Window.partitionBy(*by))).where("__rank = __best").drop("__rank", "__best")
+    rank, best = fresh(rows, "rank", "best")
+    found = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col(column)), F.lit(0))
+    ranked = rows.withColumn(rank, F.when(found == 0, F.lit(len(order) + 1)).otherwise(found))
+    return _with(ranked, by, **{best: F.min(rank)}).where(F.col(rank) == F.col(best)).drop(rank, best)
 
 
 def expand_mixed(rows: DataFrame, lang: str = "lang") -> DataFrame:
@@ -152,7 +162,8 @@ def collect_subsets(rows: DataFrame, subsets: dict[str, list[str]], by: list[str
 
 def with_several(rows: DataFrame, by: list[str], at_least: int = 2) -> DataFrame:
     """Rows of groups with at least so many."""
-    return rows.withColumn("__n", F.count("*").over(Window.partitionBy(*by))).where(F.col("__n") >= at_least).drop("__n")
+    (n,) = fresh(rows, "n")
+    return _with(rows, by, **{n: F.count("*")}).where(F.col(n) >= at_least).drop(n)
 
 
 def char_budget(rows: DataFrame, by: list[str], order: list[str], budget: int, text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -27,6 +28,33 @@ def gold_boundaries(sentences: DataFrame, by: list[str], order: str = "sent_idx"
     return sentences.select(*by, pos.cast("long").alias("pos"), last.alias("last"))
 
 
+def running_lengths(lengths: Column) -> Column:
+    """array<bigint>: running totals of an array of lengths."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(lists: pa.Array) -> pa.Array:
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        sums = np.concatenate([[0], np.cumsum(values)])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sums[1:] - np.repeat(sums[ends[:-1]], n)), mask=lists.is_null())
+
+    return run(lengths.cast("array<bigint>"))
+
+
+def boundary_places(parts: Column, gap: Column | int = 0) -> Column:
+    """array<bigint>: where each part ends in the text that the parts make, joined by gaps of so many characters; a boundary is after the gap."""
+    gap = gap if isinstance(gap, Column) else F.lit(gap)
+    last = F.size(parts) - 1
+    return running_lengths(F.transform(parts, lambda s, i: F.length(s) + F.when(i < last, gap).otherwise(0)))
+
+
+def confusion_of(gold: Column, predicted: Column) -> list[Column]:
+    """tp, fp and fn of two arrays of distinct places, without a shuffle."""
+    both = F.size(F.array_intersect(gold, predicted)).cast("long")
+    return [both.alias("tp"), (F.size(predicted) - both).alias("fp"), (F.size(gold) - both).alias("fn")]
+
+
 def predicted_boundaries(segments: DataFrame, by: list[str], order: str = "seg_idx", text: str = "segment") -> DataFrame:
     """(by, pos): running lengths of segments."""
     w = Window.partitionBy(*by).orderBy(order)

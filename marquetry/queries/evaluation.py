@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.segment import rule_segments, strip_column
+from ..operators.segment import rule_paragraphs, rule_segments, strip_column
 from ..plans import evaluate as E
 from ..plans.corpus import length_statistics
 from ..functions import text as T
@@ -32,9 +32,16 @@ def _gold_and_predicted(spark, sf_dir):
     return gold, E.predicted_boundaries(segs, ["doc_id", "lang"])
 
 
-def _per_doc(spark, sf_dir):
-    gold, pred = _gold_and_predicted(spark, sf_dir)
-    return E.scores(E.confusion(gold, pred, ["doc_id"]))
+def _places(spark, sf_dir, *columns):
+    """(columns, s, gold, pred): sentences of each document, and places of their boundaries and of those of the segments of the text that they make."""
+    docs = table(spark, sf_dir, "documents").select(*columns, strip_column(rule_segments(F.col("text"))).alias("s"), F.length(T.separator(F.col("lang"))).alias("gap"))
+    segs = docs.select(*columns, "s", E.boundary_places(F.col("s"), F.col("gap")).alias("gold"), rule_segments(F.array_join("s", " ")).alias("segs"))
+    return segs.select(*columns, "s", "gold", E.boundary_places(F.col("segs")).alias("pred")).where("size(gold) + size(pred) > 0")
+
+
+def _per_doc(spark, sf_dir, *columns):
+    places = _places(spark, sf_dir, *dict.fromkeys(["doc_id", "lang", *columns]))
+    return E.scores(places.select("doc_id", *columns, *E.confusion_of(F.col("gold"), F.col("pred"))))
 
 
 @query(f"WITH {_GP_SQL} SELECT doc_id, pos, last FROM gold")
@@ -56,7 +63,7 @@ def prf_by_doc(spark, sf_dir):
 FROM prf JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang""")
 def prf_by_lang(spark, sf_dir):
     """Macro averages over documents."""
-    rows = _per_doc(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    rows = _per_doc(spark, sf_dir, "lang")
     return rows.groupBy("lang").agg(F.count("*").alias("docs"), *[F.round(F.avg(F.col(c).cast("double") if c != "all_right" else F.col(c).cast("int")), 6).alias(c) for c in ("precision", "recall", "f1", "all_right")])
 
 
@@ -73,11 +80,8 @@ def exclude_every_k(spark, sf_dir):
 @query(f"""WITH {_GP_SQL}, {_COUNT_SQL.format(g='gold', p='pred')}
 SELECT doc_id, round(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE tp / (tp + fp + fn) END, 9) AS iou, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 1.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 9) AS f1 FROM counts""")
 def iou(spark, sf_dir):
-    gold, pred = _gold_and_predicted(spark, sf_dir)
-    both = gold.groupBy("doc_id").agg(F.collect_set("pos").alias("g")).join(pred.groupBy("doc_id").agg(F.collect_set("pos").alias("p")), "doc_id", "full")
-    none = F.array().cast("array<bigint>")
-    s = E.overlap(F.coalesce("g", none), F.coalesce("p", none))
-    return both.select("doc_id", F.round(s["iou"], 9).alias("iou"), F.round(s["f1"], 9).alias("f1"))
+    s = E.overlap(F.col("gold"), F.col("pred"))
+    return _places(spark, sf_dir, "doc_id", "lang").select("doc_id", F.round(s["iou"], 9).alias("iou"), F.round(s["f1"], 9).alias("f1"))
 
 
 _CURVE_SQL = """WITH e AS (SELECT round(value / 10, 0) AS threshold, (event_type = 'purchase')::BIGINT AS y FROM events),
@@ -126,7 +130,7 @@ def statistics_by_source(spark, sf_dir):
 SELECT lang, round(avg(f1), 6) AS f1, round(avg(f1) FILTER (WHERE NOT refused), 6) AS f1_success, count(*) FILTER (WHERE refused) AS refused FROM j GROUP BY lang""")
 def success_average(spark, sf_dir):
     """Averages with and without the documents that count as refused."""
-    rows = _per_doc(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    rows = _per_doc(spark, sf_dir, "lang")
     refused = F.col("doc_id") % 7 == 0
     return rows.groupBy("lang").agg(F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg(F.when(~refused, F.col("f1"))), 6).alias("f1_success"), F.count_if(refused).alias("refused"))
 
@@ -135,8 +139,7 @@ def success_average(spark, sf_dir):
 SELECT lang, round(avg(f1), 6) AS f1, count(*) AS datasets FROM m WHERE source IN ('src0', 'src1', 'src2') AND NOT (lang = 'de' AND source = 'src1') GROUP BY lang""")
 def main_table_mean(spark, sf_dir):
     """Mean over chosen datasets, without excluded pairs."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    m = _per_doc(spark, sf_dir).join(docs, "doc_id").groupBy("lang", "source").agg(F.avg("f1").alias("f1"))
+    m = _per_doc(spark, sf_dir, "lang", "source").groupBy("lang", "source").agg(F.avg("f1").alias("f1"))
     excluded = spark.createDataFrame([("de", "src1")], "lang string, source string")
     kept = m.where(F.col("source").isin("src0", "src1", "src2")).join(excluded, ["lang", "source"], "left_anti")
     return kept.groupBy("lang").agg(F.round(F.avg("f1"), 6).alias("f1"), F.count("*").alias("datasets"))
@@ -181,11 +184,11 @@ def system_pairs(spark, sf_dir):
 @query()
 def permutation_p_values(spark, sf_dir):
     """Full segments against lines: whether their scores differ by chance."""
-    gold, pred = _gold_and_predicted(spark, sf_dir)
-    other = pred.where("pos % 2 = 0")
-    a, b = E.confusion(gold, pred, ["lang", "doc_id"]), E.confusion(gold, other, ["lang", "doc_id"])
-    both = a.select("lang", "doc_id", *[F.col(c).alias(f"{c}_a") for c in ("tp", "fp", "fn")]).join(b.select("lang", "doc_id", *[F.col(c).alias(f"{c}_b") for c in ("tp", "fp", "fn")]), ["lang", "doc_id"])
-    return E.permutation_test(both, ["lang"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", strip_column(rule_segments(F.col("text"))).alias("s"), F.length(T.separator(F.col("lang"))).alias("gap"))
+    text = F.array_join("s", " ")
+    cuts = docs.select("doc_id", "lang", E.boundary_places(F.col("s"), F.col("gap")).alias("gold"), E.boundary_places(rule_segments(text)).alias("a"), E.boundary_places(rule_paragraphs(text)).alias("b"))
+    counts = [c.alias(f"{n}_{s}") for s in "ab" for n, c in zip(("tp", "fp", "fn"), E.confusion_of(F.col("gold"), F.col(s)), strict=True)]
+    return E.permutation_test(cuts.where("size(gold) > 0").select("lang", "doc_id", *counts), ["lang"])
 
 
 @query()
