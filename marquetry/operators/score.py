@@ -247,6 +247,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, buckets: int, l2:
         gradient = np.append(np.bincount(x.ravel(), np.repeat(r, width), buckets) + l2 * v[:-1], r.sum())
         if np.abs(gradient).max() < 1e-7:
             break
-        new, t_new = v - rate * gradient, (1 + np.sqrt(1 + 4 * t * t)) / 2
+        new = v - rate * gradient
+        t = 1.0 if gradient @ (new - w) > 0 else t  # momentum that leads uphill is dropped
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
     return w[:-1], float(w[-1])

@@ -28,25 +28,19 @@ def gold_boundaries(sentences: DataFrame, by: list[str], order: str = "sent_idx"
     return sentences.select(*by, pos.cast("long").alias("pos"), last.alias("last"))
 
 
-def running_lengths(lengths: Column) -> Column:
-    """array<bigint>: running totals of an array of lengths."""
+def boundary_places(parts: Column, gap: Column | int = 0) -> Column:
+    """array<bigint>: where each part ends in the text that the parts make, joined by gaps of so many characters; a boundary is after the gap."""
 
     @F.arrow_udf("array<bigint>")
-    def run(lists: pa.Array) -> pa.Array:
-        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    def run(lists: pa.Array, gaps: pa.Array) -> pa.Array:
         n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(n)])
-        sums = np.concatenate([[0], np.cumsum(values)])
+        each = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(gaps.to_numpy(zero_copy_only=False).astype(np.int64), n)
+        each[ends[1:][n > 0] - 1] -= gaps.to_numpy(zero_copy_only=False).astype(np.int64)[n > 0]  # none after the last part
+        sums = np.concatenate([[0], np.cumsum(each)])
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sums[1:] - np.repeat(sums[ends[:-1]], n)), mask=lists.is_null())
 
-    return run(lengths.cast("array<bigint>"))
-
-
-def boundary_places(parts: Column, gap: Column | int = 0) -> Column:
-    """array<bigint>: where each part ends in the text that the parts make, joined by gaps of so many characters; a boundary is after the gap."""
-    gap = gap if isinstance(gap, Column) else F.lit(gap)
-    last = F.size(parts) - 1
-    return running_lengths(F.transform(parts, lambda s, i: F.length(s) + F.when(i < last, gap).otherwise(0)))
+    return run(F.transform(parts, lambda s: F.length(s)), (gap if isinstance(gap, Column) else F.lit(gap)).cast("int"))
 
 
 def confusion_of(gold: Column, predicted: Column) -> list[Column]:
