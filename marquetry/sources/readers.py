@@ -1,16 +1,19 @@
 """Readers for the formats in which sentence corpora come; each gives a DataFrame with a stated order column.
 
-Files are read whole per file only where a format has state across lines; such groups are bounded by the size of one file.
+Text files are read in splits, so that their size doesn't matter; what goes on across lines (documents, sentences, places) is a running
+total over the lines.  Only nested JSON is read a file at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from ..plans.running import running_total
 
 
 def texts(spark: SparkSession, values: list[str | None]) -> DataFrame:
@@ -19,17 +22,32 @@ def texts(spark: SparkSession, values: list[str | None]) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files, gzip too."""
+    """(file, line_no, line) of text files, gzip too.
+
+    Lines are counted within each split of a file as they stream by, and the lines of the splits before it are added.
+    """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = None, 0
         for b in batches:
-            for file, whole in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = whole.split("\n")
-                lines = lines[:-1] if lines[-1] == "" else lines
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(lines), pa.string()), pa.array(range(len(lines)), pa.int64()), pa.array([x.removesuffix("\r") for x in lines], pa.string())], ["file", "line_no", "line"])
-
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.mapInArrow(number, "file string, line_no long, line string")
+            if b.num_rows == 0:
+                continue
+            files, blocks = b.column(0).dictionary_encode(), b.column(1).to_numpy(zero_copy_only=False)
+            codes = files.indices.to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero((codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])) + 1])
+            place = np.arange(b.num_rows) - np.repeat(starts, np.diff(np.append(starts, b.num_rows)))
+            first = (b.column(0)[0].as_py(), int(blocks[0]))
+            if first == last:
+                place[: starts[1] if len(starts) > 1 else b.num_rows] += count
+            last, count = (b.column(0)[b.num_rows - 1].as_py(), int(blocks[-1])), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(place), b.column(2)], ["file", "block", "place", "line"])
+
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.rtrim("value", F.lit("\r")).alias("line"))
+    sizes = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    sizes = sizes.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(before, F.lit(0)).alias("before"))
+    lines = raw.mapInArrow(number, "file string, block long, place long, line string")
+    return lines.join(sizes, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).select("file", (F.col("place") + F.col("before")).alias("line_no"), "line")
 
 
 def sentence_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -42,10 +60,11 @@ def sentence_lines(spark: SparkSession, path: str, limit: int | None = None) ->
 def conllu(spark: SparkSession, path: str, documents: bool = False) -> DataFrame:
     """(file, doc_id, sent_idx, sentence) from the ``# text =`` lines of CoNLL-U files; documents begin at ``# newdoc``."""
     lines = numbered_lines(spark, path).where(F.col("line").rlike("^# (?:text = |newdoc)"))
-    w = Window.partitionBy("file").orderBy("line_no")
-    doc = F.sum(F.col("line").startswith("# newdoc").cast("long")).over(w) if documents else F.lit(0).cast("long")
-    rows = lines.withColumn("doc_id", doc).where(F.col("line").startswith("# text = "))
-    return rows.select("file", "doc_id", F.col("line_no").alias("sent_idx"), F.regexp_extract("line", "^# text = (.*)", 1).alias("sentence"))
+    if documents:
+        lines = running_total(lines, ["file"], ["line_no"], F.col("line").startswith("# newdoc").cast("long"), "doc_id")
+    else:
+        lines = lines.withColumn("doc_id", F.lit(0).cast("long"))
+    return lines.where(F.col("line").startswith("# text = ")).select("file", "doc_id", F.col("line_no").alias("sent_idx"), F.substring("line", 10, 2**31 - 1).alias("sentence"))
 
 
 def parallel(rows: DataFrame, left: str, right: str) -> DataFrame:
@@ -54,9 +73,9 @@ def parallel(rows: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def jsonl_spans(spark: SparkSession, path: str) -> DataFrame:
-    """(file, doc_id, sent_idx, sentence) of JSON lines with text and spans of code points."""
-    raw = spark.read.schema("text string, spans array<struct<start:int,end:int>>").json(path)
-    rows = raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("doc_id"), "text", F.posexplode("spans").alias("sent_idx", "s"))
+    """(file, doc_id, sent_idx, sentence) of JSON lines with text and spans of code points; doc_id is the line's number."""
+    raw = numbered_lines(spark, path).select("file", F.col("line_no").alias("doc_id"), F.from_json("line", "text string, spans array<struct<start:int,end:int>>").alias("r"))
+    rows = raw.select("file", "doc_id", "r.text", F.posexplode("r.spans").alias("sent_idx", "s"))
     sentence = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     return rows.select("file", "doc_id", "sent_idx", sentence.alias("sentence"))
 
@@ -65,8 +84,7 @@ def boundary_words(spark: SparkSession, path: str) -> DataFrame:
     """(file, sent_idx, sentence) of lines ``word<TAB>boundary``; words after the last boundary are dropped."""
     parts = F.split("line", "\t")
     rows = numbered_lines(spark, path).where(F.size(parts) >= 2).select("file", "line_no", parts[0].alias("word"), (parts[1] == "1").cast("long").alias("ends"))
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = rows.withColumn("sent_idx", F.sum("ends").over(w) - F.col("ends"))
+    rows = running_total(rows, ["file"], ["line_no"], F.col("ends"), "total").withColumn("sent_idx", F.col("total") - F.col("ends"))
     groups = rows.groupBy("file", "sent_idx").agg(F.max("ends").alias("done"), F.array_sort(F.collect_list(F.struct("line_no", "word"))).alias("w"))
     return groups.where("done = 1").select("file", "sent_idx", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("sentence"))
 
@@ -78,9 +96,8 @@ def punctuated_tokens(spark: SparkSession, path: str, separator: str = " ") -> D
     """(file, line_no, token, label, start, end): tokens with their places in the text that they make; a label belongs to the last character."""
     parts = F.split("line", "\t")
     rows = numbered_lines(spark, path).where(F.size(parts) >= 2).select("file", "line_no", parts[0].alias("token"), parts[1].alias("label"))
-    w = Window.partitionBy("file").orderBy("line_no")
-    end = F.sum(F.length("token")).over(w) + (F.row_number().over(w) - 1) * len(separator)
-    return rows.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.length("token"))
+    rows = running_total(rows, ["file"], ["line_no"], F.length("token") + len(separator), "end").withColumn("end", F.col("end") - len(separator))
+    return rows.withColumn("start", F.col("end") - F.length("token"))
 
 
 def paired_files(gold: DataFrame, predicted: DataFrame) -> DataFrame:

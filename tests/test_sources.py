@@ -83,3 +83,18 @@ def test_stream(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/out"), "doc_id", "seg_idx", "segment") == want
     write_segments(segment_stream(stream, max_length=3, split_on_input_newlines=False), f"{tmp_path}/out2", f"{tmp_path}/state2")
     assert max(len(r["segment"]) for r in spark.read.parquet(f"{tmp_path}/out2").collect()) <= 3
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    lines = {name: [f"{name} {i} " + "x" * (i * 7 % 50) for i in range(n)] for name, n in (("a", 700), ("b", 1), ("c", 300))}
+    for name, own in lines.items():
+        (tmp_path / f"{name}.txt").write_text("\n".join(own) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        df = R.numbered_lines(spark, str(tmp_path))
+        got = {(r["file"][-5], r["line_no"]): r["line"] for r in df.collect()}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {(name, i): x for name, own in lines.items() for i, x in enumerate(own)}
