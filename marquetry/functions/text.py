@@ -66,9 +66,27 @@ def corrupt(text: Column, lower: bool = True, punctuation: bool = True) -> Colum
     return drop_punctuation(text) if punctuation else text
 
 
-def corrupt_asr(text: Column) -> Column:
-    """Like recognised speech: each line without punctuation characters, in lower case."""
-    return F.transform(F.split(text, "\n"), lambda line: F.lower(drop_punctuation(line)))
+#: Marks that stay where they join two letters or digits, and what stands for them meanwhile.
+_JOINERS = ".,-'’"
+_HELD = "".join(chr(0xE001 + i) for i in range(len(_JOINERS)))
+_CHAR = r"[\p{L}\p{M}\p{N}]"
+
+
+def drop_mark_tokens(text: Column) -> Column:
+    """Without the marks that a tokenizer takes for tokens: what stands within a word (don't, well-known, e.g) or a number stays, others leave a blank."""
+    for mark, held in zip(_JOINERS, _HELD, strict=True):
+        char = r"\p{N}" if mark == "," else _CHAR
+        text = F.regexp_replace(text, f"(?<={char}){re.escape(mark)}(?={char})", held)
+    bare = strip(squeeze(F.translate(text, "".join(PUNCTUATION), " " * len(PUNCTUATION))))
+    return F.translate(bare, _HELD, _JOINERS)
+
+
+def corrupt_asr(text: Column, lang: Column | None = None) -> Column:
+    """Like recognised speech: each line in lower case, without marks that are tokens; in languages without blanks, without any marks."""
+    whole = F.transform(F.split(text, "\n"), lambda line: F.lower(drop_mark_tokens(line)))
+    if lang is None:
+        return whole
+    return F.when(lang.isin(*NO_WHITESPACE), F.transform(F.split(text, "\n"), lambda line: F.lower(drop_punctuation(line)))).otherwise(whole)
 
 
 def _social(seed: int):
@@ -128,6 +146,12 @@ def clean_tweet(text: Column) -> Column:
     return strip(squeeze(F.regexp_replace(F.array_join(words, " "), EMOJI, "")))
 
 
+def clean_tweets(texts: Column, most: int = 5) -> Column:
+    """The cleaned texts of a list that aren't empty; null if there is none, or more than most."""
+    left = F.filter(F.transform(texts, lambda t: clean_tweet(t)), lambda t: t != "")
+    return let(left, lambda x: F.when((F.size(x) > 0) & (F.size(x) <= most), x))
+
+
 def ends_in_two_letters(text: Column) -> Column:
     """A sign that a cut may have gone through a word."""
     return text.rlike(r"\p{L}{2}\z")

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from ..folders import fresh
 from ..functions.text import all_of
-from ..resources import NO_PUNCTUATION, NO_WHITESPACE
+from ..resources import NO_PUNCTUATION, NO_WHITESPACE, PUNCTUATION
 from .running import running_total
 
 
@@ -193,61 +193,96 @@ def length_statistics(rows: DataFrame, by: list[str], text: str = "sentence", at
     return out.where(F.col("n") >= max(at_least, group_at_least)).select(*by, F.floor("q1").cast("long").alias("target_length"), spread.cast("long").alias("spread"), "n", "min", "max")
 
 
-def token_blocks(rows: DataFrame, by: list[str], order: list[str], block: int, text: str = "text") -> DataFrame:
+def token_blocks(rows: DataFrame, by: list[str], order: list[str], block: int, text: str = "text", overflow: int = 0) -> DataFrame:
     """(by, block, doc order, start, length): which characters of which row are in which block, if rows are joined and cut every so many.
 
-    A rest shorter than a block goes.  Only lengths are summed; texts stay where they are.
+    A block goes on for overflow characters into the next one.  A rest shorter than a block goes.  Only lengths are summed; texts stay where they are.
     """
     n = F.coalesce(F.length(text), F.lit(0)).cast("long")
     placed = running_total(rows.select(*by, *order, n.alias("n")), by, order, F.col("n"), "after").withColumn("begin", F.col("after") - F.col("n"))
-    totals = rows.groupBy(*by).agg(F.sum(n).alias("total"))
-    placed = placed.join(totals, by)
-    first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("n") - 1) / block)
-    blocks = placed.where("n > 0").withColumn("block", F.explode(F.sequence(first, last))).where((F.col("block") + 1) * block <= F.col("total"))
+    placed = _with(placed, by, total=F.sum("n"))
+    first = F.greatest(F.floor((F.col("begin") - overflow) / block), F.lit(0).cast("long"))
+    last = F.floor((F.col("after") - 1) / block)
+    blocks = placed.where("n > 0").withColumn("block", F.explode(F.sequence(first, last)))
+    edge = (F.col("block") + 1) * block + overflow
     start = F.greatest(F.col("block") * block - F.col("begin"), F.lit(0))
-    end = F.least((F.col("block") + 1) * block - F.col("begin"), F.col("n"))
-    return blocks.select(*by, *order, "block", start.alias("start"), (end - start).alias("length"))
+    end = F.least(edge - F.col("begin"), F.col("n"))
+    return blocks.where(edge <= F.col("total")).where(end > start).select(*by, *order, "block", start.alias("start"), (end - start).alias("length"))
 
 
-def pack_sentences(sentences: DataFrame, by: list[str], order: str, block: int, encode, text: str = "sentence", reserve: int = 4, separator: str = " ") -> DataFrame:
-    """(by, block_id, input_ids, attention_mask, labels): sentences packed greedily into blocks of at most block - reserve tokens.
+def sentence_end_labels(sentences: list[str], encode, separators: list[str], first: int = 0, last: int = 2) -> tuple[list[int], list[int]]:
+    """Ids and labels of the text that sentences make: 1 for the last token of each, 0 for others and for the special tokens around them.
 
-    encode: text -> token ids.  The last token of a sentence has label 1; padding has id 0, mask 0 and label -100.  Empty and purely numeric
-    sentences, and ones longer than a block, are left out.
+    encode: text -> (token ids, where each begins).  separators: what stands before each sentence but the first.
     """
-    room = block - reserve
+    text, ends = "", []
+    for k, s in enumerate(sentences):
+        text += (separators[k] if k else "") + s
+        ends.append(len(text) - 1)
+    ids, starts = encode(text)
+    labels = np.zeros(len(ids), np.int64)
+    following = np.searchsorted(np.asarray(starts), np.array(ends), "right")  # the first token after each sentence
+    labels[following[following > 0] - 1] = 1
+    return [first, *ids, last], [0, *labels.tolist(), 0]
+
+
+#: Sentences that one task packs; the next task begins a new block.
+PACKED_TOGETHER = 50_000
+
+
+def pack_sentences(sentences: DataFrame, by: list[str], order: list[str], block: int, encode, text: str = "sentence", reserve: int = 4, separator: str = " ", p_add: float = 1.0, p_flip: float = 0.0, seed: int = 0) -> DataFrame:
+    """(by, block_id, input_ids, attention_mask, labels): sentences packed greedily into blocks of less than block - reserve tokens.
 
-    def run(t: pa.Table) -> pa.Table:
-        texts = t.sort_by(order)[text].to_pylist()
-        out: list[tuple[list[int], list[int]]] = []
-        ids: list[int] = []
-        labels: list[int] = []
-        for s in texts:
-            if not s or not s.strip() or s.strip().isdigit():
+    encode: see sentence_end_labels().  Padding has id 0, mask 0 and label -100.  Empty and purely numeric sentences, and ones longer than a
+    block, are left out.  p_add: chance that a sentence which fits is added, and doesn't begin a new block.  p_flip: chance that a sentence that ends in a
+    mark is followed by the other separator (a blank, or none).  Draws depend on seed, group and place.  Groups are cut into stretches of
+    PACKED_TOGETHER sentences, so that no task holds a group.
+    """
+    room = block - reserve
+    marks = set(PUNCTUATION)
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        first = int(t["rank"][0].as_py())
+        rng = np.random.default_rng([seed, int(t["group"][0].as_py()) & (2**63 - 1), first])
+        other = "" if separator else " "
+        out: list[tuple[list[str], list[str]]] = []
+        own: list[str] = []
+        gaps: list[str] = []
+        count = 0
+        for s in t[text].to_pylist():
+            draw, flip = rng.random(2)
+            if not s or s.isnumeric():
                 continue
-            own = list(encode(s if not ids else separator + s))
-            if not own or len(own) > room:
+            gap = other if own and flip < p_flip and own[-1][-1] in marks else separator
+            alone = len(encode(s)[0])
+            n = len(encode(gap + s)[0]) if own else alone
+            if alone == 0:
                 continue
-            if len(ids) + len(own) > room:
-                out.append((ids, labels))
-                ids, labels = [], []
-                own = list(encode(s))
-            ids, labels = ids + own, labels + [0] * (len(own) - 1) + [1]
-        if ids:
-            out.append((ids, labels))
-        pad = [block - len(i) for i, _ in out]
+            if count + n < room and (not own or draw <= p_add):
+                own, gaps, count = [*own, s], [*gaps, gap], count + n
+                continue
+            if own:
+                out.append((own, gaps))
+            own, gaps, count = ([], [], 0) if alone > room else ([s], [gap], alone)
+        if own:
+            out.append((own, gaps))
+        coded = [sentence_end_labels(x, encode, g) for x, g in out]
+        pad = [block - len(ids) for ids, _ in coded]
         rows = {c: pa.array([t[c][0].as_py()] * len(out), t.schema.field(c).type) for c in by}
         rows |= {
-            "block_id": pa.array(range(len(out)), pa.int64()),
-            "input_ids": pa.array([i + [0] * p for (i, _), p in zip(out, pad, strict=True)], pa.list_(pa.int32())),
-            "attention_mask": pa.array([[1] * len(i) + [0] * p for (i, _), p in zip(out, pad, strict=True)], pa.list_(pa.int32())),
-            "labels": pa.array([x + [-100] * p for (_, x), p in zip(out, pad, strict=True)], pa.list_(pa.int32())),
+            "block_id": pa.array(np.arange(len(out)) + first - 1, pa.int64()),
+            "input_ids": pa.array([i + [0] * p for (i, _), p in zip(coded, pad, strict=True)], pa.list_(pa.int32())),
+            "attention_mask": pa.array([[1] * len(i) + [0] * p for (i, _), p in zip(coded, pad, strict=True)], pa.list_(pa.int32())),
+            "labels": pa.array([x + [-100] * p for (_, x), p in zip(coded, pad, strict=True)], pa.list_(pa.int32())),
         }
         return pa.table(rows)
 
     ints = ArrayType(IntegerType())
     schema = sentences.select(*by).schema.add("block_id", "long").add("input_ids", ints).add("attention_mask", ints).add("labels", ints)
-    return sentences.select(*dict.fromkeys([*by, order, text])).groupBy(*by).applyInArrow(run, schema)
+    ranked = running_total(sentences.select(*dict.fromkeys([*by, *order, text])), by, order, F.lit(1), "rank")
+    stretch = F.floor((F.col("rank") - 1) / PACKED_TOGETHER).alias("stretch")
+    return ranked.withColumn("group", F.xxhash64(*by)).groupBy(*by, stretch).applyInArrow(lambda key, t: pack(t), schema)
 
 
 def corrupt_training(rows: DataFrame, key: str, text: str = "text", newline_rate: float = 1.0, mark_rate: float = 0.5, space_rate: float = 0.0, seed: int = 0) -> DataFrame:
@@ -256,8 +291,6 @@ def corrupt_training(rows: DataFrame, key: str, text: str = "text", newline_rate
     A character's label is the class of the one after it.  A deleted character's label goes with it, except that the label it leaves behind
     stays on the character before.  A line break becomes a blank instead at space_rate.  Draws depend on seed and key.
     """
-    from ..resources import PUNCTUATION
-
     classes = {"\n": 1} | {c: 2 + i for i, c in enumerate(PUNCTUATION)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +51,81 @@ def confusion_of(gold: Column, predicted: Column) -> list[Column]:
     return [both.alias("tp"), (F.size(predicted) - both).alias("fp"), (F.size(gold) - both).alias("fn")]
 
 
+def keep_every_kth_out(gold: Column, predicted: Column, k: int) -> tuple[Column, Column]:
+    """Arrays of places without every kth true one, and without the last."""
+    n = F.size(gold)
+    dropped = F.filter(gold, lambda x, i: ((i + 1) % k == 0))
+    dropped = F.array_union(dropped, F.slice(gold, F.greatest(n, F.lit(1)), F.least(n, F.lit(1))))
+    return F.array_except(gold, dropped), F.array_except(predicted, dropped)
+
+
+def evaluate_mixture(docs: DataFrame, by: list[str], systems: dict[str, str | None], sentences: str = "sentences", gap: Column | int = 1, exclude_every_k: int = 0) -> DataFrame:
+    """(by, system, tp, fp, fn, precision, recall, f1, all_right): sentences against the segments of each system, by place.
+
+    systems: name -> column with segments of the text that the sentences make, white space kept; None for a system that a model lacks,
+    which has no row.  So a model's newline threshold is compared with its style's classifier in one pass.
+    """
+    known = {n: c for n, c in systems.items() if c is not None}
+    rows = docs.select(*by, boundary_places(F.col(sentences), gap).alias("gold"), *[boundary_places(F.col(c)).alias(f"places_{n}") for n, c in known.items()])
+    found = F.explode(F.array(*[F.struct(F.lit(n).alias("system"), F.col(f"places_{n}").alias("places")) for n in known])).alias("x")
+    rows = rows.where(F.size("gold") > 0).select(*by, "gold", found).select(*by, "gold", "x.system", "x.places")
+    gold, places = F.col("gold"), F.col("places")
+    if exclude_every_k:
+        gold, places = keep_every_kth_out(gold, places, exclude_every_k)
+    return scores(rows.select(*by, "system", *confusion_of(gold, places)))
+
+
+def kmer_scores(kmers: DataFrame, by: list[str], probs: str, gold: str, threshold: float) -> DataFrame:
+    """(by, auc, f1_best, threshold_best, found, correct, correct_best) of each k-mer: a text of k sentences.
+
+    gold: places of the sentences' last characters; probs: a probability for each character.  The area is that under precision over recall.
+    correct: whether the places over the threshold, but for the text's end, are just the true ones (correct_best: over the threshold with
+    the best F1); found: whether there is any.  As sigmoids keep order, a threshold of logits is one of probabilities.
+    """
+
+    @F.arrow_udf("struct<auc:double,f1_best:double,threshold_best:double,found:boolean,correct:boolean,correct_best:boolean>")
+    def run(vectors: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for p, g in zip(vectors, places, strict=True):
+            p, true = np.array(p.values, np.float32), np.zeros(len(p.values), bool)
+            true[np.array(g.values, np.int64)] = True
+            values, at = np.unique(-p, return_inverse=True)  # from the greatest on
+            tp, n = (np.cumsum(np.bincount(at, w, len(values))) for w in (true.astype(float), None))
+            precision, recall = tp / n, tp / max(1, true.sum())
+            f1 = 2 * precision * recall / (precision + recall + 1e-6)
+            best = int(len(f1) - 1 - f1[::-1].argmax())
+            area = float((np.diff(recall, prepend=0.0) * (precision + np.concatenate([[1.0], precision[:-1]])) / 2).sum())
+            over = p[:-1] > threshold
+            out.append((area, float(f1[best]), float(-values[best]), bool(over.any()), bool((over == true[:-1]).all()), bool(((p[:-1] > -values[best]) == true[:-1]).all())))
+        return pa.array([dict(zip(("auc", "f1_best", "threshold_best", "found", "correct", "correct_best"), x, strict=True)) for x in out], pa.struct([(n, pa.float64()) for n in ("auc", "f1_best", "threshold_best")] + [(n, pa.bool_()) for n in ("found", "correct", "correct_best")]))
+
+    return kmers.select(*by, run(F.col(probs), F.col(gold)).alias("r")).select(*by, "r.*")
+
+
+def kmer_averages(each: DataFrame, by: list[str], pairs: bool = False) -> DataFrame:
+    """(by, auc, accuracy, accuracy_best, f1_best, n) over k-mers; of pairs without any place over the threshold none is right."""
+    right = F.col("correct") & F.col("found") if pairs else F.col("correct")
+    mean = lambda c: F.avg(c.cast("double"))
+    return each.groupBy(*by).agg(F.avg("auc").alias("auc"), mean(right).alias("accuracy"), mean(F.col("correct_best")).alias("accuracy_best"), F.avg("f1_best").alias("f1_best"), F.count("*").alias("n"))
+
+
+def index_conflicts(indices: DataFrame, by: list[str] = ("lang", "dataset", "doc_id"), system: str = "system") -> DataFrame:
+    """(by, systems, true_sets, lengths): documents whose systems don't agree on the true places or on the length, so that they can't be compared."""
+    truth = F.xxhash64(F.array_sort("true"))
+    sums = indices.groupBy(*by).agg(F.count("*").alias("systems"), F.count_distinct(truth).alias("true_sets"), F.count_distinct("length").alias("lengths"))
+    return sums.where("true_sets > 1 or lengths > 1")
+
+
+def merge_indices(parts: list[DataFrame], by: list[str] = ("lang", "dataset", "doc_id")) -> DataFrame:
+    """(by, true, length, predicted): one row for each document with the predictions of all systems by name; conflicts raise ValueError."""
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.unionByName(other)
+    if not index_conflicts(rows, by).isEmpty():
+        raise ValueError("systems don't agree on the true boundaries or the length of a document")
+    return rows.groupBy(*by).agg(F.first("true").alias("true"), F.first("length").alias("length"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("system", "predicted")))).alias("predicted"))
+
+
 def predicted_boundaries(segments: DataFrame, by: list[str], order: str = "seg_idx", text: str = "segment") -> DataFrame:
     """(by, pos): running lengths of segments."""
     w = Window.partitionBy(*by).orderBy(order)
@@ -139,6 +216,11 @@ def statistics(df: DataFrame, value: str, name: str, by: list[str]) -> DataFrame
     return out.select(*by, "mean", "median", "std", F.col("lo.v").alias("min"), F.col("lo.n").alias("min_name"), F.col("hi.v").alias("max"), "max_name")
 
 
+def timing_statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, mean, deviation) of repeated measurements: the sample's deviation, 0 for a single one."""
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("deviation"))
+
+
 def class_report(df: DataFrame, gold: str, predicted: str, by: list[str] | None = None) -> DataFrame:
     """(by, label, support, precision, recall, f1) for every class that occurs on either side."""
     by = by or []
@@ -160,34 +242,45 @@ def system_pairs(scores_of: DataFrame, by: list[str], system: str = "system", va
 def permutation_test(pairs: DataFrame, by: list[str], rounds: int = 10_000, seed: int = 0, per_task: int = 500) -> DataFrame:
     """(by, p_precision, p_recall, p_f1): chance that swapping two systems' predictions in half of the documents parts them as far.
 
-    pairs: (by, doc_id, tp_a, fp_a, fn_a, tp_b, fp_b, fn_b), counts of each document for both systems.  A group's documents meet in one
-    task; its rounds are spread over tasks.  In a round one coin is tossed for each document.
+    pairs: (by, doc_id, tp_a, fp_a, fn_a, tp_b, fp_b, fn_b), counts of each document for both systems.  In a round one coin is tossed for each
+    document; it depends on seed, round and doc_id only.  Scores are means over documents, so that a round's difference is a sum over
+    documents: each task adds up its own, ``per_task`` documents at a time, and no group has to be in one task.
     """
-
-    def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t["doc_id"].to_numpy())
-        a, b = (np.stack([t[f"{k}_{s}"].to_numpy().astype(np.float64)[order] for k in ("tp", "fp", "fn")]) for s in "ab")
-
-        def prf(c: np.ndarray) -> np.ndarray:
-            tp, fp, fn = c
-            with np.errstate(all="ignore"):
-                each = np.stack([tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn)])
-            return np.nan_to_num(each).mean(axis=-1)
-
-        seen = np.abs(prf(a) - prf(b))
-        first = int(t["part"][0].as_py()) * per_task
-        count = np.zeros(3, np.int64)
-        n = min(per_task, rounds - first)
-        for k in range(first, first + n):
-            swap = np.random.default_rng([seed, k]).random(a.shape[1]) < 0.5
-            d = np.abs(prf(np.where(swap, b, a)) - prf(np.where(swap, a, b)))
-            count += (d > seen) | np.isclose(d, seen)
-        return pa.table({**{c: t[c][:1] for c in by}, "n": [n], "p": [int(count[0])], "r": [int(count[1])], "f": [int(count[2])]})
-
-    schema = pairs.select(*by).schema.add("n", "long").add("p", "long").add("r", "long").add("f", "long")
-    parts = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // per_task))))
-    sums = parts.groupBy(*by, "part").applyInArrow(run, schema).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "p", "r", "f")])
-    return sums.select(*by, *[((F.col(c) + 1) / (F.col("n") + 1)).alias(f"p_{name}") for c, name in (("p", "precision"), ("r", "recall"), ("f", "f1"))])
+    names = ["precision", "recall", "f1"]
+
+    def prf(c: np.ndarray) -> np.ndarray:
+        tp, fp, fn = c
+        with np.errstate(all="ignore"):
+            return np.nan_to_num(np.stack([tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            groups, docs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            counts = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(2, 8)])
+            apart = (prf(counts[:3]) - prf(counts[3:])).T
+            for g in np.unique(groups).tolist():
+                own = np.flatnonzero(groups == g)
+                total = sums.setdefault(g, [0, np.zeros(3), np.zeros((rounds, 3))])
+                total[0] += len(own)
+                total[1] += apart[own].sum(axis=0)
+                for k in range(0, len(own), per_task):
+                    part = own[k : k + per_task]
+                    coins = np.stack([np.unpackbits(np.frombuffer(np.random.Philox(key=[seed, int(d) & (2**64 - 1)]).random_raw(-(-rounds // 64)).tobytes(), np.uint8))[:rounds] for d in docs[part]])
+                    total[2] += (1.0 - 2.0 * coins.T) @ apart[part]
+        for g, (n, seen, each) in sums.items():
+            values = np.vstack([seen, each])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rounds + 1, g)), pa.array(np.arange(rounds + 1)), pa.array(np.full(rounds + 1, n)), *(pa.array(np.ascontiguousarray(v)) for v in values.T)], ["g", "round", "n", *names])
+
+    key = F.xxhash64(*by)
+    rows = pairs.select(key.alias("g"), F.xxhash64("doc_id").alias("d"), *[F.col(f"{c}_{s}").cast("double") for s in "ab" for c in ("tp", "fp", "fn")])
+    sums = rows.mapInArrow(run, "g long, round long, n long, precision double, recall double, f1 double").groupBy("g", "round").agg(F.sum("n").alias("n"), *[F.abs(F.sum(c)).alias(c) for c in names])
+    seen = sums.where("round = 0").select("g", *[F.col(c).alias(f"seen_{c}") for c in names])
+    # as far, up to rounding of the sums
+    far = lambda c: F.count_if(F.col(c) >= F.col(f"seen_{c}") - F.col("n") * 1e-8 - F.col(f"seen_{c}") * 1e-5)
+    each = sums.where("round > 0").join(seen, "g").groupBy("g").agg(*[((far(c) + 1) / (F.count("*") + 1)).alias(f"p_{c}") for c in names])
+    groups = pairs.select(*by, key.alias("g")).distinct()
+    return groups.join(each, "g").select(*by, *[f"p_{c}" for c in names])
 
 
 def latex_matrix(rows: list[tuple[str, str, float]], names: list[str]) -> str:

@@ -48,6 +48,14 @@ def training_blocks(spark, sf_dir):
     return token_blocks(table(spark, sf_dir, "documents"), ["lang"], ["doc_id"], 4096)
 
 
+@query("""WITH p AS (SELECT lang, doc_id, length(text)::BIGINT AS n, (sum(length(text)) OVER (PARTITION BY lang ORDER BY doc_id))::BIGINT - length(text) AS begin, (sum(length(text)) OVER (PARTITION BY lang))::BIGINT AS total FROM documents),
+b AS (SELECT *, unnest(generate_series(greatest((begin - 512) // 2048 - 1, 0), (begin + n - 1) // 2048)) AS block FROM p WHERE n > 0), c AS (SELECT lang, doc_id, block, greatest(block * 2048 - begin, 0) AS a, least(block * 2048 + 2560 - begin, n) AS e FROM b WHERE block * 2048 + 2560 <= total)
+SELECT lang, doc_id, block, a AS "start", e - a AS "length" FROM c WHERE e > a""")
+def overflowing_blocks(spark, sf_dir):
+    """Blocks of 2048 characters that each go on for 512."""
+    return token_blocks(table(spark, sf_dir, "documents"), ["lang"], ["doc_id"], 2048, overflow=512)
+
+
 @query("""WITH p AS (SELECT lang, source, doc_id, length(text)::BIGINT AS n, (sum(length(text)) OVER (PARTITION BY lang ORDER BY doc_id))::BIGINT - length(text) AS begin, (sum(length(text)) OVER (PARTITION BY lang))::BIGINT AS total FROM documents),
 b AS (SELECT *, unnest(generate_series(begin // 4096, (begin + n - 1) // 4096)) AS block FROM p WHERE n > 0)
 SELECT lang, block, source, count(*) AS pieces FROM b WHERE (block + 1) * 4096 <= total GROUP BY lang, block, source""")

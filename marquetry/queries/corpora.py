@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.segment import rule_segments, strip_column
 from ..plans import corpus as C
 from .common import SENT_SQL, query, sentences, table
 
@@ -160,11 +162,35 @@ def sentences_with_newline(spark, sf_dir):
     return C.check_sentences(table(spark, sf_dir, "documents"), "text").select("doc_id")
 
 
-@query()
+def _by_character(text: str) -> tuple[list[int], list[int]]:
+    return [ord(c) for c in text], list(range(len(text)))
+
+
+_ROOM = 252
+
+
+@query(f"""WITH RECURSIVE {SENT_SQL}, sent_ok AS (SELECT lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id, sent_idx) AS i, length(sentence)::BIGINT AS n FROM sent WHERE NOT regexp_matches(sentence, '^[0-9]+\z')),
+r AS (SELECT DISTINCT lang, source, 0::BIGINT AS i, 0::BIGINT AS n, 0::BIGINT AS count, 0::BIGINT AS block, false AS placed FROM sent_ok
+  UNION ALL SELECT o.lang, o.source, o.i, o.n, CASE WHEN r.count + o.n + (r.count > 0)::INT < {_ROOM} THEN r.count + o.n + (r.count > 0)::INT WHEN o.n > {_ROOM} THEN 0 ELSE o.n END,
+    r.block + CASE WHEN r.count + o.n + (r.count > 0)::INT < {_ROOM} THEN (r.count = 0)::INT WHEN o.n > {_ROOM} THEN 0 ELSE 1 END, r.count + o.n + (r.count > 0)::INT < {_ROOM} OR o.n <= {_ROOM}
+  FROM r JOIN sent_ok o ON o.lang = r.lang AND o.source = r.source AND o.i = r.i + 1)
+SELECT lang, source, block - 1 AS block_id, (sum(n) + count(*) + 1)::BIGINT AS tokens, count(*) AS sentences FROM r WHERE placed GROUP BY lang, source, block""")
 def packed_blocks(spark, sf_dir):
     """Sentences of each language and source packed into blocks of 256 tokens (here: characters' code points)."""
-    packed = C.pack_sentences(sentences(spark, sf_dir).withColumn("o", F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("sent_idx").cast("string"), 8, "0"))), ["lang", "source"], "o", 256, lambda s: [ord(c) for c in s])
-    return packed.select("lang", "source", "block_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("tokens"), F.size(F.filter("labels", lambda x: x == 1)).alias("sentences"))
+    packed = C.pack_sentences(sentences(spark, sf_dir), ["lang", "source"], ["doc_id", "sent_idx"], 256, _by_character)
+    return packed.select("lang", "source", "block_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("tokens"), F.size(F.filter("labels", lambda x: x == 1)).cast("long").alias("sentences"))
+
+
+@query(f"WITH {SENT_SQL} SELECT doc_id, (sum(length(sentence)) OVER w + row_number() OVER w - 1)::BIGINT AS token FROM sent WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx)")
+def sentence_end_labels(spark, sf_dir):
+    """Which tokens (characters between two special ones) end a sentence."""
+    @F.arrow_udf("array<int>")
+    def labels(lists: pa.Array) -> pa.Array:
+        return pa.array([C.sentence_end_labels(s, _by_character, [" "] * len(s))[1] if s else [] for s in lists.to_pylist()], pa.list_(pa.int32()))
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", labels(strip_column(rule_segments(F.col("text")))).alias("l"))
+    rows = docs.select("doc_id", F.posexplode("l").alias("token", "label")).where("label = 1")
+    return rows.select("doc_id", F.col("token").cast("long").alias("token"))
 
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")

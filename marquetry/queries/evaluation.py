@@ -197,3 +197,126 @@ def style_mixture(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("embedding", (F.col("label") == 3).alias("y"), F.round(F.col("embedding")[0].cast("double"), 3).alias("s"))
     m = E.fit_mixture(rows, "embedding", "y", "s")
     return spark.createDataFrame([(float(m["intercept"]), float(m["punctuation"]), float(m["newline"]))], "intercept double, punctuation double, newline double")
+
+
+_SYSTEM_COUNTS = """each AS (SELECT doc_id, system, pos, max(g) AS g, max(p) AS p FROM (SELECT doc_id, system, pos, 1 AS g, 0 AS p FROM gg UNION ALL SELECT doc_id, system, pos, 0, 1 FROM pp) GROUP BY doc_id, system, pos),
+counts AS (SELECT doc_id, system, sum(g * p)::BIGINT AS tp, sum((1 - g) * p)::BIGINT AS fp, sum(g * (1 - p))::BIGINT AS fn FROM each GROUP BY doc_id, system)
+SELECT *, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 9) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 9) AS f1, fp = 0 AND fn = 0 AS all_right FROM counts"""
+_TWO_SYSTEMS = "both_pred AS (SELECT doc_id, 'style' AS system, pos FROM pred UNION ALL SELECT doc_id, 'newline', length(text)::BIGINT FROM whole), both_gold AS (SELECT doc_id, system, pos FROM gold, (VALUES ('style'), ('newline')) v(system))"
+
+
+def _mixture(spark, sf_dir, **options):
+    from ..operators.segment import Style, segment
+
+    style = Style({lang: {"own": (([2.0], 1.0), None, 0.5, 0.5)} for lang in ("de", "en", "es", "fr")}, "own")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", strip_column(rule_segments(F.col("text"))).alias("sentences"))
+    docs = docs.withColumn("text", F.array_join("sentences", " "))
+    docs = segment(docs, threshold=0.5, split_on_input_newlines=False, out="newline")
+    docs = segment(docs, lang="lang", style=style, split_on_input_newlines=False, out="style")
+    return E.evaluate_mixture(docs, ["doc_id"], {"newline": "newline", "style": "style", "none": None}, **options)
+
+
+@query(f"WITH {_GP_SQL}, {_TWO_SYSTEMS}, gg AS (SELECT * FROM both_gold), pp AS (SELECT * FROM both_pred), {_SYSTEM_COUNTS}")
+def evaluate_mixture(spark, sf_dir):
+    """A newline threshold and a style's classifier on the same texts."""
+    return _mixture(spark, sf_dir)
+
+
+@query(f"""WITH {_GP_SQL}, {_TWO_SYSTEMS}, ranked AS (SELECT doc_id, pos, row_number() OVER w AS n, lead(pos) OVER w IS NULL AS last FROM gold WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+dropped AS (SELECT doc_id, pos FROM ranked WHERE n % 4 = 0 OR last), gg AS (SELECT * FROM both_gold ANTI JOIN dropped USING (doc_id, pos)), pp AS (SELECT * FROM both_pred ANTI JOIN dropped USING (doc_id, pos)), {_SYSTEM_COUNTS}""")
+def evaluate_mixture_some(spark, sf_dir):
+    """The same without every fourth boundary, and without the last."""
+    return _mixture(spark, sf_dir, exclude_every_k=4).where("tp + fp + fn > 0")
+
+
+def _kmer_sql(k: int, found: str) -> str:
+    return f"""WITH {SENT_SQL}, g AS (SELECT lang, doc_id, sent_idx // {k} AS kmer, string_agg(sentence, ' ' ORDER BY sent_idx) AS text, list(length(sentence) ORDER BY sent_idx) AS lens, count(*) AS n FROM sent GROUP BY lang, doc_id, sent_idx // {k}),
+k AS (SELECT lang, doc_id, kmer, text, list_transform(range(1, {k} + 1), lambda i: list_sum(lens[1:i])::BIGINT + i - 2) AS ends FROM g WHERE n = {k}),
+c AS (SELECT lang, doc_id, kmer, ends, length(text) AS len, generate_subscripts(string_split(text, ''), 1) - 1 AS pos, unnest(string_split(text, '')) AS ch FROM k),
+f AS (SELECT *, lead(ch) OVER (PARTITION BY doc_id, kmer ORDER BY pos) AS nx FROM c),
+s AS (SELECT lang, doc_id, kmer, pos, pos = len - 1 AS last, list_contains(ends, pos) AS y, CASE WHEN contains('.!?…。！？', ch) AND (nx IS NULL OR regexp_matches(nx, '{WS}')) THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS p FROM f),
+t AS (SELECT doc_id, kmer, p, sum(y::INT) AS a, count(*) AS m FROM s GROUP BY doc_id, kmer, p),
+u AS (SELECT doc_id, kmer, p, (sum(a) OVER w)::DOUBLE / sum(m) OVER w AS pr, (sum(a) OVER w)::DOUBLE / {k} AS re FROM t WINDOW w AS (PARTITION BY doc_id, kmer ORDER BY p DESC)),
+v AS (SELECT *, 2 * pr * re / (pr + re + 1e-6) AS f1, (re - lag(re, 1, 0) OVER w) * (pr + lag(pr, 1, 1) OVER w) / 2 AS area FROM u WINDOW w AS (PARTITION BY doc_id, kmer ORDER BY p DESC)),
+best AS (SELECT doc_id, kmer, sum(area) AS auc, max(f1) AS f1_best, min(p) FILTER (WHERE f1 = top) AS threshold FROM (SELECT *, max(f1) OVER (PARTITION BY doc_id, kmer) AS top FROM v) GROUP BY doc_id, kmer),
+r AS (SELECT s.lang, s.doc_id, s.kmer, bool_and(last OR (p > 0.25) = y) AS correct, bool_or(NOT last AND p > 0.25) AS found, bool_and(last OR (p > threshold) = y) AS correct_best, any_value(auc) AS auc, any_value(f1_best) AS f1_best FROM s JOIN best USING (doc_id, kmer) GROUP BY s.lang, s.doc_id, s.kmer)
+SELECT lang, round(avg(auc), 6) AS auc, round(avg(({found})::INT), 6) AS accuracy, round(avg(correct_best::INT), 6) AS accuracy_best, round(avg(f1_best), 6) AS f1_best, count(*) AS n FROM r GROUP BY lang"""
+
+
+def _kmer_evaluation(spark, sf_dir, k: int):
+    from ..operators.score import predict_proba
+
+    s = F.col("sentences")
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", strip_column(rule_segments(F.col("text"))).alias("s"))
+    starts = F.sequence(F.lit(0), F.floor(F.size("s") / k).cast("int") - 1)
+    runs = docs.where(F.size("s") >= k).select("lang", "doc_id", F.explode(F.transform(starts, lambda i: F.slice("s", i * k + 1, k))).alias("sentences"))
+    runs = runs.withColumn("gold", F.transform(E.boundary_places(s, 1), lambda x: x)).withColumn("n", F.size("gold"))
+    # places of last characters: a boundary is after the gap, but for the last
+    runs = runs.withColumn("gold", F.transform("gold", lambda x, i: x - F.when(i < F.col("n") - 1, 2).otherwise(1))).withColumn("text", F.array_join("sentences", " "))
+    each = E.kmer_scores(predict_proba(runs), ["lang", "doc_id"], "probs", "gold", 0.25)
+    out = E.kmer_averages(each, ["lang"], pairs=k == 2)
+    return out.select("lang", *[F.round(c, 6).alias(c) for c in ("auc", "accuracy", "accuracy_best", "f1_best")], "n")
+
+
+@query(_kmer_sql(2, "correct AND found"))
+def pair_evaluation(spark, sf_dir):
+    """Whether the one cut between two sentences is found, and nothing else."""
+    return _kmer_evaluation(spark, sf_dir, 2)
+
+
+@query(_kmer_sql(3, "correct"))
+def kmer_evaluation(spark, sf_dir):
+    return _kmer_evaluation(spark, sf_dir, 3)
+
+
+def _indices(spark, sf_dir):
+    """Boundaries of two systems; in every ninth document they don't agree on the truth, in every tenth not on the length."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    rows = []
+    for name, cut in (("rules", rule_segments(F.col("text"))), ("lines", rule_paragraphs(F.col("text")))):
+        other = F.lit(name == "lines")
+        n = F.length("text")
+        true = F.when(other & (F.col("doc_id") % 9 == 0), F.array(n - 1)).otherwise(F.array(n))
+        rows.append(docs.select("lang", F.col("source").alias("dataset"), F.lit(name).alias("system"), "doc_id", E.boundary_places(cut).alias("predicted"), true.alias("true"), F.when(other & (F.col("doc_id") % 10 == 0), n + 1).otherwise(n).alias("length")))
+    return rows
+
+
+@query("SELECT lang, source AS dataset, doc_id, 2 AS systems, CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 1 END AS true_sets, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END AS lengths FROM documents WHERE text <> '' AND (doc_id % 9 = 0 OR doc_id % 10 = 0)")
+def index_conflicts(spark, sf_dir):
+    a, b = _indices(spark, sf_dir)
+    return E.index_conflicts(a.unionByName(b)).select("lang", "dataset", "doc_id", "systems", "true_sets", "lengths")
+
+
+@query(f"""SELECT lang, source AS dataset, doc_id, len(regexp_extract_all(text, '{RULE_RE}')) AS rules, len(regexp_extract_all(text, '(?s).*?
+{WS}*|.+')) AS lines, length(text)::BIGINT AS length FROM documents WHERE text <> ''""")
+def merged_indices(spark, sf_dir):
+    """One row for each document with what both systems predict, where they agree on truth and length."""
+    a, b = _indices(spark, sf_dir)
+    same = b.drop("true", "length").join(a.select("doc_id", "true", "length"), "doc_id")
+    m = E.merge_indices([a, same])
+    return m.select("lang", "dataset", "doc_id", *[F.size(F.col("predicted")[n]).cast("long").alias(n) for n in ("rules", "lines")], F.col("length").cast("long").alias("length"))
+
+
+@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS deviation FROM events GROUP BY user_id")
+def timing_statistics(spark, sf_dir):
+    """Mean and sample deviation of repeated measurements; 0 for a single one."""
+    t = E.timing_statistics(table(spark, sf_dir, "events"), ["user_id"], "value")
+    return t.select("user_id", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+@query("SELECT lang, source, round(avg(v), 6) AS value FROM (SELECT lang, source, CASE WHEN lang = 'de' THEN NULL ELSE length(text) END AS v FROM documents) GROUP BY lang, source")
+def missing_values(spark, sf_dir):
+    """Averages of measurements that a whole language lacks: null stays null."""
+    rows = table(spark, sf_dir, "documents").select("lang", "source", F.when(F.col("lang") != "de", F.length("text")).alias("v"))
+    return rows.groupBy("lang", "source").agg(F.round(F.avg("v"), 6).alias("value"))
+
+
+@query("""WITH a AS (SELECT doc_id, length(text) * (1 + CASE doc_id % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.00001 ELSE 0 END)::DOUBLE AS a, length(text)::DOUBLE AS b FROM documents WHERE text <> '')
+SELECT doc_id, round(a, 6) AS a, b FROM a WHERE abs(a - b) > 1e-5 + 1e-4 * abs(b)""")
+def far_apart(spark, sf_dir):
+    """Values that differ by more than the tolerances."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    n = F.length("text").cast("double")
+    moved = n * (1 + F.when(F.col("doc_id") % 4 == 0, 0.001).when(F.col("doc_id") % 4 == 1, 0.00001).otherwise(0.0))
+    return E.far_apart(docs.select("doc_id", moved.alias("v")), docs.select("doc_id", n.alias("v")), ["doc_id"], "v").select("doc_id", F.round("a", 6).alias("a"), "b")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -22,9 +24,29 @@ def corrupt_lower_punct(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.corrupt(F.col("text"))).alias("text"))
 
 
-@query(f"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, lower(translate(unnest(l), '{MARKS_SQL}', '')) AS text FROM l")
+def _held_sql(text: str) -> str:
+    """Marks within words become private characters; RE2 has no look-around, so that each is replaced twice."""
+    for mark, held in zip(T._JOINERS, T._HELD, strict=True):
+        char = r"[\p{N}]" if mark == "," else T._CHAR
+        for _ in range(2):
+            text = f"regexp_replace({text}, '({char}){re.escape(mark).replace(chr(39), chr(39) * 2)}({char})', '\\1{held}\\2', 'g')"
+    return text
+
+
+_MARKS = MARKS_SQL.replace("''", "'")
+_BLANKED = f"translate({_held_sql('x')}, '{MARKS_SQL}', '{' ' * len(_MARKS)}')"
+_HELD_BACK = ", ".join(f"'{c}'" for c in (T._HELD, T._JOINERS.replace("'", "''")))
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'zh' ELSE lang END AS lang, string_split(text || CASE WHEN doc_id % 4 = 0 THEN ' don''t, 3.50 well-known e.g. a,b 1,000!' ELSE '' END, chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, lang, generate_subscripts(l, 1) - 1 AS line, unnest(l) AS x FROM d)
+SELECT doc_id, line, lower(CASE WHEN lang = 'zh' THEN translate(x, '{MARKS_SQL}', '') ELSE translate(regexp_replace(regexp_replace({_BLANKED}, '{WS}+', ' ', 'g'), '{STRIP_RE}', '', 'g'), {_HELD_BACK}) END) AS text FROM l""")
 def corrupt_asr_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.corrupt_asr(F.col("text"))).alias("line", "text"))
+    """Lines as recognised speech, in a language without blanks too."""
+    noisy = F.concat("text", F.when(F.col("doc_id") % 4 == 0, " don't, 3.50 well-known e.g. a,b 1,000!").otherwise(""))
+    lang = F.when(F.col("doc_id") % 6 == 0, "zh").otherwise(F.col("lang"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", noisy.alias("t"), lang.alias("lang"))
+    rows = rows.select("doc_id", F.posexplode(T.corrupt_asr(F.col("t"), F.col("lang"))).alias("line", "text"))
     return rows.withColumn("line", F.col("line").cast("long"))
 
 
@@ -50,6 +72,17 @@ def tweet_clean(spark, sf_dir):
     return rows.select("conv_id", "turn", T.clean_tweet(noisy).alias("text"))
 
 
+@query(f"""WITH t AS (SELECT conv_id, turn, list_filter(string_split(CASE WHEN turn % 3 = 2 THEN '#only @tags' ELSE text || ' :-) 😀' END, ' '), lambda w: NOT regexp_matches(w, '^(?:http|#|@)') AND NOT regexp_matches(w, '^{_EMOTICON_SQL}\\z')) AS w FROM conversations),
+c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(array_to_string(w, ' '), '{T.EMOJI}', '', 'g'), '{WS}+', ' ', 'g'), '{STRIP_RE}', '', 'g') AS text FROM t)
+SELECT conv_id, string_agg(text, '|' ORDER BY turn) AS texts FROM c WHERE text <> '' GROUP BY conv_id HAVING count(*) <= 5""")
+def tweet_sets(spark, sf_dir):
+    """Turns of conversations as tweets: cleaned, empty ones left out, and only lists of one to five."""
+    noisy = F.when(F.col("turn") % 3 == 2, "#only @tags").otherwise(F.concat("text", F.lit(" :-) 😀")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", noisy.alias("t")))).alias("l"))
+    rows = rows.select("conv_id", F.transform("l", lambda x: x["t"]).alias("texts")).select("conv_id", T.clean_tweets(F.col("texts")).alias("texts"))
+    return rows.where("texts is not null").select("conv_id", F.array_join("texts", "|").alias("texts"))
+
+
 @query(f"""WITH l AS (SELECT conv_id, turn, list_transform(string_split(translate({sql_strip('text')}, '@', ' '), chr(10)), lambda x: regexp_replace(regexp_replace(x, '{WS}+', ' ', 'g'), '{STRIP_RE}', '', 'g')) AS l FROM conversations)
 SELECT conv_id, turn, array_to_string(list_filter(l, lambda x: x <> ''), '|') AS text FROM l""")
 def answer_clean(spark, sf_dir):

@@ -59,3 +59,37 @@ def test_scores(spark, tmp_path):
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k long, text string")
     got = [r["segments"] for r in segment(df, scorer, threshold=0.6).orderBy("k").collect()]
     assert got == [["One here. ", "Two there. ", "And three"], [], None]
+
+
+def test_windows_batches_and_adapters(tmp_path):
+    from marquetry.operators import model as M
+    from marquetry.operators.chunk import windows
+
+    table = [((k * 29) % 17 - 8) / 8 for k in range(64)]
+    M.write_lookup_model(str(tmp_path / "h"), {"kind": "hashed", "hashes": 2, "buckets": 64, "block": 12, "downsampling": 4}, table, {"en": 1.0, "de": -1.0}, styles={"en": {"ud": [[[2.0], 1.0], None, 0.5, 0.4]}})
+    texts = ["a short text", "x", "", "a much longer text that needs several windows, as it is long"]
+    with pytest.raises(ValueError, match="language"):
+        M.ModelScorer(str(tmp_path / "h")).scores(texts)
+    for options in ({}, {"batch_size": 1}, {"batch_size": 3, "pad_last_batch": True}, {"weighting": "hat", "stride": 5}):
+        got = M.ModelScorer(str(tmp_path / "h"), **{"stride": 5} | options).scores(texts, ["en", "de", "de", "de"])
+        for text, lang, p in zip(texts, ("en", "de", "de", "de"), got):
+            want = [sum(table[(ord(c) + 1) * q % 64] for q in (31, 43)) + (1 if lang == "en" else -1) for c in text]
+            assert np.allclose(p, 1 / (1 + np.exp(-np.array(want))), atol=1e-5)
+    assert [len(x) for x in M.ModelScorer(str(tmp_path / "h")).first_block(texts, ["en"] * 4)] == [12, 1, 0, 12]
+    assert len(windows(60, 12, 5)) > 8
+    assert M.mixtures(str(tmp_path / "h"))["en"]["ud"][0] == [[2.0], 1.0] and M.mixtures(str(tmp_path)) == {}
+
+
+def test_subwords(tmp_path):
+    from marquetry.operators import model as M
+
+    tokenizer = M.word_tokenizer([".", "good"])
+    # special tokens have great logits, which mustn't show
+    M.write_lookup_model(str(tmp_path), {"kind": "subword", "cls": 1, "sep": 2, "pad": 3, "block": 4}, [-2.0, 50.0, 50.0, 50.0, 1.0, 0.5], tokenizer=tokenizer)
+    text = "All is good . It is, in all good."
+    (p, empty) = M.ModelScorer(str(tmp_path), stride=2).scores([text, "  "])
+    want = np.zeros(len(text))
+    for end, logit in ((3, -2), (6, -2), (11, 0.5), (13, 1), (16, -2), (19, -2), (20, -2), (23, -2), (27, -2), (32, 0.5), (33, 1)):
+        want[end - 1] = 1 / (1 + np.exp(-logit))
+    assert np.allclose(p, want, atol=1e-6) and not empty.any()
+    assert M.mark_tokens(tokenizer, [".", "!"]) == [("\n", 1, 0, False), (".", 2, 4, True), ("!", 3, 0, False)]

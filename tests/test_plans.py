@@ -31,14 +31,82 @@ def test_permutation(spark):
     assert "0.500" in table and "-" in table
 
 
-def test_packing(spark):
-    rows = [("en", "d", i, s) for i, s in enumerate(["aaa", "bb", "", "12", "c" * 50, "dddd", "ee"])]
+def by_character(s):
+    return [ord(c) for c in s], list(range(len(s)))
+
+
+def test_packing(spark, monkeypatch):
+    rows = [("en", "d", i, s) for i, s in enumerate(["aaa", "bb", "", "12", "c" * 50, "dddd", "ee", "f" * 8])]
     df = spark.createDataFrame(rows, "lang string, dataset string, i long, sentence string")
-    got = C.pack_sentences(df, ["lang", "dataset"], "i", 12, lambda s: [ord(c) for c in s]).orderBy("block_id").collect()
-    texts = ["".join(chr(c) for c, m in zip(r["input_ids"], r["attention_mask"]) if m) for r in got]
-    assert texts == ["aaa bb", "dddd ee"]
+    got = C.pack_sentences(df, ["lang", "dataset"], ["i"], 12, by_character).orderBy("block_id").collect()
+    texts = ["".join(chr(c) for c, m in zip(r["input_ids"], r["attention_mask"]) if m)[1:-1] for r in got]
+    assert texts == ["aaa bb", "dddd ee", "f" * 8]
     assert all(len(r["input_ids"]) == len(r["labels"]) == 12 for r in got)
-    assert [i for i, x in enumerate(got[0]["labels"]) if x == 1] == [2, 5] and got[0]["labels"][-1] == -100
+    assert [i for i, x in enumerate(got[0]["labels"]) if x == 1] == [3, 6] and got[0]["labels"][-1] == -100
+    assert [r["input_ids"][0] for r in got] == [0, 0, 0] and got[0]["input_ids"][7] == 2
+    one = C.pack_sentences(df, ["lang", "dataset"], ["i"], 40, by_character, p_add=0.0).collect()
+    assert sorted(sum(r["attention_mask"]) - 2 for r in one) == [2, 2, 3, 4, 8]
+    dots = spark.createDataFrame([("en", "d", i, "ab.") for i in range(400)], "lang string, dataset string, i long, sentence string")
+    flipped = C.pack_sentences(dots, ["lang", "dataset"], ["i"], 40, by_character, p_flip=0.5).collect()
+    joined = "|".join("".join(map(chr, r["input_ids"])) for r in flipped)
+    assert 100 < joined.count(".a") < 250 and 100 < joined.count(". a") < 250
+    monkeypatch.setattr(C, "PACKED_TOGETHER", 3)
+    parts = C.pack_sentences(df, ["lang", "dataset"], ["i"], 12, by_character).orderBy("block_id").collect()
+    assert ["".join(chr(c) for c, m in zip(r["input_ids"], r["attention_mask"]) if m)[1:-1] for r in parts] == ["aaa bb", "dddd", "ee", "f" * 8]
+
+
+def test_sentence_end_labels_of_words():
+    def words(text):
+        import re
+
+        return [len(m.group()) for m in re.finditer(r"\S+", text)], [m.start() for m in re.finditer(r"\S+", text)]
+
+    assert C.sentence_end_labels(["a b", "c", "d e f"], words, [" "] * 3) == ([0, 1, 1, 1, 1, 1, 1, 2], [0, 0, 1, 1, 0, 0, 1, 0])
+    # a word that goes over a sentence's end ends it
+    assert C.sentence_end_labels(["a b", "c d"], words, ["", ""])[1] == [0, 0, 1, 1, 0]
+
+
+def test_blocks_with_overflow(spark):
+    texts = ["abcdefg", "", "hijkl", "mnopqrstuvw"]
+    df = spark.createDataFrame([("x", i, t) for i, t in enumerate(texts)], "lang string, i long, text string")
+    whole = "".join(texts)
+    for block, overflow in ((5, 0), (5, 2), (4, 4), (7, 3), (30, 0), (6, 9)):
+        got = {}
+        for r in C.token_blocks(df, ["lang"], ["i"], block, overflow=overflow).orderBy("block", "i").collect():
+            got[r["block"]] = got.get(r["block"], "") + texts[r["i"]][r["start"] : r["start"] + r["length"]]
+        want = [whole[k : k + block + overflow] for k in range(0, len(whole), block)]
+        assert [got[k] for k in sorted(got)] == [w for w in want if len(w) == block + overflow]
+
+
+def test_merged_indices(spark):
+    schema = "lang string, dataset string, system string, doc_id long, predicted array<int>, true array<int>, length int"
+    a = spark.createDataFrame([("en", "d", "a", 0, [1], [1, 3], 4)], schema)
+    b = spark.createDataFrame([("en", "d", "b", 0, [3], [3, 1], 4)], schema)
+    r = E.merge_indices([a, b]).first()
+    assert r["predicted"] == {"a": [1], "b": [3]} and r["length"] == 4
+    with pytest.raises(ValueError, match="agree"):
+        E.merge_indices([a, b.withColumn("length", F.lit(5))])
+    assert E.index_conflicts(a.unionByName(b.withColumn("true", F.array(F.lit(2))))).first()["true_sets"] == 2
+
+
+def test_permutation_against_plain_rounds(spark):
+    rng = np.random.default_rng(3)
+    rows = [("x", d, *[int(x) for x in rng.integers(0, 6, 6)]) for d in range(30)]
+    df = spark.createDataFrame(rows, "lang string, doc_id long, tp_a long, fp_a long, fn_a long, tp_b long, fp_b long, fn_b long")
+    got = E.permutation_test(df, ["lang"], rounds=4000, per_task=7).first()
+
+    def prf(c):
+        with np.errstate(all="ignore"):
+            tp, fp, fn = c
+            return np.nan_to_num(np.stack([tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn)]))
+
+    v = np.array([r[2:] for r in rows], float).T
+    apart = prf(v[:3]) - prf(v[3:])
+    signs = rng.choice([-1, 1], (4000, 30))
+    want = [(np.abs(signs @ a) >= abs(a.sum()) - 1e-9).mean() for a in apart]
+    assert np.allclose([got["p_precision"], got["p_recall"], got["p_f1"]], want, atol=0.04)
+    again = E.permutation_test(df.repartition(5), ["lang"], rounds=4000).first()
+    assert tuple(got) == tuple(again)
 
 
 def test_corrupt_training(spark):
