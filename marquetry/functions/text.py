@@ -89,35 +89,17 @@ def corrupt_asr(text: Column, lang: Column | None = None) -> Column:
     return F.when(lang.isin(*NO_WHITESPACE), F.transform(F.split(text, "\n"), lambda line: F.lower(drop_punctuation(line)))).otherwise(whole)
 
 
-def _social(seed: int):
-    marks = re.compile("[" + re.escape("".join(PUNCTUATION)) + "]")
-
-    def run(keys: pa.Array, texts: pa.Array) -> pa.Array:
-        out = []
-        for key, text in zip(keys.to_pylist(), texts.to_pylist(), strict=True):
-            if text is None:
-                out.append(None)
-                continue
-            rng = np.random.default_rng([seed, (key or 0) & (2**63 - 1)])
-            bare, low = rng.random(2) < 0.5
-            text = marks.sub("", text) if bare else marks.sub(lambda m: m.group() * int(rng.geometric(0.5) - 1), text)
-            out.append(text.lower() if low else text)
-        return pa.array(out, pa.string())
-
-    return run
-
-
 def corrupt_social_media(text: Column, key: Column, seed: int = 0) -> Column:
     """Like social media: half without marks, else each mark repeated geometrically (perhaps not at all); half in lower case.
 
-    The draw depends on the integer key and the seed only, not on partitions.
+    Draws are digits of md5 hashes of seed, key and place, so that they don't depend on partitions.
     """
-
-    @F.arrow_udf("string")
-    def social(keys: pa.Array, texts: pa.Array) -> pa.Array:
-        return _social(seed)(keys, texts)
-
-    return preprocess(social(key.cast("long"), text))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+    draws = F.md5(name)
+    times = lambda i: F.length(F.regexp_extract(F.md5(F.concat(name, F.lit(":"), i.cast("string"))), "^[0-7]*", 0))
+    repeated = F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.isin(*PUNCTUATION), F.repeat(c, times(i))).otherwise(c)), "")
+    noisy = F.when(F.substring(draws, 1, 1) < "8", drop_punctuation(text)).otherwise(repeated)
+    return preprocess(F.when(F.substring(draws, 2, 1) < "8", F.lower(noisy)).otherwise(noisy))
 
 
 def ends_with_punctuation(text: Column) -> Column:

@@ -5,6 +5,7 @@ Random choices are by hash of a key, so that they don't depend on partitions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -285,36 +286,48 @@ def pack_sentences(sentences: DataFrame, by: list[str], order: list[str], block:
     return ranked.withColumn("group", F.xxhash64(*by)).groupBy(*by, stretch).applyInArrow(lambda key, t: pack(t), schema)
 
 
+_CLASS = np.zeros(max(map(ord, PUNCTUATION)) + 2, np.int64)
+_CLASS[[10, *map(ord, PUNCTUATION)]] = np.arange(1, len(PUNCTUATION) + 2)
+
+
 def corrupt_training(rows: DataFrame, key: str, text: str = "text", newline_rate: float = 1.0, mark_rate: float = 0.5, space_rate: float = 0.0, seed: int = 0) -> DataFrame:
-    """(key, text, labels): line breaks, and marks at labelled places, are deleted at the given rates while labels stay aligned.
+    """(key, text, labels): line breaks, and marks, are deleted at the given rates while labels stay aligned.
 
-    A character's label is the class of the one after it.  A deleted character's label goes with it, except that the label it leaves behind
-    stays on the character before.  A line break becomes a blank instead at space_rate.  Draws depend on seed and key.
+    A character's label is the first class among the deleted characters that follow it and the next one that stays.  A text's first character
+    isn't deleted if it is a mark.  A line break becomes a blank instead at space_rate.  Draws are digits of md5 hashes of seed, key and place.
     """
-    classes = {"\n": 1} | {c: 2 + i for i, c in enumerate(PUNCTUATION)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, labels = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rng = np.random.default_rng([seed, (k or 0) & (2**63 - 1)])
-                chars: list[str] = []
-                marks: list[int] = []
-                for c in t or "":
-                    label = classes.get(c, 0)
-                    if marks:
-                        marks[-1] = marks[-1] or label
-                    if label == 1 and rng.random() < newline_rate:
-                        if rng.random() < space_rate:
-                            chars.append(" ")
-                            marks.append(0)
-                        continue
-                    if label > 1 and chars and rng.random() < mark_rate:
-                        continue
-                    chars.append(c)
-                    marks.append(0)
-                texts.append("".join(chars))
-                labels.append(marks)
+                cp = np.frombuffer((t or "").encode("utf-32-le"), np.uint32).copy()
+                own = _CLASS[np.minimum(cp, len(_CLASS) - 1)]
+                stays = np.ones(len(cp), bool)
+                kept = False  # whether a character before stays
+                at = 0
+                for i in np.flatnonzero(own).tolist():
+                    kept = kept or i > at
+                    draw = hashlib.md5(f"{seed}:{'' if k is None else k}:{i}".encode()).digest()
+                    if own[i] == 1 and int.from_bytes(draw[:4]) < newline_rate * 2**32:
+                        if int.from_bytes(draw[4:8]) < space_rate * 2**32:
+                            cp[i] = 32
+                            kept = True
+                        else:
+                            stays[i] = False
+                    elif own[i] > 1 and kept and int.from_bytes(draw[:4]) < mark_rate * 2**32:
+                        stays[i] = False
+                    else:
+                        kept = True
+                    at = i + 1
+                left = np.flatnonzero(stays)
+                # the first place with a class after each character that stays; it counts if no other character stays before it
+                classed = np.append(np.flatnonzero(own), len(cp))
+                first = classed[np.searchsorted(classed, left + 1)]
+                following = np.append(left[1:], len(cp))
+                found = np.where((first <= following) & (first < len(cp)), own[np.minimum(first, max(0, len(cp) - 1))], 0) if len(cp) else own
+                texts.append(cp[left].tobytes().decode("utf-32-le"))
+                labels.append(found.astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(labels, pa.list_(pa.int32()))], ["key", "text", "labels"])
 
     return rows.select(F.col(key).cast("long"), text).mapInArrow(run, "key long, text string, labels array<int>").withColumnRenamed("key", key)

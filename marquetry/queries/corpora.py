@@ -169,7 +169,7 @@ def _by_character(text: str) -> tuple[list[int], list[int]]:
 _ROOM = 252
 
 
-@query(f"""WITH RECURSIVE {SENT_SQL}, sent_ok AS (SELECT lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id, sent_idx) AS i, length(sentence)::BIGINT AS n FROM sent WHERE NOT regexp_matches(sentence, '^[0-9]+\z')),
+@query(f"""WITH RECURSIVE {SENT_SQL}, sent_ok AS (SELECT lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id, sent_idx) AS i, length(sentence)::BIGINT AS n FROM sent WHERE NOT regexp_matches(sentence, '^[0-9]+\\z')),
 r AS (SELECT DISTINCT lang, source, 0::BIGINT AS i, 0::BIGINT AS n, 0::BIGINT AS count, 0::BIGINT AS block, false AS placed FROM sent_ok
   UNION ALL SELECT o.lang, o.source, o.i, o.n, CASE WHEN r.count + o.n + (r.count > 0)::INT < {_ROOM} THEN r.count + o.n + (r.count > 0)::INT WHEN o.n > {_ROOM} THEN 0 ELSE o.n END,
     r.block + CASE WHEN r.count + o.n + (r.count > 0)::INT < {_ROOM} THEN (r.count = 0)::INT WHEN o.n > {_ROOM} THEN 0 ELSE 1 END, r.count + o.n + (r.count > 0)::INT < {_ROOM} OR o.n <= {_ROOM}

@@ -50,7 +50,14 @@ def corrupt_asr_lines(spark, sf_dir):
     return rows.withColumn("line", F.col("line").cast("long"))
 
 
-@query()
+_QUOTED = f"'{MARKS_SQL}'"
+
+
+@query(f"""WITH c AS (SELECT doc_id, generate_subscripts(string_split(text, ''), 1) - 1 AS i, unnest(string_split(text, '')) AS c FROM documents),
+r AS (SELECT doc_id, string_agg(CASE WHEN contains({_QUOTED}, c) THEN repeat(c, length(regexp_extract(md5('0:' || doc_id || ':' || i), '^[0-7]*'))) ELSE c END, '' ORDER BY i) AS t FROM c GROUP BY doc_id),
+n AS (SELECT doc_id, CASE WHEN md5('0:' || doc_id)[1] < '8' THEN translate(text, {_QUOTED}, '') ELSE coalesce(t, text) END AS t FROM documents LEFT JOIN r USING (doc_id)),
+l AS (SELECT doc_id, CASE WHEN md5('0:' || doc_id)[2] < '8' THEN lower(t) ELSE t END AS t FROM n)
+SELECT doc_id, regexp_replace(nfc_normalize({sql_strip("regexp_replace(t, '^-+', '')")}), '{WS}+', ' ', 'g') AS text FROM l""")
 def corrupt_social(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.corrupt_social_media(F.col("text"), F.col("doc_id")).alias("text"))
 
@@ -152,8 +159,17 @@ def selfsup_labels(spark, sf_dir):
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT doc_id, generate_subscripts(string_split(text, ''), 1) - 1 AS i, unnest(string_split(text, '')) AS ch FROM documents),
+k AS (SELECT c.doc_id, c.i, c.ch, coalesce(v.label, 0) AS label, ('0x' || md5('0:' || c.doc_id || ':' || c.i)[1:8])::BIGINT AS draw FROM c LEFT JOIN (VALUES {_CLASSES_SQL}) v(ch, label) ON v.ch = c.ch),
+s AS (SELECT *, NOT (label = 1 OR (label > 1 AND draw < 2147483648 AND coalesce(bool_or(label <> 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false))) AS stays FROM k),
+g AS (SELECT *, sum(stays::INT) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM s),
+f AS (SELECT doc_id, i, grp, ch, stays, label FROM g),
+t AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) FILTER (WHERE stays) AS text FROM f GROUP BY doc_id),
+l AS (SELECT a.doc_id, a.grp, min_by(b.label, b.i) AS label FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.label > 0 AND b.i > a.i AND ((b.grp = a.grp AND NOT b.stays) OR (b.grp = a.grp + 1 AND b.stays)) WHERE a.stays GROUP BY a.doc_id, a.grp)
+SELECT doc_id, md5(coalesce(any_value(t.text), '')) AS text, count(*) FILTER (WHERE l.label = 1) AS newlines, count(*) FILTER (WHERE l.label > 1) AS marks, coalesce(sum(l.label * (l.grp % 97)), 0)::BIGINT AS places
+FROM (SELECT doc_id FROM documents) d LEFT JOIN t USING (doc_id) LEFT JOIN l USING (doc_id) GROUP BY doc_id""")
 def corrupt_training(spark, sf_dir):
     """Line breaks hidden, and half of the marks, with labels where they were."""
     rows = corrupt(table(spark, sf_dir, "documents"), "doc_id")
-    return rows.select("doc_id", F.length("text").alias("chars"), F.size(F.filter("labels", lambda x: x == 1)).alias("newlines"), F.size(F.filter("labels", lambda x: x > 1)).alias("marks"))
+    places = F.aggregate(F.transform("labels", lambda x, i: x * ((i + 1) % 97)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select("doc_id", F.md5("text").alias("text"), F.size(F.filter("labels", lambda x: x == 1)).cast("long").alias("newlines"), F.size(F.filter("labels", lambda x: x > 1)).cast("long").alias("marks"), places.alias("places"))
