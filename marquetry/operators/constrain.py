@@ -193,11 +193,16 @@ def enforce(text: str, ends: list[int], low: int, high: int | None, strip: bool
 _SPACES = "".join(sorted(SPACES))
 
 
-def segments(text: str, probs: np.ndarray, min_length: int, max_length: int | None, prior: str = "uniform", prior_kwargs: dict | None = None, algorithm: str = "viterbi", strip: bool = False, lang: str | None = None) -> list[str]:
-    """Cuts one text.  prior_kwargs: target_length, spread, lang_code; else the language's lengths are used."""
+def ends_of(probs: np.ndarray, min_length: int, max_length: int | None, prior: str = "uniform", prior_kwargs: dict | None = None, algorithm: str = "viterbi", lang: str | None = None) -> list[int]:
+    """Ends of one text's segments by a named prior.  prior_kwargs: target_length, spread, lang_code; else the language's lengths are used."""
     own = prior_kwargs or {}
     longest = min(len(probs), max_length) if max_length is not None else len(probs)
     code = own.get("lang_code", lang if "target_length" not in own else None)
     size = 1 << max(0, longest).bit_length()  # few sizes, so that tables are found again
     table = _table(prior, size, max_length, code, own.get("target_length"), own.get("spread"))
-    return enforce(text, boundaries(probs, table, min_length, max_length, algorithm), min_length, max_length, strip)
+    return boundaries(probs, table, min_length, max_length, algorithm)
+
+
+def segments(text: str, probs: np.ndarray, min_length: int, max_length: int | None, prior: str = "uniform", prior_kwargs: dict | None = None, algorithm: str = "viterbi", strip: bool = False, lang: str | None = None) -> list[str]:
+    """Cuts one text; see ends_of()."""
+    return enforce(text, ends_of(probs, min_length, max_length, prior, prior_kwargs, algorithm, lang), min_length, max_length, strip)

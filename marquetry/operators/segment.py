@@ -211,6 +211,20 @@ def segment(df: DataFrame, scorer: Scorer | None = None, text: str = "text", lan
     return df.withColumn(out, _udf(scorer or RuleScorer(), chosen, style)(text, of))
 
 
+def length_ends(df: DataFrame, scorer: Scorer | None = None, text: str = "text", lang: str | None = None, out: str = "ends", **options) -> DataFrame:
+    """Adds array<int>: ends of segments under length constraints as the search gives them, before they are moved to white space."""
+    chosen = Options(**options)
+    used = scorer or RuleScorer()
+
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        own = langs.to_pylist()
+        probs = probabilities(used, texts.to_pylist(), own)
+        return pa.array([None if p is None else constrain.ends_of(p, chosen.min_length, chosen.max_length, chosen.prior, chosen.prior_kwargs, chosen.algorithm, x) for p, x in zip(probs, own, strict=True)], pa.list_(pa.int32()))
+
+    return df.withColumn(out, run(text, F.col(lang) if lang else F.lit(None).cast("string")))
+
+
 def reconstruct(original: str, parts: list[str]) -> list[str]:
     """Aligns segments, perhaps stripped or with a character lost at the end, with the original: whole segments that join to it.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.priors import NAMES, prior, with_length_defaults
-from ..operators.segment import segment
+from ..functions.priors import NAMES, prior, weights, with_length_defaults
+from ..operators.segment import length_ends, segment
 from ..resources import DEFAULT_LENGTH, SENTENCE_LENGTHS, length_table
-from .common import query, table
+from .common import SCORED_SQL, query, table
 
 _STATS = ", ".join(f"('{k}', {t}, {s})" for k, (t, s) in SENTENCE_LENGTHS.items())
 _MAX = 150
@@ -76,3 +77,66 @@ def constrained_min_only(spark, sf_dir):
     s = F.col("segments")
     short = F.exists(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(1))), lambda x: (F.length(x) < 40) & (F.size(s) > 1))
     return docs.select("doc_id", (~short).alias("within"), F.md5(F.array_join(s, "")).alias("joined"))
+
+
+_LOW, _HIGH = 20, 200
+_PLAIN = "docs AS (SELECT doc_id, lang, length(text)::BIGINT AS n FROM documents WHERE regexp_matches(text, '[^\\s]'))"
+
+
+def _tables(name: str, log: bool) -> str:
+    """(lang, w): weights, or their logarithms, of the lengths 0 to 200."""
+    rows = []
+    for lang in ("de", "en", "es", "fr"):
+        w = weights(name, _HIGH, _HIGH, lang)
+        with np.errstate(divide="ignore"):
+            w = np.log(w) if log else w
+        rows.append(f"('{lang}', [{', '.join(repr(float(x)) if np.isfinite(x) else chr(39) + '-inf' + chr(39) + '::DOUBLE' for x in w)}]::DOUBLE[])")
+    return f"(VALUES {', '.join(rows)}) w(lang, w)"
+
+
+def _place(p: float, log: bool) -> str:
+    """A probability as the search has it: a float32, or its logarithm."""
+    return repr(float(np.log(np.float32(p)) if log else np.float32(p)))
+
+
+def _places(log: bool) -> str:
+    """CTE d (doc_id, n, w, m, places): ends with a probability, and the text's end, in order."""
+    return f"""{SCORED_SQL}, {_PLAIN},
+pl AS (SELECT doc_id, pos + 1 AS pos, CASE WHEN p > 0.5 THEN {_place(0.9, log)} ELSE {_place(0.4, log)} END::DOUBLE AS x FROM scored WHERE p > 0),
+al AS (SELECT doc_id, pos, x FROM pl JOIN docs USING (doc_id) WHERE pos < n UNION ALL SELECT doc_id, n, {"0.0" if log else "1.0"}::DOUBLE FROM docs),
+li AS (SELECT doc_id, list({{'pos': pos, 'x': x}} ORDER BY pos) AS places, count(*) AS m FROM al GROUP BY doc_id),
+d AS (SELECT doc_id, n, w, m, places FROM docs JOIN li USING (doc_id) JOIN {_tables("gaussian" if log else "clipped_polynomial", log)} USING (lang))"""
+
+
+_VITERBI = f"""WITH RECURSIVE {_places(True)},
+r AS (SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS pos, NULL::BIGINT AS source, [{{'pos': 0::BIGINT, 'best': 0.0::DOUBLE}}] AS live FROM d
+  UNION ALL SELECT doc_id, k, CASE WHEN top > '-inf'::DOUBLE THEN here ELSE -1 END, list_filter(cand, lambda c: c.v = top)[1].pos, CASE WHEN top > '-inf'::DOUBLE THEN list_append(live, {{'pos': here, 'best': top}}) ELSE live END
+  FROM (SELECT *, coalesce(list_max(list_transform(cand, lambda c: c.v)), '-inf'::DOUBLE) AS top FROM (SELECT doc_id, k, h.pos AS here, live, list_transform(list_filter(live, lambda l: l.pos <= h.pos - {_LOW}), lambda l: {{'v': l.best + w[h.pos - l.pos + 1] + h.x, 'pos': l.pos}}) AS cand
+    FROM (SELECT r.doc_id, r.k + 1 AS k, d.w, d.places[r.k + 1] AS h, list_filter(r.live, lambda l: l.pos >= d.places[r.k + 1].pos - {_HIGH}) AS live FROM r JOIN d ON d.doc_id = r.doc_id WHERE r.k < d.m)))),
+steps AS MATERIALIZED (SELECT doc_id, pos, source FROM r WHERE pos > 0),
+back AS (SELECT d.doc_id, d.n AS pos FROM d JOIN steps s ON s.doc_id = d.doc_id AND s.pos = d.n UNION ALL SELECT s.doc_id, s.source FROM back b JOIN steps s ON s.doc_id = b.doc_id AND s.pos = b.pos WHERE s.source > 0),
+even AS (SELECT doc_id, n, n // {_HIGH} AS q, n % {_HIGH} AS rest FROM d WHERE doc_id NOT IN (SELECT doc_id FROM back)),
+grid AS (SELECT doc_id, CASE WHEN i = q AND rest > 0 AND rest < {_LOW} THEN n - {_LOW} ELSE i * {_HIGH} END AS pos FROM (SELECT *, unnest(range(1, q + 1)) AS i FROM even) WHERE NOT (i = q AND rest = 0))
+SELECT doc_id, pos AS "end" FROM (SELECT doc_id, pos FROM back JOIN d USING (doc_id) WHERE pos < n UNION ALL SELECT doc_id, pos FROM grid)"""
+
+
+@query(_VITERBI)
+def viterbi_ends(spark, sf_dir):
+    """The optimal cuts themselves, with even steps where no cut is possible; the SQL searches place by place."""
+    docs = length_ends(table(spark, sf_dir, "documents"), lang="lang", min_length=_LOW, max_length=_HIGH, prior_type="gaussian", split_on_input_newlines=False)
+    return docs.select("doc_id", F.explode("ends").alias("end")).select("doc_id", F.col("end").cast("long").alias("end"))
+
+
+_GREEDY = f"""WITH RECURSIVE {_places(False)},
+r AS (SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS "end", 0::BIGINT AS before, n FROM d
+  UNION ALL SELECT doc_id, k + 1, CASE WHEN top > 0 THEN list_filter(cand, lambda c: c.v = top)[1].pos ELSE least(base + {_LOW}, n) END, base, n
+  FROM (SELECT *, coalesce(list_max(list_transform(cand, lambda c: c.v)), 0.0) AS top FROM (SELECT r.doc_id, r.k, r."end" AS base, d.n, list_transform(list_filter(d.places, lambda p: p.pos >= r."end" + {_LOW} AND p.pos <= r."end" + {_HIGH}), lambda p: {{'v': d.w[p.pos - r."end" + 1] * p.x, 'pos': p.pos}}) AS cand
+    FROM r JOIN d ON d.doc_id = r.doc_id WHERE r."end" < d.n))),
+tails AS (SELECT doc_id, max(k) AS k FROM r GROUP BY doc_id), last AS (SELECT r.doc_id, r.k, r.n - r.before < {_LOW} AS short, b.before AS two FROM r JOIN tails USING (doc_id, k) LEFT JOIN r b ON b.doc_id = r.doc_id AND b.k = r.k - 1)
+SELECT r.doc_id, r."end" FROM r JOIN last l ON l.doc_id = r.doc_id WHERE r.k > 0 AND r."end" < r.n AND NOT (r.k = l.k - 1 AND l.short AND r.n - l.two <= {_HIGH})"""
+
+
+@query(_GREEDY)
+def greedy_ends(spark, sf_dir):
+    docs = length_ends(table(spark, sf_dir, "documents"), lang="lang", min_length=_LOW, max_length=_HIGH, prior_type="clipped_polynomial", algorithm="greedy", split_on_input_newlines=False)
+    return docs.select("doc_id", F.explode("ends").alias("end")).select("doc_id", F.col("end").cast("long").alias("end"))
