@@ -42,7 +42,7 @@ def squeeze(text: Column) -> Column:
 
 
 def _nfkc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def nfkc(text: Column) -> Column:
@@ -50,10 +50,22 @@ def nfkc(text: Column) -> Column:
     return F.arrow_udf(_nfkc, "string")(text)
 
 
+_BLANKS = re.compile(r"\s+")
+
+
+def _preprocess(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts.to_pylist():
+        if t is not None:
+            t = t.replace("\u200f", "").lstrip("-").strip()
+            t = _BLANKS.sub(" ", t if t.isascii() else unicodedata.normalize("NFKC", t))
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
 def preprocess(text: Column) -> Column:
     """A sentence as evaluation reads it: no U+200F, no leading dashes, stripped, NFKC, single blanks (in this order)."""
-    text = F.regexp_replace(F.translate(text, "‏", ""), "^-+", "")
-    return squeeze(nfkc(strip(text)))
+    return F.arrow_udf(_preprocess, "string")(text)
 
 
 def drop_punctuation(text: Column) -> Column:

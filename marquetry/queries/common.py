@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators.score import SENTENCE_ENDS
-from ..operators.segment import rule_segments, strip_column
+from ..operators.segment import segment
 from ..resources import PUNCTUATION
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_sentences(docs: DataFrame, out: str = "sentences") -> DataFrame:
+    """Adds the stripped sentences of documents by the rule scorer."""
+    return segment(docs, strip_whitespace=True, split_on_input_newlines=False, out=out)
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, sent_idx, sentence): stripped sentences of documents by the rule scorer."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(strip_column(rule_segments(F.col("text")))).alias("sent_idx", "sentence"))
-    return docs.withColumn("sent_idx", F.col("sent_idx").cast("long"))
+    """(doc_id, lang, source, sent_idx, sentence)."""
+    docs = with_sentences(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    rows = docs.select("doc_id", "lang", "source", F.posexplode("sentences").alias("sent_idx", "sentence"))
+    return rows.withColumn("sent_idx", F.col("sent_idx").cast("long"))
 
 
 WS = T.WS

@@ -6,9 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.segment import rule_segments, strip_column
 from ..plans import corpus as C
-from .common import SENT_SQL, query, sentences, table
+from .common import SENT_SQL, query, sentences, table, with_sentences
 
 
 def _kmers(k: int):
@@ -188,7 +187,7 @@ def sentence_end_labels(spark, sf_dir):
     def labels(lists: pa.Array) -> pa.Array:
         return pa.array([C.sentence_end_labels(s, _by_character, [" "] * len(s))[1] if s else [] for s in lists.to_pylist()], pa.list_(pa.int32()))
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", labels(strip_column(rule_segments(F.col("text")))).alias("l"))
+    docs = with_sentences(table(spark, sf_dir, "documents")).select("doc_id", labels("sentences").alias("l"))
     rows = docs.select("doc_id", F.posexplode("l").alias("token", "label")).where("label = 1")
     return rows.select("doc_id", F.col("token").cast("long").alias("token"))
 

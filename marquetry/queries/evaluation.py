@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.segment import rule_paragraphs, rule_segments, strip_column
+from ..operators.segment import Style, rule_paragraphs, rule_segments, segment
 from ..plans import evaluate as E
 from ..plans.corpus import length_statistics
 from ..functions import text as T
-from .common import RULE_RE, SENT_SQL, STRIP_RE, WS, query, sentences, table
+from .common import RULE_RE, SENT_SQL, STRIP_RE, WS, query, sentences, table, with_sentences
 
 #: CTEs: sent; gold (doc_id, lang, pos) and pred (doc_id, lang, pos), boundaries of sentences and of segments of the text that the sentences make.
 _GP_SQL = f"""{SENT_SQL},
@@ -27,15 +27,16 @@ _PRF_SQL = f"WITH {_GP_SQL}, {_COUNT_SQL.format(g='gold', p='pred')}"
 def _gold_and_predicted(spark, sf_dir):
     sent = sentences(spark, sf_dir)
     gold = E.gold_boundaries(sent, ["doc_id", "lang"])
-    text = F.array_join(strip_column(rule_segments(F.col("text"))), " ")  # what the sentences make, without moving any text
-    segs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(rule_segments(text)).alias("seg_idx", "segment"))
+    docs = with_sentences(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.array_join("sentences", " ").alias("whole"))  # without moving any text
+    segs = segment(docs, text="whole", split_on_input_newlines=False).select("doc_id", "lang", F.posexplode("segments").alias("seg_idx", "segment"))
     return gold, E.predicted_boundaries(segs, ["doc_id", "lang"])
 
 
 def _places(spark, sf_dir, *columns):
     """(columns, s, gold, pred): sentences of each document, and places of their boundaries and of those of the segments of the text that they make."""
-    docs = table(spark, sf_dir, "documents").select(*columns, strip_column(rule_segments(F.col("text"))).alias("s"), F.length(T.separator(F.col("lang"))).alias("gap"))
-    segs = docs.select(*columns, "s", E.boundary_places(F.col("s"), F.col("gap")).alias("gold"), rule_segments(F.array_join("s", " ")).alias("segs"))
+    docs = with_sentences(table(spark, sf_dir, "documents").select(*columns, "text"), "s")
+    docs = docs.select(*columns, "s", F.array_join("s", " ").alias("whole"), E.boundary_places(F.col("s"), F.length(T.separator(F.col("lang")))).alias("gold"))
+    segs = segment(docs, text="whole", split_on_input_newlines=False, out="segs")
     return segs.select(*columns, "s", "gold", E.boundary_places(F.col("segs")).alias("pred")).where("size(gold) + size(pred) > 0")
 
 
@@ -184,9 +185,10 @@ def system_pairs(spark, sf_dir):
 @query()
 def permutation_p_values(spark, sf_dir):
     """Full segments against lines: whether their scores differ by chance."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", strip_column(rule_segments(F.col("text"))).alias("s"), F.length(T.separator(F.col("lang"))).alias("gap"))
-    text = F.array_join("s", " ")
-    cuts = docs.select("doc_id", "lang", E.boundary_places(F.col("s"), F.col("gap")).alias("gold"), E.boundary_places(rule_segments(text)).alias("a"), E.boundary_places(rule_paragraphs(text)).alias("b"))
+    docs = with_sentences(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "s").withColumn("whole", F.array_join("s", " "))
+    docs = segment(docs, text="whole", split_on_input_newlines=False, out="cut")
+    docs = segment(docs, text="whole", threshold=0.5, split_on_input_newlines=False, out="lines")
+    cuts = docs.select("doc_id", "lang", E.boundary_places(F.col("s"), F.length(T.separator(F.col("lang")))).alias("gold"), E.boundary_places(F.col("cut")).alias("a"), E.boundary_places(F.col("lines")).alias("b"))
     counts = [c.alias(f"{n}_{s}") for s in "ab" for n, c in zip(("tp", "fp", "fn"), E.confusion_of(F.col("gold"), F.col(s)), strict=True)]
     return E.permutation_test(cuts.where("size(gold) > 0").select("lang", "doc_id", *counts), ["lang"])
 
@@ -207,11 +209,8 @@ _TWO_SYSTEMS = "both_pred AS (SELECT doc_id, 'style' AS system, pos FROM pred UN
 
 
 def _mixture(spark, sf_dir, **options):
-    from ..operators.segment import Style, segment
-
     style = Style({lang: {"own": (([2.0], 1.0), None, 0.5, 0.5)} for lang in ("de", "en", "es", "fr")}, "own")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", strip_column(rule_segments(F.col("text"))).alias("sentences"))
-    docs = docs.withColumn("text", F.array_join("sentences", " "))
+    docs = with_sentences(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).withColumn("text", F.array_join("sentences", " "))
     docs = segment(docs, threshold=0.5, split_on_input_newlines=False, out="newline")
     docs = segment(docs, lang="lang", style=style, split_on_input_newlines=False, out="style")
     return E.evaluate_mixture(docs, ["doc_id"], {"newline": "newline", "style": "style", "none": None}, **options)
@@ -248,7 +247,7 @@ def _kmer_evaluation(spark, sf_dir, k: int):
     from ..operators.score import predict_proba
 
     s = F.col("sentences")
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", strip_column(rule_segments(F.col("text"))).alias("s"))
+    docs = with_sentences(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), "s")
     starts = F.sequence(F.lit(0), F.floor(F.size("s") / k).cast("int") - 1)
     runs = docs.where(F.size("s") >= k).select("lang", "doc_id", F.explode(F.transform(starts, lambda i: F.slice("s", i * k + 1, k))).alias("sentences"))
     runs = runs.withColumn("gold", F.transform(E.boundary_places(s, 1), lambda x: x)).withColumn("n", F.size("gold"))
