@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..operators import flat
+from ..operators.score import RuleScorer, Scorer
+from ..operators.segment import RULE_THRESHOLD
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -42,7 +45,41 @@ def boundary_places(parts: Column, gap: Column | int = 0) -> Column:
         sums = np.concatenate([[0], np.cumsum(each)])
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sums[1:] - np.repeat(sums[ends[:-1]], n)), mask=lists.is_null())
 
-    return run(F.transform(parts, lambda s: F.length(s)), (gap if isinstance(gap, Column) else F.lit(gap)).cast("int"))
+    # as a barrier: a filter on the places would else be moved below and compute all of this twice
+    return run.asNondeterministic()(F.transform(parts, lambda s: F.length(s)), (gap if isinstance(gap, Column) else F.lit(gap)).cast("int"))
+
+
+def scored_places(sentences: Column, lang: Column, scorer: Scorer | None = None, threshold: float = RULE_THRESHOLD) -> Column:
+    """struct<gold, predicted>: boundaries of sentences in the text that they make, and of the segments that a scorer cuts that text into.
+
+    Joining, scoring and cutting are one function over batches; the text itself is never a column.
+    """
+    used = scorer or RuleScorer()
+
+    @F.arrow_udf("struct<gold:array<bigint>,predicted:array<bigint>>")
+    def run(lists: pa.Array, langs: pa.Array, separators: pa.Array) -> pa.Array:
+        out = []
+        for low in range(0, len(lists), 1024):
+            part, gaps = lists.slice(low, 1024), separators.slice(low, 1024).cast(pa.large_string())
+            whole = pc.binary_join(part.cast(pa.large_list(pa.large_string())), gaps).fill_null("")
+            n = pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            gap = pc.utf8_length(gaps).to_numpy(zero_copy_only=False).astype(np.int64)
+            each = pc.utf8_length(part.flatten()).to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(gap, n)
+            each[ends[1:][n > 0] - 1] -= gap[n > 0]
+            sums = np.concatenate([[0], np.cumsum(each)])
+            gold = sums[1:] - np.repeat(sums[ends[:-1]], n)
+            t = flat.Texts(whole)
+            p = flat.probabilities(used, t, whole, langs.slice(low, 1024))
+            begin, end = flat.cut(t, np.flatnonzero(p > threshold))
+            owner = t.owner(begin)
+            lists_of = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+            out.append(pa.StructArray.from_arrays([lists_of(ends, gold), lists_of(np.searchsorted(owner, np.arange(len(n) + 1)), end - t.starts[owner])], ["gold", "predicted"]))
+        kind = pa.struct([("gold", pa.list_(pa.int64())), ("predicted", pa.list_(pa.int64()))])
+        return pa.chunked_array(out, kind).combine_chunks() if out else pa.array([], kind)
+
+    # as a barrier, see boundary_places()
+    return run.asNondeterministic()(sentences, lang, T.separator(lang))
 
 
 def confusion_of(gold: Column, predicted: Column) -> list[Column]:

@@ -33,11 +33,10 @@ def _gold_and_predicted(spark, sf_dir):
 
 
 def _places(spark, sf_dir, *columns):
-    """(columns, s, gold, pred): sentences of each document, and places of their boundaries and of those of the segments of the text that they make."""
+    """(columns, gold, pred): places of the boundaries of each document's sentences and of those of the segments of the text that they make."""
     docs = with_sentences(table(spark, sf_dir, "documents").select(*columns, "text"), "s")
-    docs = docs.select(*columns, "s", F.array_join("s", " ").alias("whole"), E.boundary_places(F.col("s"), F.length(T.separator(F.col("lang")))).alias("gold"))
-    segs = segment(docs, text="whole", split_on_input_newlines=False, out="segs")
-    return segs.select(*columns, "s", "gold", E.boundary_places(F.col("segs")).alias("pred")).where("size(gold) + size(pred) > 0")
+    docs = docs.select(*columns, E.scored_places(F.col("s"), F.col("lang")).alias("p"))
+    return docs.select(*columns, F.col("p.gold").alias("gold"), F.col("p.predicted").alias("pred")).where("size(gold) + size(pred) > 0")
 
 
 def _per_doc(spark, sf_dir, *columns):
