@@ -6,10 +6,11 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.text import PRIMES
 from ..operators import model as M
+from ..operators.adapters import merge_tables
 from ..operators.score import predict_proba
 from ..operators.segment import Style, segment
 from ..resources import PUNCTUATION
@@ -112,3 +113,19 @@ def known_marks(spark, sf_dir):
     tokenizer = M.word_tokenizer(sorted(r["ch"] for r in items.collect()))
     rows = [(mark, label, known) for mark, label, _, known in M.mark_tokens(tokenizer, PUNCTUATION)[1:]]
     return spark.createDataFrame(rows, "mark string, label long, known boolean")
+
+
+@query("""WITH e AS (SELECT label AS layer, vec_id AS "row", embedding::DOUBLE[] AS v FROM embeddings), w AS (SELECT layer, "row", generate_subscripts(v, 1) - 1 AS col, unnest(v) AS value FROM e),
+f AS (SELECT layer, v, row_number() OVER (PARTITION BY layer ORDER BY "row") - 1 AS k FROM e), a AS (SELECT layer, k, generate_subscripts(v, 1) - 1 AS col, unnest(v) AS x FROM f WHERE k < 4), b AS (SELECT layer, "row", unnest(range(4)) AS k, unnest(v[1:4]) AS y FROM e),
+d AS (SELECT layer, "row", col, sum(y * x * 0.5) AS d FROM a JOIN b USING (layer, k) GROUP BY layer, "row", col)
+SELECT layer, w."row", col, round(value + d, 6) AS value FROM w JOIN d USING (layer, "row", col)""")
+def merged_adapters(spark, sf_dir):
+    """Low-rank adapters added to the weights of layers; here the embeddings of a label are a layer."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("layer"), F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("v"))
+    weights = e.select("layer", "row", F.posexplode("v").alias("col", "value"))
+    rank = F.row_number().over(Window.partitionBy("layer").orderBy("row"))
+    first = e.withColumn("k", rank - 1).where("k < 4")
+    a = first.select("layer", "k", F.posexplode("v").alias("col", "value"))
+    b = e.select("layer", "row", F.posexplode(F.slice("v", 1, 4)).alias("k", "value"))
+    m = merge_tables(weights, a, b, 0.5)
+    return m.select("layer", "row", F.col("col").cast("long").alias("col"), F.round("value", 6).alias("value"))

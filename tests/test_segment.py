@@ -35,15 +35,14 @@ def split(spark, texts, scorer=None, **options):
 
 
 def test_cuts(spark):
-    a = "This is a test sentence "
-    b = a.replace("a ", "another ", 1).strip() + "."
-    assert split(spark, [a + b], At("a test sentence")) == [[a, b]]
-    assert split(spark, [a + b + "   "], At("a test sentence"), strip_whitespace=True) == [[a.strip(), b]]
-    lines = "Yes\nthis is a test sentence. " + b
-    assert split(spark, [lines], At("test sentence.")) == [["Yes", "this is a test sentence. ", b]]
-    assert split(spark, [lines], At("test sentence."), split_on_input_newlines=False) == [["Yes\nthis is a test sentence. ", b]]
-    long = "x" * 2000 + " " + a.strip() + ". " + b
-    assert split(spark, [long], At("test sentence.")) == [["x" * 2000 + " " + a.strip() + ". ", b]]
+    a, b = "The ferry left at noon ", "Nobody waved from the pier."
+    assert split(spark, [a + b], At("at noon")) == [[a, b]]
+    assert split(spark, [a + b + "  "], At("at noon"), strip_whitespace=True) == [[a.strip(), b]]
+    lines = "Listen\nthe ferry left at noon. " + b
+    assert split(spark, [lines], At("at noon.")) == [["Listen", "the ferry left at noon. ", b]]
+    assert split(spark, [lines], At("at noon."), split_on_input_newlines=False) == [["Listen\nthe ferry left at noon. ", b]]
+    long = "z" * 1500 + " left at noon. " + b
+    assert split(spark, [long], At("at noon.")) == [["z" * 1500 + " left at noon. ", b]]
 
 
 def test_blank_texts(spark):
