@@ -12,7 +12,7 @@ from ..plans.corpus import concatenate
 from ..plans.running import running_total
 from ..resources import LANGUAGES, LANGUAGE_NAMES, SENTENCE_LENGTHS
 from ..sources import readers as R, sinks as W
-from .common import SCORED_SQL, SENT_SQL, query, sentences, sql_segments, table
+from .common import SCORED_SQL, SENT_SQL, places_scored, query, sentences, sql_segments, table
 
 #: CTE numbered (lang, doc_id, sent_idx, line, sentence): a language's sentences in the order in which they are written.
 _NUMBERED = f"{SENT_SQL}, numbered AS (SELECT lang, doc_id, sent_idx, row_number() OVER (PARTITION BY lang ORDER BY doc_id, sent_idx) - 1 AS line, sentence FROM sent)"
@@ -139,9 +139,10 @@ def lengths_json(spark, sf_dir):
 def stored_probabilities(spark, sf_dir):
     """Probability vectors kept as arrays in Parquet by language, and read again for two of them."""
     path = shared_folder(spark)
-    W.write_corpus(predict_proba(table(spark, sf_dir, "documents")).select("lang", "doc_id", "probs"), path)
-    rows = R.corpus(spark, path, ["de", "es"]).where("size(probs) > 1 or probs[0] > 0")
-    total = F.aggregate("probs", F.lit(0.0), lambda s, p: s + p.cast("double"))
+    docs = places_scored(predict_proba(table(spark, sf_dir, "documents"), blank=True))
+    W.write_corpus(docs.select("lang", "doc_id", "probs"), path)
+    rows = R.corpus(spark, path, ["de", "es"]).where("probs is not null")
+    total = F.aggregate("probs", F.lit(0.0), lambda s, p: s + F.round(p.cast("double"), 6))  # float32's error adds up in long texts
     return rows.select("doc_id", F.size("probs").cast("long").alias("n"), F.size(F.filter("probs", lambda p: p > 0.25)).cast("long").alias("hits"), F.round(total, 4).alias("total"))
 
 
