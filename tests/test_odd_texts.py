@@ -19,3 +19,18 @@ def test_scored_places(spark, tmp_path, name):
     columns = sorted(want.columns)
     got = QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want.select(*(f'"{x}"' for x in columns)).fetchall(), key=repr)
+
+
+def test_batches_are_bounded_in_bytes(spark, tmp_path):
+    """Of 3,000 texts of 10 kB no batch that Python gets has more than about BATCH_BYTES."""
+    import pyarrow as pa
+
+    from marquetry.queries.common import BATCH_BYTES, table
+
+    spark.range(0, 3000, numPartitions=1).selectExpr("id as doc_id", "repeat('Ein Satz. ', 1000) as text").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] < 2 * BATCH_BYTES
