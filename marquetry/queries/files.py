@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..folders import shared_folder
+from ..functions import text as T
 from ..operators.score import predict_proba
 from ..operators.segment import rule_segments
 from ..plans import evaluate as E
@@ -20,12 +21,12 @@ _NUMBERED = f"{SENT_SQL}, numbered AS (SELECT lang, doc_id, sent_idx, row_number
 
 def _lang():
     """The language that a file's folder names."""
-    return F.regexp_extract("file", "/lang=([a-z]+)/", 1).alias("lang")
+    return F.regexp_extract("file", "/lang=([a-z]+)", 1).alias("lang")
 
 
 def _write_lines(rows, path: str, order: list[str], **options) -> str:
-    """Text files of the column value, one for each language, with lines in the given order."""
-    rows.repartition("lang").sortWithinPartitions("lang", *order).select("lang", "value").write.partitionBy("lang").text(path, **options)
+    """Text files of the column value, a folder for each language, with lines in the given order."""
+    W.write_lines(rows, path, "lang", order, **options)
     return path
 
 
@@ -38,33 +39,33 @@ def read_texts_in_memory(spark, sf_dir):
 def read_sentence_lines(spark, sf_dir):
     rows = sentences(spark, sf_dir).withColumn("value", F.concat(F.lit(" "), "sentence", F.lit("\r")))
     path = _write_lines(rows, shared_folder(spark), ["doc_id", "sent_idx"])
-    return R.sentence_lines(spark, path).select(_lang(), "sent_idx", "sentence")
+    return R.sentence_lines(spark, path, folders=True).select(_lang(), "sent_idx", "sentence")
 
 
 @query(f"WITH {_NUMBERED} SELECT lang, line AS sent_idx, sentence FROM numbered WHERE line < 200")
 def read_first_gzip_lines(spark, sf_dir):
     """Each file's first 200 lines: the limit is what the reader does."""
     path = _write_lines(sentences(spark, sf_dir).withColumn("value", F.col("sentence")), shared_folder(spark), ["doc_id", "sent_idx"], compression="gzip")
-    return R.sentence_lines(spark, path, limit=200).select(_lang(), "sent_idx", "sentence")
+    return R.sentence_lines(spark, path, limit=200, folders=True).select(_lang(), "sent_idx", "sentence")
 
 
 def _conllu(spark, sf_dir):
     rows = sentences(spark, sf_dir)
     lines = F.array(F.when(F.col("sent_idx") == 0, F.concat(F.lit("# newdoc id = "), F.col("doc_id").cast("string"))), F.concat(F.lit("# sent_id = "), F.col("sent_idx").cast("string")), F.concat(F.lit("# text = "), "sentence"), F.lit("1\tword\tword\tNOUN"), F.lit(""))
-    rows = rows.select("lang", "doc_id", "sent_idx", F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("k", "value"))
-    return _write_lines(rows, shared_folder(spark), ["doc_id", "sent_idx", "k"])
+    rows = rows.select("lang", "doc_id", "sent_idx", F.filter(lines, lambda x: x.isNotNull()).alias("value"))
+    return _write_lines(rows, shared_folder(spark), ["doc_id", "sent_idx"])
 
 
 @query(f"WITH {_NUMBERED} SELECT lang, line AS sent_idx, sentence FROM numbered")
 def read_conllu(spark, sf_dir):
-    rows = R.conllu(spark, _conllu(spark, sf_dir)).select(_lang(), F.col("sent_idx").alias("line_no"), "sentence")
+    rows = R.conllu(spark, _conllu(spark, sf_dir), folders=True).select(_lang(), F.col("sent_idx").alias("line_no"), "sentence")
     ranked = running_total(rows, ["lang"], ["line_no"], F.lit(1), "rank")
     return ranked.select("lang", (F.col("rank") - 1).alias("sent_idx"), "sentence")
 
 
 @query(f"WITH {_NUMBERED} SELECT lang, dense_rank() OVER (PARTITION BY lang ORDER BY doc_id) AS doc_id, sentence FROM numbered")
 def read_conllu_documents(spark, sf_dir):
-    return R.conllu(spark, _conllu(spark, sf_dir), documents=True).select(_lang(), "doc_id", "sentence")
+    return R.conllu(spark, _conllu(spark, sf_dir), documents=True, folders=True).select(_lang(), "doc_id", "sentence")
 
 
 @query("SELECT doc_id, text AS \"left\", CASE WHEN doc_id % 3 = 0 THEN '  ' || text || chr(160) ELSE translate(text, 'e', 'E') END AS \"right\" FROM documents WHERE doc_id % 3 > 0 AND translate(text, 'e', 'E') <> text")
@@ -83,7 +84,7 @@ def read_jsonl_spans(spark, sf_dir):
     path = _write_lines(docs, shared_folder(spark), ["doc_id"])
     # the reader numbers documents by line; lines are in order of doc_id
     order = running_total(docs.select("lang", "doc_id"), ["lang"], ["doc_id"], F.lit(1), "n").select("lang", "doc_id", (F.col("n") - 1).alias("line"))
-    found = R.jsonl_spans(spark, path).select(_lang(), F.col("doc_id").alias("line"), F.col("sent_idx").cast("long").alias("sent_idx"), "sentence")
+    found = R.jsonl_spans(spark, path, folders=True).select(_lang(), F.col("doc_id").alias("line"), F.col("sent_idx").cast("long").alias("sent_idx"), "sentence")
     return found.join(order, ["lang", "line"]).select("doc_id", "sent_idx", "sentence")
 
 
@@ -91,18 +92,17 @@ _WORDS_SQL = f"{_NUMBERED}, w AS (SELECT lang, line, sentence, string_split(sent
 
 
 def _words(spark, sf_dir):
-    """(lang, doc_id, sent_idx, k, word, last): words of sentences, tabs as blanks."""
+    """(lang, doc_id, sent_idx, value): lines of a sentence's words, tabs as blanks, with a 1 at its last."""
     w = F.split(F.translate("sentence", "\t", " "), " ")
-    rows = sentences(spark, sf_dir).select("lang", "doc_id", "sent_idx", F.size(w).alias("n"), F.posexplode(w).alias("k", "word"))
-    return rows.withColumn("last", (F.col("k") == F.col("n") - 1).cast("int"))
+    lines = T.let(w, lambda x: F.transform(x, lambda word, k: F.concat(word, F.when(k == F.size(x) - 1, "\t1").otherwise("\t0"))))
+    return sentences(spark, sf_dir).select("lang", "doc_id", "sent_idx", lines.alias("value"))
 
 
 @query(f"WITH {_NUMBERED} SELECT lang, line AS sent_idx, translate(sentence, chr(9), ' ') AS sentence FROM numbered")
 def read_boundary_words(spark, sf_dir):
     """Words with a 1 after each sentence's last, written as labelled lines."""
-    path = shared_folder(spark)
-    W.write_labelled_words(_words(spark, sf_dir), path, label="last", file="lang", order=["doc_id", "sent_idx", "k"])
-    return R.boundary_words(spark, path).select(_lang(), "sent_idx", "sentence")
+    path = _write_lines(_words(spark, sf_dir), shared_folder(spark), ["doc_id", "sent_idx"])
+    return R.boundary_words(spark, path, folders=True).select(_lang(), "sent_idx", "sentence")
 
 
 @query("""WITH w AS (SELECT item_id, generate_subscripts(string_split(translate(text, chr(10), ' '), ' '), 1) AS k, unnest(string_split(translate(text, chr(10), ' '), ' ')) AS token FROM benchmark),
@@ -113,7 +113,7 @@ def read_punctuated_tokens(spark, sf_dir):
     rows = rows.withColumn("label", F.when(F.col("word").endswith("."), "PERIOD").when(F.col("word").endswith(","), "COMMA").otherwise("O")).withColumn("part", F.lit("all"))
     path = shared_folder(spark)
     W.write_labelled_words(rows, path, file="part", order=["item_id", "k"])
-    return R.punctuated_tokens(spark, path).select("token", "label", "start", "end")
+    return R.punctuated_tokens(spark, path, folders=True).select("token", "label", "start", "end")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{LANGUAGE_NAMES[x]}')" for x in LANGUAGES if x in LANGUAGE_NAMES) + ") t(lang, name)")
@@ -160,7 +160,7 @@ def paired_files(spark, sf_dir):
     paths = []
     for value in ("sentence", "translate(sentence, 'e', 'E')"):
         lines = _write_lines(sentences(spark, sf_dir).selectExpr("lang", "doc_id", "sent_idx", f"{value} as value"), shared_folder(spark), ["doc_id", "sent_idx"])
-        paths.append(R.numbered_lines(spark, lines).select(F.concat(F.lit("x/"), _lang()).alias("file"), "line_no", "line"))
+        paths.append(R.numbered_lines(spark, lines, folders=True).select(F.concat(F.lit("x/"), _lang()).alias("file"), "line_no", "line"))
     return R.paired_files(*paths).select("line_no", F.col("file").alias("lang"), "gold", "predicted")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..folders import discard, written
+
 
 def write_corpus(rows: DataFrame, path: str, by: tuple[str, ...] = ("lang",), mode: str = "overwrite") -> None:
     rows.write.mode(mode).partitionBy(*by).parquet(path)
@@ -18,14 +20,27 @@ def write_csv(rows: DataFrame, path: str, header: bool = True, separator: str =
 
 
 def write_labelled_words(rows: DataFrame, path: str, word: str = "word", label: str = "label", file: str | None = None, order: list[str] | None = None) -> None:
-    """Lines ``word<TAB>label`` in order, a folder for each file."""
+    """Lines ``word<TAB>label`` in order, a folder for each file: its files, in the order of their names, are what write_lines() makes."""
     out = rows.select(*([file] if file else []), *(order or []), F.concat_ws("\t", F.col(word), F.col(label).cast("string")).alias("value"))
     if file:
-        out.repartition(file).sortWithinPartitions(file, *(order or [])).select(file, "value").write.mode("overwrite").partitionBy(file).text(path)
+        write_lines(out, path, file, order or [])
     else:
         out.orderBy(*(order or [])).select("value").write.mode("overwrite").text(path)
 
 
+def write_lines(rows: DataFrame, path: str, by: str, order: list[str], **options) -> None:
+    """Text files of the column value, a folder for each value of by, with lines in the given order; a list is as many lines.
+
+    A folder has as many files as tasks wrote to it, in the order of their names, so that no task has to hold a folder.  Rows are written
+    first, as the range partitioner reads them twice.
+    """
+    listed = rows.schema["value"].dataType.typeName() == "array"
+    stored = written(rows.select(by, *order, "value"))
+    ranged = stored.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    ranged.select(by, F.explode("value").alias("value") if listed else "value").write.mode("overwrite").partitionBy(by).text(path, **options)
+    discard(stored)
+
+
 def append_missing(rows: DataFrame, path: str, key: list[str]) -> int:
     """Adds rows whose key isn't stored yet, and returns how many there were."""
     spark = rows.sparkSession

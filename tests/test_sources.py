@@ -98,3 +98,21 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {(name, i): x for name, own in lines.items() for i, x in enumerate(own)}
+
+
+def test_folders_of_several_files(spark, tmp_path):
+    """One language's lines are written by several tasks, and read as one file; sentences may go on in the next file."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        words = spark.range(400).selectExpr("'en' as lang", "id as k", "concat('w', id) as word", "cast(id % 5 = 4 as int) as label")
+        W.write_labelled_words(words, f"{tmp_path}/w", file="lang", order=["k"])
+        assert len(list((tmp_path / "w" / "lang=en").glob("*.txt"))) > 2
+        got = rows(R.boundary_words(spark, f"{tmp_path}/w", folders=True), "sent_idx", "sentence")
+        lines = rows(R.numbered_lines(spark, f"{tmp_path}/w", folders=True), "line_no", "line")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [(i, " ".join(f"w{5 * i + j}" for j in range(5))) for i in range(80)]
+    assert lines == [(i, f"w{i}\t{int(i % 5 == 4)}") for i in range(400)]
