@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..folders import fresh
 from ..functions.text import all_of
@@ -227,8 +227,10 @@ def sentence_end_labels(sentences: list[str], encode, separators: list[str], fir
     return [first, *ids, last], [0, *labels.tolist(), 0]
 
 
-#: Sentences that one task packs; the next task begins a new block.
-PACKED_TOGETHER = 50_000
+#: Sentences that one task packs at a time; blocks go on across its edges.
+STRETCH = 50_000
+#: If set, blocks end after so many sentences of a group.
+PACKED_TOGETHER: int | None = None
 
 
 def pack_sentences(sentences: DataFrame, by: list[str], order: list[str], block: int, encode, text: str = "sentence", reserve: int = 4, separator: str = " ", p_add: float = 1.0, p_flip: float = 0.0, seed: int = 0) -> DataFrame:
@@ -236,43 +238,84 @@ def pack_sentences(sentences: DataFrame, by: list[str], order: list[str], block:
 
     encode: see sentence_end_labels().  Padding has id 0, mask 0 and label -100.  Empty and purely numeric sentences, and ones longer than a
     block, are left out.  p_add: chance that a sentence which fits is added, and doesn't begin a new block.  p_flip: chance that a sentence that ends in a
-    mark is followed by the other separator (a blank, or none).  Draws depend on seed, group and place.  Groups are cut into stretches of
-    PACKED_TOGETHER sentences, so that no task holds a group.
+    mark is followed by the other separator (a blank, or none).  Draws depend on seed, group and place.
+
+    No task holds a group, and yet a group is packed from its first sentence to its last: what a stretch of STRETCH sentences does only depends on how
+    full the open block is, and whether it ends in a mark.  Each stretch is followed for all of these states at once, which soon become one; then the states
+    are carried through the stretches, and sentences get their blocks.
     """
     room = block - reserve
     marks = set(PUNCTUATION)
+    other = "" if separator else " "
+    together = PACKED_TOGETHER
 
-    def pack(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rank")
-        first = int(t["rank"][0].as_py())
-        rng = np.random.default_rng([seed, int(t["group"][0].as_py()) & (2**63 - 1), first])
-        other = "" if separator else " "
-        out: list[tuple[list[str], list[str]]] = []
-        own: list[str] = []
-        gaps: list[str] = []
-        count = 0
-        for s in t[text].to_pylist():
+    def steps(t: pa.Table) -> Iterator[tuple[int, int, int, int, int, bool, bool]]:
+        """(place, tokens alone, after the separator, after the other one, whether a mark ends it, whether it may be added, whether a mark flips)."""
+        rng = np.random.default_rng([seed, int(t["group"][0].as_py()) & (2**63 - 1), int(t["rank"][0].as_py())])
+        for i, s in enumerate(t[text].to_pylist()):
             draw, flip = rng.random(2)
-            if not s or s.isnumeric():
+            if not s or s.isnumeric() or not (alone := len(encode(s)[0])):
                 continue
-            gap = other if own and flip < p_flip and own[-1][-1] in marks else separator
-            alone = len(encode(s)[0])
-            n = len(encode(gap + s)[0]) if own else alone
-            if alone == 0:
-                continue
-            if count + n < room and (not own or draw <= p_add):
-                own, gaps, count = [*own, s], [*gaps, gap], count + n
+            yield i, alone, len(encode(separator + s)[0]), len(encode(other + s)[0]) if p_flip > 0 else 0, int(s[-1] in marks), draw <= p_add, flip < p_flip
+
+    def follow(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        state = np.arange(2 * room + 2)  # twice the tokens of the open block, and 1 if a mark ends it
+        of, begun = np.arange(len(state)), np.zeros(len(state), np.int64)
+        count, mark = state >> 1, state & 1
+        for k, (_, alone, n, m, ends, add, flip) in enumerate(steps(t)):
+            full = count + np.where(count == 0, alone, np.where(mark * flip == 1, m, n))
+            fits = (full < room) & ((count == 0) | add)
+            begun = begun + (np.where(fits, count == 0, alone <= room))[of]
+            count = np.where(fits, full, alone if alone <= room else 0)
+            mark = np.where(count > 0, ends, 0)
+            if k % 16 == 0 and len(count) > 1:
+                left, back = np.unique(2 * count + mark, return_inverse=True)
+                of, count, mark = back[of], left >> 1, left & 1
+        return pa.table({"group": t["group"][:1], "stretch": t["stretch"][:1], "after": pa.array([(2 * count + mark)[of].tolist()], pa.list_(pa.int32())), "begun": pa.array([begun.tolist()], pa.list_(pa.int32()))})
+
+    def carry(t: pa.Table) -> pa.Table:
+        t = t.sort_by("stretch")
+        state, base, states, bases = 0, 0, [], []
+        for after, begun in zip(t["after"], t["begun"], strict=True):
+            state = state if together is None else 0
+            states.append(state)
+            bases.append(base)
+            base, state = base + begun[state].as_py(), after[state].as_py()
+        return pa.table({"g": t["group"], "s": t["stretch"], "state": pa.array(states, pa.int32()), "base": pa.array(bases, pa.int64())})
+
+    def place(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        state, at = t["state"][0].as_py(), t["base"][0].as_py() - 1
+        count, mark = state >> 1, state & 1
+        rows, blocks, gaps = [], [], []
+        for i, alone, n, m, ends, add, flip in steps(t):
+            full = count + (alone if count == 0 else m if mark and flip else n)
+            if full < room and (count == 0 or add):
+                gaps.append(other if count and mark and flip else separator)
+                at, count = at + (count == 0), full
+            elif alone > room:
+                count = 0
                 continue
-            if own:
-                out.append((own, gaps))
-            own, gaps, count = ([], [], 0) if alone > room else ([s], [gap], alone)
-        if own:
-            out.append((own, gaps))
-        coded = [sentence_end_labels(x, encode, g) for x, g in out]
-        pad = [block - len(ids) for ids, _ in coded]
-        rows = {c: pa.array([t[c][0].as_py()] * len(out), t.schema.field(c).type) for c in by}
+            else:
+                gaps.append(separator)
+                at, count = at + 1, alone
+            mark = ends
+            rows.append(i)
+            blocks.append(at)
+        kept = t.select([*by, "group", "rank", text]).take(pa.array(rows, pa.int64()))
+        return kept.append_column("block_id", pa.array(blocks, pa.int64())).append_column("gap", pa.array(gaps, pa.string()))
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        ids = t["block_id"].to_numpy()
+        edges = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])).tolist()
+        texts, gaps = t[text].to_pylist(), t["gap"].to_pylist()
+        coded = [sentence_end_labels(texts[a:b], encode, gaps[a:b]) for a, b in zip(edges, [*edges[1:], len(texts)], strict=True)]
+        pad = [block - len(i) for i, _ in coded]
+        rows = {c: t[c].take(pa.array(edges, pa.int64())) for c in by}
         rows |= {
-            "block_id": pa.array(np.arange(len(out)) + first - 1, pa.int64()),
+            "block_id": pa.array(ids[edges], pa.int64()),
             "input_ids": pa.array([i + [0] * p for (i, _), p in zip(coded, pad, strict=True)], pa.list_(pa.int32())),
             "attention_mask": pa.array([[1] * len(i) + [0] * p for (i, _), p in zip(coded, pad, strict=True)], pa.list_(pa.int32())),
             "labels": pa.array([x + [-100] * p for (_, x), p in zip(coded, pad, strict=True)], pa.list_(pa.int32())),
@@ -280,10 +323,16 @@ def pack_sentences(sentences: DataFrame, by: list[str], order: list[str], block:
         return pa.table(rows)
 
     ints = ArrayType(IntegerType())
-    schema = sentences.select(*by).schema.add("block_id", "long").add("input_ids", ints).add("attention_mask", ints).add("labels", ints)
+    keys = sentences.select(*by).schema
+    schema = StructType([*keys.fields]).add("block_id", "long").add("input_ids", ints).add("attention_mask", ints).add("labels", ints)
+    placed = StructType([*keys.fields]).add("group", "long").add("rank", "long").add(text, "string").add("block_id", "long").add("gap", "string")
     ranked = running_total(sentences.select(*dict.fromkeys([*by, *order, text])), by, order, F.lit(1), "rank")
-    stretch = F.floor((F.col("rank") - 1) / PACKED_TOGETHER).alias("stretch")
-    return ranked.withColumn("group", F.xxhash64(*by)).groupBy(*by, stretch).applyInArrow(lambda key, t: pack(t), schema)
+    stretches = ranked.select(*by, text, "rank", F.xxhash64(*by).alias("group"), F.floor((F.col("rank") - 1) / (together or STRETCH)).alias("stretch"))
+    followed = stretches.groupBy("group", "stretch").applyInArrow(follow, "group long, stretch long, after array<int>, begun array<int>")
+    entries = followed.groupBy("group").applyInArrow(carry, "g long, s long, state int, base long")  # a row for each stretch
+    entered = stretches.join(F.broadcast(entries), (F.col("group") == F.col("g")) & (F.col("stretch") == F.col("s"))).drop("g", "s")
+    found = entered.groupBy("group", "stretch").applyInArrow(place, placed)
+    return found.groupBy("group", F.floor(F.col("block_id") / 1000)).applyInArrow(lambda key, t: build(t), schema)
 
 
 _CLASS = np.zeros(max(map(ord, PUNCTUATION)) + 2, np.int64)

@@ -168,3 +168,16 @@ def test_tolerances(spark):
     b = spark.createDataFrame([(1, 1.00005), (2, 1.1)], "k long, v double")
     assert {r["k"] for r in E.far_apart(a, b, ["k"], "v").collect()} == {2, 3}
     assert E.logit(0.5) == 0 and E.logit(0.9) == pytest.approx(2.19722, abs=1e-4)
+
+
+def test_blocks_go_on_across_stretches(spark, monkeypatch):
+    """What is packed doesn't depend on how many sentences a task packs at a time."""
+    rows = [("en", i, "." if i % 11 == 0 else "7" if i % 13 == 0 else "x" * (i * 7919 % 13 + 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "lang string, i long, sentence string")
+    found = []
+    for stretch in (1000, 7):
+        monkeypatch.setattr(C, "STRETCH", stretch, raising=False)
+        monkeypatch.setattr(C, "PACKED_TOGETHER", stretch if C.PACKED_TOGETHER else None)
+        got = C.pack_sentences(df, ["lang"], ["i"], 16, by_character).orderBy("block_id").collect()
+        found.append([(r["block_id"], r["input_ids"], r["labels"]) for r in got])
+    assert found[0] == found[1] and len(found[0]) > 50
