@@ -224,7 +224,7 @@ def sentence_end_labels(sentences: list[str], encode, separators: list[str], fir
     labels = np.zeros(len(ids), np.int64)
     following = np.searchsorted(np.asarray(starts), np.array(ends), "right")  # the first token after each sentence
     labels[following[following > 0] - 1] = 1
-    return [first, *ids, last], [0, *labels.tolist(), 0]
+    return [first, *np.asarray(ids).tolist(), last], [0, *labels.tolist(), 0]
 
 
 #: Sentences that one task packs at a time; blocks go on across its edges.

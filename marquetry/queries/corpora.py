@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.score import points
 from ..plans import corpus as C
 from .common import SENT_SQL, query, sentences, table, with_sentences
 
@@ -161,8 +163,8 @@ def sentences_with_newline(spark, sf_dir):
     return C.check_sentences(table(spark, sf_dir, "documents"), "text").select("doc_id")
 
 
-def _by_character(text: str) -> tuple[list[int], list[int]]:
-    return [ord(c) for c in text], list(range(len(text)))
+def _by_character(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return points(text), np.arange(len(text))
 
 
 _ROOM = 252
@@ -180,16 +182,17 @@ def packed_blocks(spark, sf_dir):
     return packed.select("lang", "source", "block_id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("tokens"), F.size(F.filter("labels", lambda x: x == 1)).cast("long").alias("sentences"))
 
 
+def _end_tokens(lists: pa.Array) -> pa.Array:
+    """A document's labels are made at a time, and only the places of ones leave Python."""
+    found = (x.as_py() for x in lists)
+    return pa.array((np.flatnonzero(C.sentence_end_labels(s, _by_character, [" "] * len(s))[1]) if s else [] for s in found), pa.list_(pa.int64()), size=len(lists))
+
+
 @query(f"WITH {SENT_SQL} SELECT doc_id, (sum(length(sentence)) OVER w + row_number() OVER w - 1)::BIGINT AS token FROM sent WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx)")
 def sentence_end_labels(spark, sf_dir):
     """Which tokens (characters between two special ones) end a sentence."""
-    @F.arrow_udf("array<int>")
-    def labels(lists: pa.Array) -> pa.Array:
-        return pa.array([C.sentence_end_labels(s, _by_character, [" "] * len(s))[1] if s else [] for s in lists.to_pylist()], pa.list_(pa.int32()))
-
-    docs = with_sentences(table(spark, sf_dir, "documents")).select("doc_id", labels("sentences").alias("l"))
-    rows = docs.select("doc_id", F.posexplode("l").alias("token", "label")).where("label = 1")
-    return rows.select("doc_id", F.col("token").cast("long").alias("token"))
+    docs = with_sentences(table(spark, sf_dir, "documents")).select("doc_id", F.arrow_udf(_end_tokens, "array<bigint>")("sentences").alias("t"))
+    return docs.select("doc_id", F.explode("t").alias("token"))
 
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
