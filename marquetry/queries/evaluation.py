@@ -24,14 +24,6 @@ prf AS (SELECT *, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END,
 _PRF_SQL = f"WITH {_GP_SQL}, {_COUNT_SQL.format(g='gold', p='pred')}"
 
 
-def _gold_and_predicted(spark, sf_dir):
-    sent = sentences(spark, sf_dir)
-    gold = E.gold_boundaries(sent, ["doc_id", "lang"])
-    docs = with_sentences(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.array_join("sentences", " ").alias("whole"))  # without moving any text
-    segs = segment(docs, text="whole", split_on_input_newlines=False).select("doc_id", "lang", F.posexplode("segments").alias("seg_idx", "segment"))
-    return gold, E.predicted_boundaries(segs, ["doc_id", "lang"])
-
-
 def _places(spark, sf_dir, *columns):
     """(columns, gold, pred): places of the boundaries of each document's sentences and of those of the segments of the text that they make."""
     docs = with_sentences(table(spark, sf_dir, "documents").select(*columns, "text"), "s")
@@ -73,8 +65,8 @@ dropped AS (SELECT doc_id, pos FROM ranked WHERE n % 3 = 0 OR last),
 g AS (SELECT doc_id, pos FROM gold ANTI JOIN dropped USING (doc_id, pos)), p AS (SELECT doc_id, pos FROM pred ANTI JOIN dropped USING (doc_id, pos)),
 {_COUNT_SQL.format(g='g', p='p')} SELECT * FROM prf""")
 def exclude_every_k(spark, sf_dir):
-    gold, pred = _gold_and_predicted(spark, sf_dir)
-    return E.scores(E.confusion(*E.without_every_kth(gold, pred, ["doc_id"], 3), ["doc_id"]))
+    gold, pred = E.keep_every_kth_out(F.col("gold"), F.col("pred"), 3)
+    return E.scores(_places(spark, sf_dir, "doc_id", "lang").select("doc_id", *E.confusion_of(gold, pred)).where("tp + fp + fn > 0"))
 
 
 @query(f"""WITH {_GP_SQL}, {_COUNT_SQL.format(g='gold', p='pred')}

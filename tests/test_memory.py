@@ -38,3 +38,12 @@ def test_end_tokens():
     assert peak(lambda: corpora._end_tokens(lists)) < 5
     first = corpora._end_tokens(lists[:1].slice(0, 1))[0].as_py()
     assert first[0] == len("Ein Satz mit einigen Wörtern.") and len(first) == len(lists[0])
+    assert peak(lambda: run(*batch(2, times=10))) < 12
+
+
+def test_exclude_every_k_moves_no_rows(spark, sf_dir):
+    """Boundaries are compared as arrays: nothing is shuffled or joined."""
+    from marquetry.registry import QUERIES
+
+    plan = QUERIES["exclude_every_k"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
