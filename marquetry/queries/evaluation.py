@@ -235,16 +235,8 @@ SELECT lang, round(avg(auc), 6) AS auc, round(avg(({found})::INT), 6) AS accurac
 
 
 def _kmer_evaluation(spark, sf_dir, k: int):
-    from ..operators.score import predict_proba
-
-    s = F.col("sentences")
     docs = with_sentences(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), "s")
-    starts = F.sequence(F.lit(0), F.floor(F.size("s") / k).cast("int") - 1)
-    runs = docs.where(F.size("s") >= k).select("lang", "doc_id", F.explode(F.transform(starts, lambda i: F.slice("s", i * k + 1, k))).alias("sentences"))
-    runs = runs.withColumn("gold", F.transform(E.boundary_places(s, 1), lambda x: x)).withColumn("n", F.size("gold"))
-    # places of last characters: a boundary is after the gap, but for the last
-    runs = runs.withColumn("gold", F.transform("gold", lambda x, i: x - F.when(i < F.col("n") - 1, 2).otherwise(1))).withColumn("text", F.array_join("sentences", " "))
-    each = E.kmer_scores(predict_proba(runs), ["lang", "doc_id"], "probs", "gold", 0.25)
+    each = E.kmer_scores_of(docs, ["lang", "doc_id"], "s", k, 0.25)
     out = E.kmer_averages(each, ["lang"], pairs=k == 2)
     return out.select("lang", *[F.round(c, 6).alias(c) for c in ("auc", "accuracy", "accuracy_best", "f1_best")], "n")
 

@@ -181,3 +181,36 @@ def test_blocks_go_on_across_stretches(spark, monkeypatch):
         got = C.pack_sentences(df, ["lang"], ["i"], 16, by_character).orderBy("block_id").collect()
         found.append([(r["block_id"], r["input_ids"], r["labels"]) for r in got])
     assert found[0] == found[1] and len(found[0]) > 50
+
+
+def test_kmer_scores_by_batch(spark):
+    """All k-mers as one array give what each gives by itself, for any probabilities; sentences are scored in one function."""
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        size = rng.integers(1, 30, 7)
+        starts = np.concatenate([[0], np.cumsum(size)])
+        p = rng.choice(np.array([0, 0, 0.1, 0.3, 0.4, 0.9], np.float32), starts[-1])
+        true = rng.random(starts[-1]) < 0.2
+        true[starts[1:] - 1] = True
+        got = E._kmer_scores(p, starts, true, 0.25).to_pylist()
+        for a, b, row in zip(starts, starts[1:], got, strict=False):
+            q, y = p[a:b], true[a:b]
+            area, f1s, before = 0.0, [], (0.0, 1.0)
+            for t in sorted(set(q.tolist()), reverse=True):
+                pr, re = y[q >= t].sum() / (q >= t).sum(), y[q >= t].sum() / y.sum()
+                area, before = area + (re - before[0]) * (pr + before[1]) / 2, (re, pr)
+                f1s.append((2 * pr * re / (pr + re + 1e-6), -t))
+            top, t = max(f1s)
+            want = area, top, -t, (q[:-1] > 0.25).any(), ((q[:-1] > 0.25) == y[:-1]).all(), ((q[:-1] > -t) == y[:-1]).all()
+            assert list(row.values()) == pytest.approx(list(want))
+    docs = spark.createDataFrame([(1, ["A.", "B", "C!"]), (2, ["x"]), (3, []), (4, None), (5, ["a b.", "c. d"])], "id int, s array<string>")
+    each = E.kmer_scores_of(docs, ["id"], "s", 2, 0.25)
+    assert sorted((r["id"], r["found"], r["correct"]) for r in each.collect()) == [(1, True, True), (5, True, False)]
+
+
+@pytest.mark.parametrize("name", ["pair_evaluation", "kmer_evaluation"])
+def test_kmers_stay_in_python(spark, sf_dir, name):
+    from marquetry.registry import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 2
