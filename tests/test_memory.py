@@ -3,11 +3,13 @@
 import tracemalloc
 
 import pyarrow as pa
+import pytest
 
-from marquetry.operators import flat
+from marquetry.operators import flat, segment as S
 from marquetry.operators.score import RuleScorer
 
 TEXT = "Ein Satz mit einigen Wörtern. Noch einer!\nUnd ein dritter? " * 50
+STYLE = S.Style({"de": {"own": (([2.0], 1.0), None, 0.5, 0.5)}}, "own")
 
 
 def peak(f) -> float:
@@ -38,6 +40,12 @@ def test_end_tokens():
     assert peak(lambda: corpora._end_tokens(lists)) < 5
     first = corpora._end_tokens(lists[:1].slice(0, 1))[0].as_py()
     assert first[0] == len("Ein Satz mit einigen Wörtern.") and len(first) == len(lists[0])
+
+
+@pytest.mark.parametrize("options", [{"style": STYLE, "paragraphs": True}, {"style": STYLE}, {"min_length": 20, "max_length": 200, "prior_type": "gaussian"}], ids=["styled_paragraphs", "evaluate_mixture", "constrained_viterbi"])
+def test_segments_of_other_kinds(spark, options):
+    style = options.get("style")
+    run = S._udf(RuleScorer(), S.Options(split_on_input_newlines=False, **{k: v for k, v in options.items() if k != "style"}), style).func
     assert peak(lambda: run(*batch(2, times=10))) < 12
 
 
