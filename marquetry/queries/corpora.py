@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.score import points
+from ..operators.segment import each_of
 from ..plans import corpus as C
 from .common import SENT_SQL, query, sentences, table, with_sentences
 
@@ -192,7 +193,7 @@ def _end_tokens(lists: pa.Array) -> pa.Array:
 def sentence_end_labels(spark, sf_dir):
     """Which tokens (characters between two special ones) end a sentence."""
     docs = with_sentences(table(spark, sf_dir, "documents")).select("doc_id", F.arrow_udf(_end_tokens, "array<bigint>")("sentences").alias("t"))
-    return docs.select("doc_id", F.explode("t").alias("token"))
+    return each_of(docs, "t", ["doc_id"], "token")
 
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.priors import NAMES, prior, weights, with_length_defaults
-from ..operators.segment import length_ends, segment
+from ..operators.segment import each_of, length_ends, segment
 from ..resources import DEFAULT_LENGTH, SENTENCE_LENGTHS, length_table
 from .common import SCORED_SQL, query, table
 
@@ -67,7 +67,7 @@ def constrained_greedy(spark, sf_dir):
 def constrained_segments(spark, sf_dir):
     """The segments themselves, with a log-normal prior."""
     docs = segment(table(spark, sf_dir, "documents"), lang="lang", split_on_input_newlines=False, min_length=10, max_length=300, prior_type="lognormal")
-    return docs.select("doc_id", F.posexplode("segments").alias("seg_idx", "segment"))
+    return each_of(docs, "segments", ["doc_id"], "segment", "seg_idx")
 
 
 @query("SELECT doc_id, true AS within, md5(text) AS joined FROM documents WHERE text <> ''")
@@ -124,7 +124,7 @@ SELECT doc_id, pos AS "end" FROM (SELECT doc_id, pos FROM back JOIN d USING (doc
 def viterbi_ends(spark, sf_dir):
     """The optimal cuts themselves, with even steps where no cut is possible; the SQL searches place by place."""
     docs = length_ends(table(spark, sf_dir, "documents"), lang="lang", min_length=_LOW, max_length=_HIGH, prior_type="gaussian", split_on_input_newlines=False)
-    return docs.select("doc_id", F.explode("ends").alias("end")).select("doc_id", F.col("end").cast("long").alias("end"))
+    return each_of(docs, "ends", ["doc_id"], "end").select("doc_id", F.col("end").cast("long").alias("end"))
 
 
 _GREEDY = f"""WITH RECURSIVE {_places(False)},
@@ -139,4 +139,4 @@ SELECT r.doc_id, r."end" FROM r JOIN last l ON l.doc_id = r.doc_id WHERE r.k > 0
 @query(_GREEDY)
 def greedy_ends(spark, sf_dir):
     docs = length_ends(table(spark, sf_dir, "documents"), lang="lang", min_length=_LOW, max_length=_HIGH, prior_type="clipped_polynomial", algorithm="greedy", split_on_input_newlines=False)
-    return docs.select("doc_id", F.explode("ends").alias("end")).select("doc_id", F.col("end").cast("long").alias("end"))
+    return each_of(docs, "ends", ["doc_id"], "end").select("doc_id", F.col("end").cast("long").alias("end"))

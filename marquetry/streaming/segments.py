@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.score import Scorer
-from ..operators.segment import rule_segments, segment
+from ..operators.segment import each_of, rule_segments, segment
 
 
 def read_texts(spark: SparkSession, path: str, schema: StructType | str, per_trigger: int | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def read_texts(spark: SparkSession, path: str, schema: StructType | str, per_tri
 def segment_stream(stream: DataFrame, scorer: Scorer | None = None, text: str = "text", **options) -> DataFrame:
     """(…, seg_idx, segment): a row for each segment; by the rule scorer in the JVM if no scorer and no option is given."""
     found = segment(stream, scorer, text, out="__s", **options) if scorer or options else stream.withColumn("__s", rule_segments(F.col(text)))
-    return found.select(*stream.columns, F.posexplode("__s").alias("seg_idx", "segment"))
+    return each_of(found, "__s", stream.columns, "segment", "seg_idx")
 
 
 def write_segments(segments: DataFrame, path: str, checkpoint: str):

@@ -49,6 +49,15 @@ def test_segments_of_other_kinds(spark, options):
     assert peak(lambda: run(*batch(2, times=10))) < 12
 
 
+@pytest.mark.parametrize("query", ["styled_paragraphs", "multi_sentence_docs", "sentence_end_labels", "constrained_segments", "viterbi_ends", "predict_hits"])
+def test_texts_go_to_python_once(spark, sf_dir, query):
+    """No filter that Spark infers from an explode makes the function run twice over what a scan reads."""
+    from marquetry.registry import QUERIES
+
+    plan = QUERIES[query](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == plan.count("FileScan parquet") > 0
+
+
 def test_exclude_every_k_moves_no_rows(spark, sf_dir):
     """Boundaries are compared as arrays: nothing is shuffled or joined."""
     from marquetry.registry import QUERIES
