@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from ..folders import fresh
+from ..folders import fresh, is_written, written
 from ..functions.text import all_of
 from ..resources import NO_PUNCTUATION, NO_WHITESPACE, PUNCTUATION
 from .running import running_total
@@ -94,6 +94,7 @@ def first_rows(rows: DataFrame, by: list[str], order: list[str], n: int) -> Data
 def thin_unpunctuated(rows: DataFrame, flag: str, target: float, key: list[str], lang: str = "lang", seed: str = "") -> DataFrame:
     """Drops rows without final punctuation until they are a share of at most target; languages without punctuation are left alone."""
     place, rank, rest = fresh(rows, "place", "rank", "rest")
+    rows = rows if is_written(rows) else written(rows)  # they are read three times
     counted = _with(rows, [lang], **{rest: F.count_if(F.col(flag))})
     always = F.col(flag) | F.col(lang).isin(*NO_PUNCTUATION)
     ranked = running_total(counted.where(~always).withColumn(place, hash_order(*key, seed=seed)), [lang], [place, *key], F.lit(1), rank)

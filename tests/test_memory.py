@@ -58,6 +58,15 @@ def test_texts_go_to_python_once(spark, sf_dir, query):
     assert plan.count("ArrowEvalPython") == plan.count("FileScan parquet") > 0
 
 
+def test_nonpunct_downsample_segments_once(spark, sf_dir):
+    """What is left to do reads rows that are written already, with no function in Python."""
+    from marquetry.registry import QUERIES
+
+    rows = QUERIES["nonpunct_downsample"](spark, sf_dir)
+    assert "EvalPython" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert not any("documents" in f for f in rows.inputFiles())
+
+
 def test_exclude_every_k_moves_no_rows(spark, sf_dir):
     """Boundaries are compared as arrays: nothing is shuffled or joined."""
     from marquetry.registry import QUERIES
