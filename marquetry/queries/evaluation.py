@@ -26,8 +26,7 @@ _PRF_SQL = f"WITH {_GP_SQL}, {_COUNT_SQL.format(g='gold', p='pred')}"
 
 def _places(spark, sf_dir, *columns):
     """(columns, gold, pred): places of the boundaries of each document's sentences and of those of the segments of the text that they make."""
-    docs = with_sentences(table(spark, sf_dir, "documents").select(*columns, "text"), "s")
-    docs = docs.select(*columns, E.scored_places(F.col("s"), F.col("lang")).alias("p"))
+    docs = table(spark, sf_dir, "documents").select(*columns, E.scored_places(F.col("text"), F.col("lang")).alias("p"))
     return docs.select(*columns, F.col("p.gold").alias("gold"), F.col("p.predicted").alias("pred")).where("size(gold) + size(pred) > 0")
 
 

@@ -58,6 +58,14 @@ def test_texts_go_to_python_once(spark, sf_dir, query):
     assert plan.count("ArrowEvalPython") == plan.count("FileScan parquet") > 0
 
 
+@pytest.mark.parametrize("query", ["iou", "prf_by_doc", "exclude_every_k"])
+def test_sentences_and_their_places_are_one_function(spark, sf_dir, query):
+    from marquetry.registry import QUERIES
+
+    plan = QUERIES[query](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_nonpunct_downsample_segments_once(spark, sf_dir):
     """What is left to do reads rows that are written already, with no function in Python."""
     from marquetry.registry import QUERIES
