@@ -2,10 +2,12 @@
 
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from marquetry.operators import flat, segment as S
+from marquetry.functions.priors import weights
+from marquetry.operators import constrain, flat, segment as S
 from marquetry.operators.score import RuleScorer
 
 TEXT = "Ein Satz mit einigen Wörtern. Noch einer!\nUnd ein dritter? " * 50
@@ -49,6 +51,22 @@ def test_segments_of_other_kinds(spark, options):
     assert peak(lambda: run(*batch(2, times=10))) < 12
 
 
+@pytest.mark.parametrize("options", [{"max_length": 200, "prior_type": "clipped_polynomial", "algorithm": "greedy"}, {}], ids=["constrained_greedy", "constrained_min_only"])
+def test_constrained_whatever_the_batch(spark, options):
+    run = S._udf(RuleScorer(), S.Options(split_on_input_newlines=False, min_length=20, **options), None).func
+    assert peak(lambda: run(*batch(2))) < 1.2 * peak(lambda: run(*batch(1)))
+
+
+def test_viterbi_holds_places_not_characters():
+    """A text of any length: what the search holds is of the places it can cut at, beside a mask of a byte a character."""
+    n = 200_000
+    probs = np.zeros(n, np.float32)
+    probs[99::100] = 0.4
+    ends = []
+    assert peak(lambda: ends.append(constrain.viterbi(probs, weights("gaussian", 256, 200, "de", None, None), 20, 200))) < 3 * n / 1e6
+    assert ends[0][0] in (100, 200) and ends[0] == sorted(set(ends[0])) and n - ends[0][-1] in (100, 200)
+
+
 @pytest.mark.parametrize("query", ["styled_paragraphs", "multi_sentence_docs", "sentence_end_labels", "constrained_segments", "viterbi_ends", "predict_hits"])
 def test_texts_go_to_python_once(spark, sf_dir, query):
     """No filter that Spark infers from an explode makes the function run twice over what a scan reads."""
